@@ -1 +1,8 @@
 """Web-attack log analytics on Spark: WAF audit logs in, features, reports and models out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
