@@ -146,7 +146,8 @@ def truncate_text(col: Column, max_length: int = 46) -> Column:
 
 
 def format_probability(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", col * 100.0), F.lit("N/A"))
+    """Percent text with one decimal (rounded on the exact binary value), N/A when absent."""
+    return F.coalesce(F.concat(F.format_number(col * 100.0, 1), F.lit("%")), F.lit("N/A"))
 
 
 def apply_threshold(probability: Column, threshold: float = 0.5) -> Column:

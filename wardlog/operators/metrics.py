@@ -81,26 +81,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "probability", by:
     per_score = df.groupBy(*by, score).agg(
         F.count_if(y == 1).cast("double").alias("pos"), F.count_if(y == 0).cast("double").alias("neg")
     )
-    if by:
-        groups = [row.asDict() for row in df.select(*by).distinct().collect()]
-        parts = []
-        for group in groups:
-            own = per_score
-            for name, value in group.items():
-                own = own.where(F.col(name).eqNullSafe(F.lit(value)))
-            part = _auc_of_counts(own.select(score, "pos", "neg"), score)
-            parts.append(part.withColumns({name: F.lit(value) for name, value in group.items()}))
-        total = parts[0]
-        for part in parts[1:]:
-            total = total.unionByName(part)
-        return total.select(*by, "roc_auc")
-    return _auc_of_counts(per_score, score)
-
-
-def _auc_of_counts(per_score: DataFrame, score: str) -> DataFrame:
-    ranked = running_totals(per_score, score, ["neg"])
+    ranked = running_totals(per_score, score, ["neg"], by)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    return ranked.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", score: str = "probability") -> DataFrame:

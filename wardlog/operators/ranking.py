@@ -61,20 +61,24 @@ def range_bucket(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
     return Bucketizer(splits=splits, inputCol="_split", outputCol="_bucket").transform(source).drop("_split")
 
 
-def running_totals(df: DataFrame, column: str, weights: list[str], ranges: int = RANGES) -> DataFrame:
-    """Adds `<weight>_before`: the total weight of rows with a smaller `column`, which must be distinct."""
+def running_totals(
+    df: DataFrame, column: str, weights: list[str], by: list[str] | None = None, ranges: int = RANGES
+) -> DataFrame:
+    """Adds `<weight>_before`: the total weight of rows with a smaller `column`, per group of `by`.
+
+    `column` must be distinct within a group.
+    """
+    by = by or []
     bucketed = range_bucket(df, column, ranges)
-    order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    totals = bucketed.groupBy("_bucket").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
-    offsets = totals.select("_bucket", *[(F.sum(f"_{w}").over(order) - F.col(f"_{w}")).alias(f"_{w}_off") for w in weights])
-    inside = Window.partitionBy("_bucket").orderBy(column)
-    joined = bucketed.join(offsets, "_bucket")
-    return joined.select(
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+    totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    offsets = totals.select(
+        *by, "_bucket", *[(F.sum(f"_{w}").over(order) - F.col(f"_{w}")).alias(f"_{w}_off") for w in weights]
+    )
+    inside = Window.partitionBy(*by, "_bucket").orderBy(column)
+    return bucketed.join(offsets, [*by, "_bucket"]).select(
         *df.columns,
-        *[
-            (F.col(f"_{w}_off") + F.sum(w).over(inside) - F.col(w)).cast("double").alias(f"{w}_before")
-            for w in weights
-        ],
+        *[(F.col(f"_{w}_off") + F.sum(w).over(inside) - F.col(w)).cast("double").alias(f"{w}_before") for w in weights],
     )
 
 

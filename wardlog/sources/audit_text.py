@@ -17,18 +17,12 @@ def section(block: Column, letter: str) -> Column:
     return F.regexp_extract(block, rf"(?s)--[a-f0-9]+-{letter}--\n(.*?)(?=--[a-f0-9]+-[A-Z]-?-?|\z)", 1)
 
 
-def headers_of(body: Column) -> Column:
-    """Header map of a section. Later headers of the same name win."""
-    lines = F.filter(F.split(body, "\n"), lambda line: line.contains(":"))
-    pairs = F.transform(
-        lines,
-        lambda line: F.struct(
-            F.trim(F.split_part(line, F.lit(":"), F.lit(1))).alias("key"),
-            F.trim(F.regexp_replace(line, r"(?s)^[^:]*:", "")).alias("value"),
-        ),
+def header_value(body: Column, name: str) -> Column:
+    """Value of a header in a section, '' when absent; a later line of the same name wins."""
+    lines = F.filter(
+        F.split(body, "\n"), lambda line: line.contains(":") & (F.trim(F.split_part(line, F.lit(":"), F.lit(1))) == name)
     )
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return S.or_empty(F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), r"(?s)^[^:]*:", "")))
 
 
 def parse_audit_blocks(chunks: DataFrame, value: str = "value", parity: bool = False) -> DataFrame:
@@ -53,7 +47,7 @@ def parse_audit_blocks(chunks: DataFrame, value: str = "value", parity: bool = F
         F.when(status_text.rlike(r"^[+-]?\d+$"), F.coalesce(status_text.try_cast("int"), F.lit(200))).otherwise(F.lit(200)).alias("status"),
         F.lit(0).cast("bigint").alias("bytes_sent"),
         F.lit(0.0).alias("request_time"),
-        S.or_empty(F.try_element_at(headers_of(F.col("_B")), F.lit("User-Agent"))).alias("user_agent"),
+        header_value(F.col("_B"), "User-Agent").alias("user_agent"),
         F.regexp_extract("_H", r'\[severity\s+"([^"]+)"\]', 1).alias("severity"),
         F.regexp_extract("_H", r'\[id\s+"?(\d+)"?\]', 1).alias("rule_id"),
         F.regexp_extract("_H", r'Matched\s+(?:phrase|data)\s+"([^"]+)"', 1).alias("matched_data"),

@@ -82,6 +82,7 @@ def event_store_rows(events: DataFrame) -> DataFrame:
     small = [c for c in INT_COLUMNS if c != "bytes_sent"]
     return events.select(
         "event_id",
+        F.when(F.col("prediction") == 1, attack_id("event_id")).alias("attack_event_id"),
         S.parse_event_time(F.col("timestamp")).alias("timestamp"),
         *[S.text_or_null(F.col(c)).alias(c) for c in TEXT_COLUMNS],
         *[S.int_or_zero(F.col(c)).cast("int").alias(c) for c in small],
