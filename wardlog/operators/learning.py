@@ -13,6 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     OneHotEncoder,
@@ -96,7 +97,8 @@ def fit_features(df: DataFrame, numeric: list[str] | None = None) -> PipelineMod
 
 def feature_vector(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     """Rows with `features`, intermediate columns dropped."""
-    rows = fit_features(df, numeric).transform(df)
+    ready = normalize_scoring_row(df)
+    rows = fit_features(ready, numeric).transform(ready)
     return rows.drop("_tokens", "_counts", "_weighted", "uri_vec", "method_index", "method_vec")
 
 
@@ -131,13 +133,18 @@ def train_attack_model(df: DataFrame, numeric: list[str] | None = None, **overri
     return PipelineModel(stages=[*features.stages, model])
 
 
+PATTERN_NAMES = (("has_sqli", "has_sqli_pattern"), ("has_xss", "has_xss_pattern"))
+
+
 def score_batch(model: PipelineModel, df: DataFrame, threshold: float = 0.5, apply_override: bool = True) -> DataFrame:
     """Adds `probability`, `prediction`, `decision`; an existing label plays no part.
 
     With the override a 2023 upload signature forces an attack with at least .99.
     """
-    rows = normalize_scoring_row(df.drop("label"))
-    scored = model.transform(rows).withColumn("probability", vector_to_array("probability")[1])
+    rows = df.drop("label")
+    named = {new: F.col(old) for old, new in PATTERN_NAMES if old in rows.columns and new not in rows.columns}
+    ready = normalize_scoring_row(rows.withColumns(named) if named else rows)
+    scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1])
     hit = S.override_hit(F.col("has_cve_2023_47271_upload"), F.col("has_cve_2023_47271_rce"))
     prediction = S.apply_threshold(F.col("probability"), threshold)
     if apply_override:
@@ -165,11 +172,13 @@ def train_and_evaluate(df: DataFrame, ids: list[str], test_size: float = 0.2, se
 
 
 def feature_importance(model: PipelineModel, df: DataFrame, top: int = 10) -> DataFrame:
-    """Highest gains with feature names from the vector's attributes."""
+    """Highest gains with feature names from the vector's attributes; text features show their term."""
     importances = model.stages[-1].featureImportances
+    terms = {f"uri_vec_{i}": f"uri:{t}" for s in model.stages if isinstance(s, CountVectorizerModel) for i, t in enumerate(s.vocabulary)}
     attributes = PipelineModel(stages=model.stages[:-1]).transform(normalize_scoring_row(df.drop("label")))
     groups = attributes.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a.get("name", str(a["idx"])) for attrs in groups.values() for a in attrs}
+    labels = {a["idx"]: a.get("name", str(a["idx"])) for attrs in groups.values() for a in attrs}
+    names = {i: terms.get(label, label) for i, label in labels.items()}
     pairs = zip(importances.indices.tolist(), importances.values.tolist())
     ranked = sorted(((names.get(i, str(i)), v) for i, v in pairs), key=lambda x: (-x[1], x[0]))[:top]
     return df.sparkSession.createDataFrame(ranked, "feature STRING, importance DOUBLE")
@@ -182,7 +191,7 @@ def _search_rows(df: DataFrame, ids: list[str], folds: int) -> tuple[PipelineMod
 
 
 def _results(search: CrossValidatorModel, df: DataFrame, names: list[str]) -> DataFrame:
-    rows = sorted(zip(names, search.avgMetrics), key=lambda x: -x[1])
+    rows = sorted(((name, float(value)) for name, value in zip(names, search.avgMetrics)), key=lambda x: -x[1])
     return df.sparkSession.createDataFrame(rows, "candidate STRING, roc_auc DOUBLE")
 
 
