@@ -1,8 +1,8 @@
 """Attack signature families as column functions.
 
 Each family is one alternation evaluated inside codegen. Pure ASCII text (nearly all
-traffic) is lower-cased once and searched with a case-sensitive alternation, which Java runs
-several times faster; other text takes the Unicode-aware case-insensitive form.
+traffic) is lower-cased once and searched by substrings and a case-sensitive alternation; other
+text takes the Unicode-aware case-insensitive form.
 """
 
 from __future__ import annotations
@@ -152,6 +152,9 @@ FAMILIES: dict[str, list[str]] = {
     ],
 }
 
+# Plain pieces of the two families whose patterns do not start with plain text.
+NEEDED = {"xml_upload_name": [".ph"], "uploaded_php_access": ["public/journals/"]}
+
 # Fixed value: coarse keyword lists used by the raw text path (searched in the lower-cased URI).
 COARSE_SQLI = "union|select|sleep|drop|exec"
 COARSE_XSS = "<script|javascript|onerror|alert"
@@ -171,15 +174,54 @@ def folded(text: Column) -> Column:
     return F.when(is_ascii(text), F.lower(text))
 
 
-def matches(family: str, text: Column, folded_text: Column | None = None) -> Column:
-    """Boolean: any pattern of the family occurs. NULL or empty text never matches."""
-    low = folded(text) if folded_text is None else folded_text
+def literal_start(pattern: str) -> tuple[str, bool]:
+    """The plain text every match of a pattern starts with, and whether that is the whole pattern."""
+    text, at = "", 0
+    while at < len(pattern):
+        char = pattern[at]
+        step = 1
+        if char == "\\":
+            char, step = pattern[at + 1], 2
+            if char.isalnum():
+                return text, False
+        elif char in "[](){}.*+?^$|":
+            return text, False
+        if pattern[at + step : at + step + 1] in ("*", "?", "{"):
+            return text, False
+        text, at = text + char, at + step
+    return text, True
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def folded_search(family: str, low: str) -> Column:
+    """Match on a column of lower-cased ASCII text, given by name.
+
+    Plain patterns are substring searches. The others run as one alternation, and only on text
+    that holds a plain piece every match of theirs needs.
+    """
+    starts = {pattern.lower(): literal_start(pattern.lower()) for pattern in FAMILIES[family]}
+    plain = [text for text, whole in starts.values() if whole]
+    regex = [pattern for pattern, (_, whole) in starts.items() if not whole]
+    found = [f"contains({low}, {_sql_text(text)})" for text in plain]
+    if regex:
+        pieces = NEEDED.get(family) or sorted({starts[pattern][0] for pattern in regex})
+        pieces = [p for p in pieces if not any(o != p and o in p for o in pieces)]
+        gate = " OR ".join(f"contains({low}, {_sql_text(piece)})" for piece in pieces)
+        found.append(f"(({gate}) AND {low} RLIKE {_sql_text('(?d)(?:' + '|'.join(regex) + ')')})")
+    return F.expr(" OR ".join(found))
+
+
+def matches(family: str, text: Column, low: str | None = None) -> Column:
+    """Boolean: any pattern of the family occurs. NULL or empty text never matches.
+
+    `low` names a column that already holds `folded(text)`; it makes the search much cheaper.
+    """
     pattern = alternation(family)
-    return F.coalesce(
-        low.rlike("(?d)" + pattern.lower()),
-        text.rlike("(?iUud)" + pattern),
-        F.lit(False),
-    )
+    quick = folded_search(family, low) if low else folded(text).rlike("(?d)" + pattern.lower())
+    return F.coalesce(quick, text.rlike("(?iUud)" + pattern), F.lit(False))
 
 
 def flag(condition: Column) -> Column:

@@ -114,7 +114,8 @@ def resolve_client_ip(headers: Column, client_ip: Column) -> Column:
 
 def decode_uri(uri: Column) -> Column:
     """Percent and plus decoding; malformed escapes stay, undecodable bytes become U+FFFD."""
-    return F.url_decode(F.regexp_replace(uri, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    coded = uri.contains("%") | uri.contains("+")
+    return F.when(coded, F.url_decode(F.regexp_replace(uri, r"%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(uri)
 
 
 def text_or_null(col: Column) -> Column:

@@ -106,25 +106,28 @@ def audit_flags(flat: DataFrame) -> DataFrame:
         .withColumn("_uri_low", P.folded(uri))
         .withColumn("_upload_uri", P.without_front_controller(uri))
         .withColumn("_upload_full", P.without_front_controller(full))
-        .withColumn("_xss", P.matches("xss", full, F.col("_full_low")))
-        .withColumn("_privesc", P.matches("privesc", full, F.col("_full_low")))
+        .withColumn("_upload_uri_low", P.folded(F.col("_upload_uri")))
+        .withColumn("_upload_full_low", P.folded(F.col("_upload_full")))
+        .withColumn("_host_low", P.folded(F.col("_host")))
+        .withColumn("_xss", P.matches("xss", full, "_full_low"))
+        .withColumn("_privesc", P.matches("privesc", full, "_full_low"))
     )
     is_post = F.upper("method") == "POST"
     flags = {
-        "has_sqli": P.matches("sqli", full, F.col("_full_low")),
+        "has_sqli": P.matches("sqli", full, "_full_low"),
         "has_xss": F.col("_xss"),
-        "has_suspicious_path": P.matches("suspicious_path", uri, F.col("_uri_low")),
-        "has_path_traversal": P.matches("path_traversal", uri, F.col("_uri_low")),
-        "has_command_injection": P.matches("command_injection", uri, F.col("_uri_low")),
-        "has_cve_2022_24181": P.matches("host_header_xss", F.col("_host")),
-        "has_cve_2023_47271_upload": P.matches("xml_upload_name", F.col("_upload_full")),
-        "has_cve_2023_47271_rce": P.matches("uploaded_php_access", uri, F.col("_uri_low")),
-        "missing_csrf_token": is_post & ~P.matches("csrf_token", full, F.col("_full_low")),
+        "has_suspicious_path": P.matches("suspicious_path", uri, "_uri_low"),
+        "has_path_traversal": P.matches("path_traversal", uri, "_uri_low"),
+        "has_command_injection": P.matches("command_injection", uri, "_uri_low"),
+        "has_cve_2022_24181": P.matches("host_header_xss", F.col("_host"), "_host_low"),
+        "has_cve_2023_47271_upload": P.matches("xml_upload_name", F.col("_upload_full"), "_upload_full_low"),
+        "has_cve_2023_47271_rce": P.matches("uploaded_php_access", uri, "_uri_low"),
+        "missing_csrf_token": is_post & ~P.matches("csrf_token", full, "_full_low"),
         "has_suspicious_referer": is_post & F.col("_referer").isin("", "-"),
         "has_cve_2024_xss_privesc": F.col("_xss") & F.col("_privesc"),
         "has_privesc_attempt": F.col("_privesc"),
-        "has_cve_2021_32626": P.matches("executable_ext", F.col("_upload_uri"))
-        | P.matches("upload_bypass", F.col("_upload_uri")),
+        "has_cve_2021_32626": P.matches("executable_ext", F.col("_upload_uri"), "_upload_uri_low")
+        | P.matches("upload_bypass", F.col("_upload_uri"), "_upload_uri_low"),
     }
     keep = [c for c in flat.columns if c not in ("_host", "_referer", "label")]
     return staged.select(*keep, *[P.flag(flags[name]).alias(name) for name in FLAG_COLUMNS], "label")
@@ -150,23 +153,28 @@ def request_features(df: DataFrame, parity: bool = False) -> DataFrame:
         .withColumn("_full", F.concat_ws(" ", "_decoded", "user_agent"))
         .withColumn("_decoded_low", P.folded(decoded))
         .withColumn("_full_low", P.folded(full))
-        .withColumn("_xss", P.matches("xss", full, F.col("_full_low")))
-        .withColumn("_privesc", P.matches("privesc", full, F.col("_full_low")))
-        .withColumn("_exec", P.matches("executable_ext", decoded, F.col("_decoded_low")))
-        .withColumn("_bypass", P.matches("upload_bypass", decoded, F.col("_decoded_low")))
+        .withColumn("_uri_low", P.folded(uri))
+        .withColumn("_host_low", P.folded(F.col("host_header")))
+        .withColumn("_upload_full_low", P.without_front_controller(F.col("_full_low")))
+        .withColumn("_xss", P.matches("xss", full, "_full_low"))
+        .withColumn("_privesc", P.matches("privesc", full, "_full_low"))
+        .withColumn("_exec", P.matches("executable_ext", decoded, "_decoded_low"))
+        .withColumn("_bypass", P.matches("upload_bypass", decoded, "_decoded_low"))
     )
-    has_token = P.flag(P.matches("csrf_token", full, F.col("_full_low")))
+    has_token = P.flag(P.matches("csrf_token", full, "_full_low"))
     columns = {
         "user_agent_len": F.length("user_agent"),
         "uri_len": F.length("uri"),
-        "has_sqli_pattern": P.flag(P.matches("sqli", full, F.col("_full_low"))),
+        "has_sqli_pattern": P.flag(P.matches("sqli", full, "_full_low")),
         "has_xss_pattern": P.flag(F.col("_xss")),
-        "has_suspicious_path": P.has_suspicious_path(uri),
-        "has_path_traversal": P.flag(P.matches("path_traversal", decoded, F.col("_decoded_low"))),
-        "has_command_injection": P.flag(P.matches("command_injection", decoded, F.col("_decoded_low"))),
-        "has_cve_2022_24181": P.has_host_header_xss(F.col("host_header")),
-        "has_cve_2023_47271_upload": P.has_xml_upload_name(P.without_front_controller(full, ignore_case=True)),
-        "has_cve_2023_47271_rce": P.flag(P.matches("uploaded_php_access", decoded, F.col("_decoded_low"))),
+        "has_suspicious_path": P.flag(P.matches("suspicious_path", uri, "_uri_low")),
+        "has_path_traversal": P.flag(P.matches("path_traversal", decoded, "_decoded_low")),
+        "has_command_injection": P.flag(P.matches("command_injection", decoded, "_decoded_low")),
+        "has_cve_2022_24181": P.flag(P.matches("host_header_xss", F.col("host_header"), "_host_low")),
+        "has_cve_2023_47271_upload": P.flag(
+            P.matches("xml_upload_name", P.without_front_controller(full, ignore_case=True), "_upload_full_low")
+        ),
+        "has_cve_2023_47271_rce": P.flag(P.matches("uploaded_php_access", decoded, "_decoded_low")),
         "missing_csrf_token": F.bitwise_not(has_token) if parity else 1 - has_token,
         "has_suspicious_referer": P.flag(F.col("referer") == "-"),
         "has_cve_2024_xss_privesc": P.flag(F.col("_xss") & F.col("_privesc")),

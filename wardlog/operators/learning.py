@@ -67,8 +67,9 @@ def uri_tfidf(df: DataFrame, ids: list[str], text: str, max_terms: int = MAX_TER
     n = df.agg(F.count("*")).scalar()
     idf = vocabulary.select("term", (F.ln((1 + n) / (1 + F.col("docs"))) + 1).alias("idf"))
     weighted = counts.join(F.broadcast(idf), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(*ids).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, ids).select(*ids, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    # A document holds at most max_terms vocabulary terms, so the window stays small.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*ids)))
+    return weighted.select(*ids, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def one_hot_method(column: str = "method") -> list:

@@ -159,24 +159,32 @@ def _select_ranks(df: DataFrame, wanted: dict, direct_rows: int, accuracy: int)
     open_ranks = dict(wanted)
     while open_ranks:
         keys = list(open_ranks)
-        sketches = []
-        for i, key in enumerate(keys):
+        # Ranks that still share a bracket share one sketch.
+        shared: dict = {}
+        for key in keys:
             low, high, below, inside = open_ranks[key]
-            share = (key[1] - below) / max(inside - 1, 1)
-            slack = 2.0 / accuracy
+            share, slack = (key[1] - below) / max(inside - 1, 1), 2.0 / accuracy
             window = [max(0.0, share - slack), min(1.0, share + slack)]
-            value = F.when(_inside(key[0], open_ranks[key]), F.col(key[0]))
-            sketches.append(F.percentile_approx(value, F.lit(window), accuracy).alias(f"b{i}"))
-        edges = df.agg(*sketches).first()
+            shared.setdefault((key[0], open_ranks[key]), []).append((key, window))
+        sketches = []
+        for i, ((column, bracket), members) in enumerate(shared.items()):
+            value = F.when(_inside(column, bracket), F.col(column))
+            points = [p for _, window in members for p in window]
+            sketches.append(F.percentile_approx(value, F.lit(points), accuracy).alias(f"s{i}"))
+        sketch_row = df.agg(*sketches).first()
+        edges = {}
+        for i, members in enumerate(shared.values()):
+            for n, (key, _) in enumerate(members):
+                edges[key] = (sketch_row[f"s{i}"][2 * n], sketch_row[f"s{i}"][2 * n + 1])
         tallies = []
         for i, key in enumerate(keys):
-            low, high = edges[f"b{i}"]
+            low, high = edges[key]
             tallies.append(F.count_if(F.col(key[0]) < low).alias(f"below{i}"))
             tallies.append(F.count_if((F.col(key[0]) >= low) & (F.col(key[0]) <= high)).alias(f"in{i}"))
         tally = df.agg(*tallies).first()
         small = {}
         for i, key in enumerate(keys):
-            low, high = edges[f"b{i}"]
+            low, high = edges[key]
             below, inside = tally[f"below{i}"], tally[f"in{i}"]
             if not below <= key[1] < below + inside:
                 raise ArithmeticError("approximate bracket missed the wanted rank")

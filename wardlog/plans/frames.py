@@ -9,6 +9,7 @@ from wardlog.functions import scalars as S
 from wardlog.operators.attack import attack_type_of_event
 from wardlog.operators.flatten import audit_features
 from wardlog.plans.driver_log import audit_log, demo_probability
+from wardlog.session import stage
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +27,23 @@ def decided_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ATTACKS: dict[tuple[str, str], DataFrame] = {}
+
+
 def attack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attack table: id, detected_at, attack_type, probability, attack_url, attacker_ip."""
-    return decided_rows(spark, sf_dir).where("prediction = 1").select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("detected_at"),
-        "attack_type",
-        "probability",
-        F.col("uri").alias("attack_url"),
-        F.col("source_ip").alias("attacker_ip"),
-    )
+    """Attack table, stored once per application as the history reports find it.
+
+    Columns: id, detected_at, attack_type, probability, attack_url, attacker_ip.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ATTACKS:
+        rows = decided_rows(spark, sf_dir).where("prediction = 1").select(
+            F.col("event_id").alias("id"),
+            F.col("ts").alias("detected_at"),
+            "attack_type",
+            "probability",
+            F.col("uri").alias("attack_url"),
+            F.col("source_ip").alias("attacker_ip"),
+        )
+        _ATTACKS[key] = stage(rows, "attacks")
+    return _ATTACKS[key]

@@ -348,7 +348,8 @@ def _register_family(family: str) -> None:
         text = F.col("body")
         if family == "xml_upload_name":
             text = P.without_front_controller(text)
-        return corpus(spark, sf_dir).withColumn("body", text).select("id", P.has_family(family, F.col("body")).alias("hit"))
+        rows = corpus(spark, sf_dir).withColumn("body", text).withColumn("low", P.folded(F.col("body")))
+        return rows.select("id", P.flag(P.matches(family, F.col("body"), "low")).alias("hit"))
 
 
 for _family in P.FAMILIES:
