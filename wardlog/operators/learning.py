@@ -374,7 +374,7 @@ def smote_oversample(
     # Slots 1..k of a row's neighbours: its own copies first, then other vectors by distance.
     upto = F.sum("nc").over(Window.partitionBy("vid").orderBy("distance", "near"))
     others = sized.withColumn("upto", upto).select("vid", "nv", (F.col("upto") - F.col("nc")).alias("after"), "upto")
-    # Every minority row gives needed // n new rows and the first needed % n in hash order one more.
+    # Every minority row gives needed // n new rows; the remainder is spread evenly in hash order.
     ordered = Window.partitionBy("_part").orderBy("vid")
     parted = distinct.withColumn("_part", F.left("vid", F.lit(2)))
     offsets = parted.groupBy("_part").agg(F.sum("copies").alias("_c")).select(
@@ -383,7 +383,8 @@ def smote_oversample(
     placed = parted.join(offsets, "_part").withColumn(
         "_before", F.col("_off") + F.sum("copies").over(ordered) - F.col("copies")
     )
-    extra = F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(needed % n) - F.col("_before")))
+    spread = [F.floor(at * F.lit(needed % n) / F.lit(n)) for at in (F.col("_before"), F.col("_before") + F.col("copies"))]
+    extra = spread[1] - spread[0]
     births = placed.withColumn("_births", F.col("copies") * (needed // n) + extra).where("_births > 0")
     draws = births.select("vid", "v", "copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_births"))).alias("draw"))
 
