@@ -178,7 +178,10 @@ def date_in_text(text: Column) -> Column:
 
 
 def source_date(path: Column) -> Column:
-    """Date of a file from its name, else from the nearest parent folder that has one, else ''."""
-    nearest_first = F.reverse(F.split(path, "/"))
+    """Date of a file from its name, else from the nearest parent folder that has one, else ''.
+
+    The random names of files written by Spark (part-00000-...) say nothing about dates.
+    """
+    nearest_first = F.reverse(F.split(F.regexp_replace(path, r"/part-\d+-[^/]*$", ""), "/"))
     dates = F.filter(F.transform(nearest_first, date_in_text), lambda d: d != "")
     return F.coalesce(F.try_element_at(dates, F.lit(1)), F.lit(""))

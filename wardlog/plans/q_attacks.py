@@ -74,10 +74,10 @@ def rule_category_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VALUES = {
-    "top_uris": ("uri", F.col("tx.request.uri"), "uri", 10),
-    "top_ips": ("client_ip", F.col("tx.client_ip"), "client_ip", 10),
-    "method_counts": ("method", F.col("tx.request.method"), "method", None),
-    "status_counts": ("status", F.col("tx.response.http_code"), "status::VARCHAR", None),
+    "top_uris": ("uri", "tx.request.uri", "uri", 10),
+    "top_ips": ("client_ip", "tx.client_ip", "client_ip", 10),
+    "method_counts": ("method", "tx.request.method", "method", None),
+    "status_counts": ("status", "tx.response.http_code", "status::VARCHAR", None),
 }
 
 
@@ -87,7 +87,7 @@ def _register_values(name: str) -> None:
 
     @query(name, f"WITH {AUDIT_CTE} SELECT {sql} AS {column}, count(*) AS n FROM audit GROUP BY 1{order}")
     def values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return at.value_counts(audit_log(spark, sf_dir), at.log_value(field), column, top)
+        return at.value_counts(audit_log(spark, sf_dir), at.log_value(F.col(field)), column, top)
 
 
 for _name in VALUES:
