@@ -298,25 +298,44 @@ def hyperparameter_search(
 
 CELL_ROWS = 2000
 PROJECTIONS = 3
+MAX_RANGES = 1024
 
 
-def _cell_neighbours(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Nearest distinct vectors within one cell, the number of copies weighing in at the end."""
-    points = np.stack(rows["v"].to_numpy())
-    ids = rows["vid"].to_numpy()
-    found = []
+def _near_in_block(ids: np.ndarray, points: np.ndarray, k: int) -> list[tuple[str, str, float]]:
+    """The k nearest others of every point in a block of at most a few thousand."""
     squares = (points**2).sum(axis=1)
-    for start in range(0, len(points), 512):
-        block = points[start : start + 512]
-        distance = squares[start : start + 512, None] + squares[None, :] - 2 * block @ points.T
-        distance[np.arange(len(block)), start + np.arange(len(block))] = np.inf
-        near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
-        for i, row in enumerate(near):
-            for j in row:
-                found.append((ids[start + i], ids[j], float(max(distance[i, j], 0.0))))
+    distance = squares[:, None] + squares[None, :] - 2 * points @ points.T
+    np.fill_diagonal(distance, np.inf)
+    near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
+    return [(ids[i], ids[j], float(max(distance[i, j], 0.0))) for i, row in enumerate(near) for j in row]
+
+
+def _cell_neighbours(rows: pd.DataFrame, k: int, cell_rows: int) -> pd.DataFrame:
+    """Nearest vectors within a cell; a cell above its size is cut into blocks along the projection."""
+    rows = rows.sort_values(["_p", "vid"])
+    ids, points = rows["vid"].to_numpy(), np.stack(rows["v"].to_numpy())
+    blocks = -(-len(ids) // cell_rows)
+    found = []
+    for part in np.array_split(np.arange(len(ids)), blocks):
+        found += _near_in_block(ids[part], points[part], k)
     return pd.DataFrame(found, columns=["vid", "near", "distance"])
 
 
+def _project(vectors: DataFrame, name: str, direction: np.ndarray) -> DataFrame:
+    weights = F.array(*[F.lit(float(x)) for x in direction])
+    products = F.zip_with("v", weights, lambda a, b: a * b)
+    return vectors.withColumn(name, F.aggregate(products, F.lit(0.0), lambda a, b: a + b))
+
+
+def _cells(projected: DataFrame, cells: int) -> DataFrame:
+    """Adds `_cell`: ranges of the first projection, each cut again along the second when there are many."""
+    first = min(cells, MAX_RANGES)
+    second = min(-(-cells // MAX_RANGES), MAX_RANGES)
+    outer = range_bucket(projected, "_p", first).withColumnRenamed("_bucket", "_outer") if first > 1 else projected.withColumn("_outer", F.lit(0.0))
+    inner = range_bucket(outer, "_q", second) if second > 1 else outer.withColumn("_bucket", F.lit(0.0))
+    return inner.withColumn("_cell", F.struct("_outer", "_bucket"))
+
+
 def nearest_vectors(vectors: DataFrame, dims: int, k: int, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Up to k nearest other vectors per distinct vector: `vid`, `near`, `distance`.
 
@@ -324,26 +343,28 @@ def nearest_vectors(vectors: DataFrame, dims: int, k: int, seed: int = 42, cell_
     cells of about `cell_rows`, and the nearest over all directions are kept, so work grows with
     the rows and no cell holds more than its share.
     """
-    total = vectors.count()
-    cells = -(-total // cell_rows)
+    cells = -(-vectors.count() // cell_rows)
     rng = np.random.default_rng(seed)
     parts = []
-    for turn in range(1 if cells <= 1 else PROJECTIONS):
-        direction = F.array(*[F.lit(float(x)) for x in rng.normal(size=dims)])
-        projected = vectors.withColumn(
-            "_p", F.aggregate(F.zip_with("v", direction, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        )
-        celled = projected.withColumn("_bucket", F.lit(0.0)) if cells <= 1 else range_bucket(projected, "_p", cells)
+    for _ in range(1 if cells <= 1 else PROJECTIONS):
+        projected = _project(_project(vectors, "_p", rng.normal(size=dims)), "_q", rng.normal(size=dims))
         parts.append(
-            celled.select("_bucket", "vid", "v")
-            .groupBy("_bucket")
-            .applyInPandas(lambda rows: _cell_neighbours(rows, k), "vid string, near string, distance double")
+            _cells(projected, cells)
+            .select("_cell", "vid", "v", "_p")
+            .groupBy("_cell")
+            .applyInPandas(lambda rows: _cell_neighbours(rows, k, cell_rows), "vid string, near string, distance double")
         )
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
     best = Window.partitionBy("vid").orderBy("distance", "near")
-    return pairs.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    return (
+        pairs.groupBy("vid", "near")
+        .agg(F.min("distance").alias("distance"))
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= k)
+        .drop("place")
+    )
 
 
 def smote_oversample(
@@ -376,7 +397,7 @@ def smote_oversample(
     others = sized.withColumn("upto", upto).select("vid", "nv", (F.col("upto") - F.col("nc")).alias("after"), "upto")
     # Every minority row gives needed // n new rows; the remainder is spread evenly in hash order.
     ordered = Window.partitionBy("_part").orderBy("vid")
-    parted = distinct.withColumn("_part", F.left("vid", F.lit(2)))
+    parted = distinct.withColumn("_part", F.left("vid", F.lit(4)))
     offsets = parted.groupBy("_part").agg(F.sum("copies").alias("_c")).select(
         "_part", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_c")).alias("_off")
     )

@@ -42,8 +42,13 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def duplicate_profile(df: DataFrame) -> DataFrame:
-    """Rows after the first of equal rows, and their share. Counts combine map-side."""
-    per_row = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    """Rows after the first of equal rows, and their share.
+
+    Texts are grouped by their SHA-256, so long ones are not shuffled; counts combine map-side.
+    """
+    texts = set(text_columns(df))
+    keys = [F.sha2(c, 256).alias(c) if c in texts else F.col(c) for c in df.columns]
+    per_row = df.select(*keys).groupBy(*df.columns).agg(F.count("*").alias("_n"))
     total = F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint")
     return per_row.agg(total.alias("total_rows"), (total - F.count("*")).alias("duplicate_rows")).withColumn(
         "duplicate_pct", percent(F.col("duplicate_rows"), F.col("total_rows"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 3
+HEX_DIGITS = 4
 RANGES = 1024
 
 
@@ -23,7 +23,7 @@ def hash_key(seed: int | str, *ids: str) -> Column:
 
 
 def _with_offsets(df: DataFrame, strata: list[str], bucket: str, weight: Column) -> DataFrame:
-    """Joins `_before` (weight in earlier buckets) and `_total` per stratum."""
+    """Joins `_before` and `_upto` (weight before and through the bucket) and `_total` per stratum."""
     order = Window.partitionBy(*strata).orderBy(bucket) if strata else Window.partitionBy(F.lit(0)).orderBy(bucket)
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     totals = df.groupBy(*strata, bucket).agg(F.sum(weight).alias("_here"))
@@ -31,6 +31,7 @@ def _with_offsets(df: DataFrame, strata: list[str], bucket: str, weight: Column)
         *strata,
         bucket,
         (F.sum("_here").over(order) - F.col("_here")).alias("_before"),
+        F.sum("_here").over(order).alias("_upto"),
         F.sum("_here").over(whole).alias("_total"),
     )
     return df.join(offsets, [*strata, bucket])
@@ -48,7 +49,7 @@ def hash_rank(df: DataFrame, ids: list[str], strata: list[str], seed: int | str
         _with_offsets(keyed, strata, "_bucket", F.lit(1).cast("bigint"))
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .withColumnRenamed("_total", "stratum_size")
-        .drop("_hash", "_bucket", "_before")
+        .drop("_hash", "_bucket", "_before", "_upto")
     )
 
 
@@ -90,7 +91,7 @@ def row_range(df: DataFrame, id_column: str, first: int, last: int, ranges: int
     inside = Window.partitionBy("_bucket").orderBy(id_column)
     ranked = (
         _with_offsets(bucketed, [], "_bucket", F.lit(1).cast("bigint"))
-        .where((F.col("_before") < last))
+        .where((F.col("_before") < last) & (F.col("_upto") >= first))
         .withColumn("row_no", F.col("_before") + F.row_number().over(inside))
         .where(F.col("row_no").between(first, last))
     )
@@ -117,22 +118,29 @@ def exact_quantiles(
     that is still too large is bracketed again. Only one row per pass reaches the driver.
     """
     numeric = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    counts = numeric.agg(*[F.count(c).alias(c) for c in columns]).first()
+    slack = 2.0 / accuracy
+    points = [x for p in probabilities for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    start = numeric.agg(
+        *[F.count(c).alias(f"{c}_n") for c in columns],
+        *[F.percentile_approx(c, F.lit(points), accuracy).alias(f"{c}_s") for c in columns],
+    ).first()
+    counts = {c: start[f"{c}_n"] for c in columns}
     result: dict[str, dict[float, float]] = {c: {} for c in columns}
     direct = [c for c in columns if counts[c] <= direct_rows]
     if direct:
         row = numeric.agg(*[F.percentile(c, F.lit(probabilities)).alias(c) for c in direct]).first()
         for c in direct:
             result[c] = dict(zip(probabilities, row[c] if row[c] is not None else [None] * len(probabilities)))
-    wanted = {}
+    wanted, edges = {}, {}
     for c in columns:
         if c in direct:
             continue
-        for p in probabilities:
+        for i, p in enumerate(probabilities):
             position = p * (counts[c] - 1)
             for rank in {floor(position), ceil(position)}:
                 wanted[(c, rank)] = (None, None, 0, counts[c])
-    found = _select_ranks(numeric, wanted, direct_rows, accuracy)
+                edges[(c, rank)] = (start[f"{c}_s"][2 * i], start[f"{c}_s"][2 * i + 1])
+    found = _select_ranks(numeric, wanted, edges, direct_rows, accuracy)
     for c in columns:
         if c in direct:
             continue
@@ -153,29 +161,30 @@ def _inside(column: str, bracket: tuple) -> Column:
     return condition
 
 
-def _select_ranks(df: DataFrame, wanted: dict, direct_rows: int, accuracy: int) -> dict:
+def _sketch_edges(df: DataFrame, brackets: dict, accuracy: int) -> dict:
+    """A narrower bracket around each rank; ranks that share a bracket share one sketch."""
+    shared: dict = {}
+    for key, (low, high, below, inside) in brackets.items():
+        share, slack = (key[1] - below) / max(inside - 1, 1), 2.0 / accuracy
+        shared.setdefault((key[0], brackets[key]), []).append((key, [max(0.0, share - slack), min(1.0, share + slack)]))
+    sketches = []
+    for i, ((column, bracket), members) in enumerate(shared.items()):
+        value = F.when(_inside(column, bracket), F.col(column))
+        sketches.append(F.percentile_approx(value, F.lit([p for _, w in members for p in w]), accuracy).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    return {
+        key: (row[f"s{i}"][2 * n], row[f"s{i}"][2 * n + 1])
+        for i, members in enumerate(shared.values())
+        for n, (key, _) in enumerate(members)
+    }
+
+
+def _select_ranks(df: DataFrame, wanted: dict, edges: dict, direct_rows: int, accuracy: int) -> dict:
     """Value at each (column, 0-based rank). A bracket is (low, high, rows below, rows inside)."""
     found: dict = {}
     open_ranks = dict(wanted)
     while open_ranks:
         keys = list(open_ranks)
-        # Ranks that still share a bracket share one sketch.
-        shared: dict = {}
-        for key in keys:
-            low, high, below, inside = open_ranks[key]
-            share, slack = (key[1] - below) / max(inside - 1, 1), 2.0 / accuracy
-            window = [max(0.0, share - slack), min(1.0, share + slack)]
-            shared.setdefault((key[0], open_ranks[key]), []).append((key, window))
-        sketches = []
-        for i, ((column, bracket), members) in enumerate(shared.items()):
-            value = F.when(_inside(column, bracket), F.col(column))
-            points = [p for _, window in members for p in window]
-            sketches.append(F.percentile_approx(value, F.lit(points), accuracy).alias(f"s{i}"))
-        sketch_row = df.agg(*sketches).first()
-        edges = {}
-        for i, members in enumerate(shared.values()):
-            for n, (key, _) in enumerate(members):
-                edges[key] = (sketch_row[f"s{i}"][2 * n], sketch_row[f"s{i}"][2 * n + 1])
         tallies = []
         for i, key in enumerate(keys):
             low, high = edges[key]
@@ -187,8 +196,9 @@ def _select_ranks(df: DataFrame, wanted: dict, direct_rows: int, accuracy: int)
             low, high = edges[key]
             below, inside = tally[f"below{i}"], tally[f"in{i}"]
             if not below <= key[1] < below + inside:
-                raise ArithmeticError("approximate bracket missed the wanted rank")
-            if low == high:
+                # The sketch missed: widen to everything it was taken from and select there.
+                small[key] = open_ranks.pop(key)
+            elif low == high:
                 found[key] = low
                 del open_ranks[key]
             elif inside <= direct_rows or inside == open_ranks[key][3]:
@@ -198,6 +208,8 @@ def _select_ranks(df: DataFrame, wanted: dict, direct_rows: int, accuracy: int)
                 open_ranks[key] = (low, high, below, inside)
         if small:
             found.update(_rank_in_brackets(df, small))
+        if open_ranks:
+            edges = _sketch_edges(df, open_ranks, accuracy)
     return found
 
 
@@ -208,8 +220,12 @@ def _rank_in_brackets(df: DataFrame, brackets: dict) -> dict:
         F.when(_inside(key[0], brackets[key]), F.struct(F.lit(i).alias("slot"), F.col(key[0]).alias("v")))
         for i, key in enumerate(keys)
     ]
+    anywhere = _inside(keys[0][0], brackets[keys[0]])
+    for key in keys[1:]:
+        anywhere = anywhere | _inside(key[0], brackets[key])
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*tagged))).alias("hit"))
+        df.where(anywhere)
+        .select(F.explode(F.array_compact(F.array(*tagged))).alias("hit"))
         .groupBy("hit.slot", "hit.v")
         .agg(F.count("*").alias("n"))
     )
