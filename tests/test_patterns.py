@@ -44,7 +44,7 @@ MISSES = [
     "", " ", "/index/journal/about", "reunion selected", "select", "script>", "java script", "alerting", "or 12", "order by 1", "role", "rolex admin",
     "php", "a.pht1x", "/public/journals/x/a.php", "public/journals/1/", "-- x", "été", "selectéfrom", "cat;", "%2e%2e", "evaluate (", "/wpadmin",
 ]
-ODD = ["union\u00a0select", "be\u017fore union \u017felect", "inform\u0061tion_\u017fchema", "CURL\u2003x", "\u212aiwi promote", "İ<SCRIPT", "select a\nb from c", "select a \u2028 from t"]
+ODD = ["union\u00a0select", "be\u017fore union \u017felect", "inform\u0061tion_\u017fchema", "CURL\u2003x", "\u212aiwi promote", "İ<SCRIPT", "select a\nb from c", "select a \u2028 from t", "insert \u0131nto", "\u0130nsert into", "a.php\u00e9", "a.php-\u00e9", "SLEEP\u3000(", "; \u0130D x"]
 
 
 def expected(family, text):

@@ -1,8 +1,8 @@
 """Attack signature families as column functions.
 
-Each family is one alternation evaluated inside codegen. Pure ASCII text (nearly all
-traffic) is lower-cased once and searched by substrings and a case-sensitive alternation; other
-text takes the Unicode-aware case-insensitive form.
+Text is folded to lower case once and then searched with case-sensitive substrings and one
+alternation per family, all built-in expressions. Java runs that several times faster than a
+case-insensitive Unicode alternation, and the result is the same.
 """
 
 from __future__ import annotations
@@ -152,6 +152,11 @@ FAMILIES: dict[str, list[str]] = {
     ],
 }
 
+# Letters outside ASCII that equal an ASCII letter when case is ignored.
+FOLDED_FROM, FOLDED_TO = "\u017f\u212a\u0130\u0131", "skii"
+# Only \n ends a line; \s and \b know Unicode.
+FOLDED_FLAGS = "(?dU)"
+
 # Plain pieces of the two families whose patterns do not start with plain text.
 NEEDED = {"xml_upload_name": [".ph"], "uploaded_php_access": ["public/journals/"]}
 
@@ -165,13 +170,11 @@ def alternation(family: str) -> str:
     return "(?:" + "|".join(FAMILIES[family]) + ")"
 
 
-def is_ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
-
-
 def folded(text: Column) -> Column:
-    """Lower-cased text where that is the same as ignoring case, else NULL."""
-    return F.when(is_ascii(text), F.lower(text))
+    """Lower-cased text in which ignoring case is the same as comparing: for ASCII patterns only the
+    four letters below fold to ASCII besides the capitals."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, FOLDED_FROM, FOLDED_TO)))
 
 
 def literal_start(pattern: str) -> tuple[str, bool]:
@@ -197,7 +200,7 @@ def _sql_text(text: str) -> str:
 
 
 def folded_search(family: str, low: str) -> Column:
-    """Match on a column of lower-cased ASCII text, given by name.
+    """Match on a column of folded text, given by name.
 
     Plain patterns are substring searches. The others run as one alternation, and only on text
     that holds a plain piece every match of theirs needs.
@@ -210,7 +213,7 @@ def folded_search(family: str, low: str) -> Column:
         pieces = NEEDED.get(family) or sorted({starts[pattern][0] for pattern in regex})
         pieces = [p for p in pieces if not any(o != p and o in p for o in pieces)]
         gate = " OR ".join(f"contains({low}, {_sql_text(piece)})" for piece in pieces)
-        found.append(f"(({gate}) AND {low} RLIKE {_sql_text('(?d)(?:' + '|'.join(regex) + ')')})")
+        found.append(f"(({gate}) AND {low} RLIKE {_sql_text(FOLDED_FLAGS + '(?:' + '|'.join(regex) + ')')})")
     return F.expr(" OR ".join(found))
 
 
@@ -219,9 +222,9 @@ def matches(family: str, text: Column, low: str | None = None) -> Column:
 
     `low` names a column that already holds `folded(text)`; it makes the search much cheaper.
     """
-    pattern = alternation(family)
-    quick = folded_search(family, low) if low else folded(text).rlike("(?d)" + pattern.lower())
-    return F.coalesce(quick, text.rlike("(?iUud)" + pattern), F.lit(False))
+    if low:
+        return F.coalesce(folded_search(family, low), F.lit(False))
+    return F.coalesce(folded(text).rlike(FOLDED_FLAGS + alternation(family).lower()), F.lit(False))
 
 
 def flag(condition: Column) -> Column:
