@@ -41,6 +41,12 @@ def test_cooldown_is_exact(spark, count, span_ms, grid_ms, segment_rows):
     assert got == greedy(rows, 10_000_000)
 
 
+def test_cooldown_keeps_first_of_equal_instants(spark):
+    df = spark.range(9).select("id", F.timestamp_seconds(F.floor(F.col("id") / 3) * 6).alias("ts"), F.lit("x").alias("other"))
+    rows = alert_cooldown(df.orderBy(F.desc("id")), "ts", ["id"], None, 10).collect()
+    assert sorted((r.id, r.other) for r in rows) == [(0, "x"), (6, "x")]
+
+
 def test_global_cooldown_and_row_order(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"id": np.arange(800), "us": rng.integers(0, 400_000_000, 800)})
@@ -72,7 +78,12 @@ def test_hash_rank_is_a_permutation(spark):
 
 def test_row_range(spark):
     df = spark.range(0, 5000, 7).orderBy(F.rand(1))
-    assert sorted(r.id for r in rk.row_range(df, "id", 3, 11, ranges=16).collect()) == [7 * i for i in range(2, 11)]
+    for direct_rows in (5, 100, 1_000_000):
+        assert sorted(r.id for r in rk.row_range(df, "id", 3, 11, direct_rows).collect()) == [7 * i for i in range(2, 11)]
+    assert rk.row_range(df, "id", 700, 9999).count() == 715 - 699
+    assert rk.row_range(df, "id", 9000, 9999).count() == 0
+    far = spark.range(50).select((F.col("id") + 2**62).alias("id"))
+    assert sorted(r.id - 2**62 for r in rk.row_range(far, "id", 10, 12, 1).collect()) == [9, 10, 11]
     with pytest.raises(ValueError):
         rk.row_range(df, "id", 0, 3)
 

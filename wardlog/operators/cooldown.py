@@ -179,9 +179,7 @@ def alert_cooldown(
     width, low, high = _segment_width(timed.select("_us"), gap, segment_rows)
     segment = F.floor((F.col("_us") - F.lit(low)) / F.lit(width)).cast("bigint")
     keyed = timed.withColumn("_segment", segment)
-    # Only the first row of an instant can be kept.
-    first = keyed.groupBy("_key", "_segment", "_us").agg(F.min(F.struct(*ids)).alias("_first"))
-    times = first.select("_key", "_segment", "_us")
+    times = keyed.select("_key", "_segment", "_us").distinct()
 
     def steps(rows: Columns) -> Columns:
         start = low + int(rows["_segment"][0]) * width
@@ -207,5 +205,6 @@ def alert_cooldown(
             entries = _entry_states(functions, entries)
         waiting = times.join(entries, ["_key", "_segment"])
     kept = map_groups(waiting, ["_key", "_segment"], "_us", mark, "_key string, _segment bigint, _us bigint")
-    chosen = first.join(kept, ["_key", "_segment", "_us"]).select("_key", "_segment", "_us", "_first.*")
-    return keyed.join(chosen, ["_key", "_segment", "_us", *ids], "left_semi").select(*df.columns)
+    # Of the rows of a kept instant only the first is kept.
+    first = F.min_by(F.struct(*df.columns), F.struct(*ids)).alias("_row")
+    return keyed.join(kept, ["_key", "_segment", "_us"]).groupBy("_key", "_segment", "_us").agg(first).select("_row.*")

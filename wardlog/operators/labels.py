@@ -56,7 +56,7 @@ def export_last_n(events: DataFrame, n: int) -> DataFrame:
 
 def export_row_range(events: DataFrame, start_row: int, end_row: int) -> DataFrame:
     """Rows number start..end by id, inclusive, without sorting the table in one place."""
-    return training_export(row_range(events, "id", start_row, end_row).drop("row_no"))
+    return training_export(row_range(events, "id", start_row, end_row))
 
 
 def _positive(n: int) -> int:

@@ -23,7 +23,7 @@ def hash_key(seed: int | str, *ids: str) -> Column:
 
 
 def _with_offsets(df: DataFrame, strata: list[str], bucket: str, weight: Column) -> DataFrame:
-    """Joins `_before` and `_upto` (weight before and through the bucket) and `_total` per stratum."""
+    """Joins `_before` (weight in earlier buckets) and `_total` per stratum."""
     order = Window.partitionBy(*strata).orderBy(bucket) if strata else Window.partitionBy(F.lit(0)).orderBy(bucket)
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     totals = df.groupBy(*strata, bucket).agg(F.sum(weight).alias("_here"))
@@ -31,7 +31,6 @@ def _with_offsets(df: DataFrame, strata: list[str], bucket: str, weight: Column)
         *strata,
         bucket,
         (F.sum("_here").over(order) - F.col("_here")).alias("_before"),
-        F.sum("_here").over(order).alias("_upto"),
         F.sum("_here").over(whole).alias("_total"),
     )
     return df.join(offsets, [*strata, bucket])
@@ -49,7 +48,7 @@ def hash_rank(df: DataFrame, ids: list[str], strata: list[str], seed: int | str
         _with_offsets(keyed, strata, "_bucket", F.lit(1).cast("bigint"))
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .withColumnRenamed("_total", "stratum_size")
-        .drop("_hash", "_bucket", "_before", "_upto")
+        .drop("_hash", "_bucket", "_before")
     )
 
 
@@ -83,24 +82,30 @@ def running_totals(
     )
 
 
-def row_range(df: DataFrame, id_column: str, first: int, last: int, ranges: int = RANGES) -> DataFrame:
-    """Rows number `first`..`last` in id order (from 1, inclusive). Ids are unique numbers."""
-    if first < 1 or last < first:
-        raise ValueError("need 1 <= first <= last")
-    bucketed = range_bucket(df, id_column, ranges)
-    inside = Window.partitionBy("_bucket").orderBy(id_column)
-    ranked = (
-        _with_offsets(bucketed, [], "_bucket", F.lit(1).cast("bigint"))
-        .where((F.col("_before") < last) & (F.col("_upto") >= first))
-        .withColumn("row_no", F.col("_before") + F.row_number().over(inside))
-        .where(F.col("row_no").between(first, last))
-    )
-    return ranked.select("row_no", *df.columns)
+def values_at_ranks(df: DataFrame, column: str, ranks: list[int], direct_rows: int = 1_000_000, accuracy: int = 10_000) -> dict[int, object]:
+    """Value of a numeric column at each 0-based rank that exists."""
+    narrow = df.select(column).where(F.col(column).isNotNull())
+    n = narrow.count()
+    wanted = {(column, rank): (None, None, 0, n) for rank in ranks if 0 <= rank < n}
+    if not wanted:
+        return {}
+    edges = _sketch_edges(narrow, wanted, accuracy)
+    return {rank: value for (_, rank), value in _select_ranks(narrow, wanted, edges, direct_rows, accuracy).items()}
+
 
+def row_range(df: DataFrame, id_column: str, first: int, last: int, direct_rows: int = 1_000_000) -> DataFrame:
+    """Rows number `first`..`last` in id order (from 1, inclusive). Ids are unique numbers.
 
-def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First n rows of an order (top-k without a full sort for the sizes reports use)."""
-    return df.orderBy(*order).limit(n)
+    The two limiting ids are found first, on the id column alone; the rows are then one range filter,
+    which reaches the scan.
+    """
+    if first < 1 or last < first:
+        raise ValueError("need 1 <= first <= last")
+    limits = values_at_ranks(df, id_column, [first - 1, last - 1], direct_rows)
+    if first - 1 not in limits:
+        return df.where(F.lit(False))
+    kept = df.where(F.col(id_column) >= limits[first - 1])
+    return kept.where(F.col(id_column) <= limits[last - 1]) if last - 1 in limits else kept
 
 
 def sample_rows(df: DataFrame, n: int, ids: list[str], seed: int | str = 42) -> DataFrame:
