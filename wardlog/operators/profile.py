@@ -107,11 +107,9 @@ def categorical_top10(df: DataFrame, columns: list[str] | None = None, top: int
 
 
 def pearson(a: str, b: str) -> Column:
-    """Correlation that is NULL, not an error, for a constant column."""
+    """Correlation over complete pairs; NULL, not an error, for a constant column."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    left, right = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(left, right), F.stddev_pop(left) * F.stddev_pop(right))
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
 
 
 def correlation_with_label(df: DataFrame, label: str, columns: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wardlog.functions.patterns import alternation
-from wardlog.plans.driver_log import AUDIT_CTE, CLIENT_SQL
+from wardlog.plans.driver_log import AUDIT_CTE
 
 
 def hit(family: str, text: str) -> str:
@@ -112,4 +112,3 @@ attacks AS (
 )
 """
 )
-__all__ = ["CLIENT_SQL", "FEATURE_CTE", "FLAGS", "FLAT_COLUMNS", "FLAT_CTE", "TYPED_CTE", "hit", "no_index", "no_index_any_case"]

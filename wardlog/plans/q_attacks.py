@@ -16,7 +16,6 @@ from wardlog.plans.driver_log import AUDIT_CTE, audit_log, demo_probability
 from wardlog.plans.flat_sql import FEATURE_CTE, FLAGS, TYPED_CTE
 from wardlog.plans.frames import attack_rows, decided_rows, feature_rows
 from wardlog.plans.registry import query, table
-from wardlog.sources.schemas import BASE_COLUMNS, FLAG_COLUMNS
 
 LOG_TYPES_CTE = f"""{AUDIT_CTE},
 logged AS (
@@ -569,5 +568,3 @@ def union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.lit("2026-01-02").alias("source_date"))
     return lb.union_sources(docs, pages)
 
-
-STORED_COLUMNS = [*BASE_COLUMNS, *FLAG_COLUMNS]

@@ -86,7 +86,7 @@ def duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def describe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.describe_numeric(spread(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS)), LINE_NUMBERS, DIRECT_ROWS)
+    return pf.describe_numeric(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), LINE_NUMBERS, DIRECT_ROWS)
 
 
 TEXTS = ["c_mktsegment", "c_name"]
@@ -167,7 +167,7 @@ OUTLIERS = ["value", "user_id"]
     + ") WHERE outliers > 0",
 )
 def outliers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.iqr_outliers(spread(table(spark, sf_dir, "events").select(*OUTLIERS)), OUTLIERS, DIRECT_ROWS)
+    return pf.iqr_outliers(table(spark, sf_dir, "events").select(*OUTLIERS), OUTLIERS, DIRECT_ROWS)
 
 
 @query(
@@ -241,6 +241,6 @@ def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.when(eid % 7 != 0, F.col("value")).alias("value"), "user_id", F.when(eid % 3 != 0, F.col("event_type")).alias("event_type")
     )
-    doubled = spread(rows.unionByName(rows.where("user_id % 5 = 0")))
+    doubled = rows.unionByName(rows.where("user_id % 5 = 0"))
     cleaned = pf.eda_clean(doubled, ["event_id"], DIRECT_ROWS)
     return cleaned.select("event_id", "event_type", F.round("value", 6).alias("value"), F.round("user_id", 6).alias("user_id"))

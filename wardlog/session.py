@@ -20,6 +20,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Base folder that all executors can reach, as named by the cluster.
 
@@ -29,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="wardlog-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="wardlog-")
+        _LOCAL_DIRS[app] = base
     return base.rstrip("/")
 
 
