@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlog.llm import cuckoo_index
+from wardlog.llm import cuckoo_index, histogram_packing, unigram_counts
 from wardlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,18 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all `documents`."""
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of at most 2048 tokens."""
+    return histogram_packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of `documents` by the cuckoo-filter index."""
