@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlog.llm import cuckoo_index, histogram_packing, unigram_counts
+from wardlog.llm import bit_slices, cuckoo_index, histogram_packing, source_schedule, unigram_counts
 from wardlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` mixed to 150 % of their words."""
+    mixed = source_schedule.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all `documents`."""
@@ -31,6 +38,26 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector of `embeddings`."""
+    return bit_slices.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, a.r, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0
+), t AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of `documents` by the cuckoo-filter index."""
