@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlog.llm import bit_slices, cuckoo_index, histogram_packing, source_schedule, unigram_counts
+from wardlog.llm import bit_slices, cuckoo_index, histogram_packing, source_schedule, tensored_minhash, unigram_counts
 from wardlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,32 @@ def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of `documents` with similarity of at least 0.85 on five-word shingles."""
+    return tensored_minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
+ORACLES["op5_tensored_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), sides AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM w UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON sides.a = reach.seen
+)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all `documents`."""
