@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlog.llm import bit_slices, cuckoo_index, histogram_packing, source_schedule, tensored_minhash, unigram_counts
+from wardlog.llm import (
+    bit_slices,
+    cuckoo_index,
+    histogram_packing,
+    importance_resample,
+    source_schedule,
+    tensored_minhash,
+    unigram_counts,
+    url_language,
+)
 from wardlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +28,12 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_url_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all `pages` urls by rules and character language models."""
+    return url_language.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` mixed to 150 % of their words."""
@@ -26,6 +41,12 @@ def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance weights of the good labelled ones."""
+    return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of `documents` with similarity of at least 0.85 on five-word shingles."""
