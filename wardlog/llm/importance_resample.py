@@ -32,7 +32,8 @@ from wardlog.session import stage
 
 BUCKETS = 1 << 18
 TARGET_ROWS = 20_000
-SMOOTHING = 1.0
+#: Counts that both models get in each bucket, so that rare n-grams, which the target sample can't show, weigh little.
+SMOOTHING = 16.0
 #: Sums are compared in units of 2^-UNIT_BITS.
 UNIT_BITS, KEY_BITS = 20, 60
 CACHED_WORDS = 500_000
@@ -95,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> n
     raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
     if not target.sum():
         return np.zeros(BUCKETS)
-    ratio = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
+    expected = raw * (target.sum() / raw.sum())
+    ratio = np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
     return ratio - (target * ratio).sum() / target.sum()
 
 

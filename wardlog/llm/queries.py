@@ -11,6 +11,7 @@ from wardlog.llm import (
     cuckoo_index,
     histogram_packing,
     importance_resample,
+    license_index,
     source_schedule,
     tensored_minhash,
     unigram_counts,
@@ -47,6 +48,12 @@ def op3_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all `documents`."""
+    return license_index.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of `documents` with similarity of at least 0.85 on five-word shingles."""
