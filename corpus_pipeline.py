@@ -1,10 +1,75 @@
-"""Corpus pipeline: each stage applies one operator to what the stage before it kept."""
+"""Corpus pipeline: each stage applies one operator to what the stage before it kept.
+
+A stage function takes (spark, docs, sf_dir) and returns documents with the columns of its input; only the last one
+returns packed pieces instead. Decisions are written to the shared folder first, so that their size is known when they
+are joined to the texts. `doc_id` names a document: the rows of an id go or stay together, and rows that repeat an id with
+the same text become one row in exact deduplication. Rows without an id can't be named by a decision and stay.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlog.llm import cuckoo_index, histogram_packing, language_fusion, source_schedule, tensored_minhash
+from wardlog.llm.common import prepare, table
+from wardlog.session import stage
+
+#: The stages are iterative and tested against a brute-force run; SQL can't express them.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id is not among the rows of `gone`."""
+    return docs.join(stage(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are in none of the languages, or whose language stays open."""
+    return _without(docs, language_fusion.identify(docs).where("NOT kept"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of equal texts, once."""
+    found = stage(cuckoo_index.dedup(docs), "copies")
+    left = _without(docs, found.where("NOT kept"))
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return left if repeated.isEmpty() else left.where("doc_id IS NULL").union(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near duplicates (five words, 0.8)."""
+    return _without(docs, tensored_minhash.near_duplicates(docs).where("NOT kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops whole documents as the mix takes them: a pass counts if it takes at least half of the words."""
+    mixed = source_schedule.mix(docs)
+    passes = [(2 * F.col("first_pass") >= F.col("size")).cast("int"), (2 * (F.col("taken") - F.col("first_pass")) >= F.col("size")).cast("int")]
+    copies = F.when(F.col("size") > 0, passes[0] + passes[1]).otherwise(1)
+    plan = stage(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias("_copies")), "mix")
+    joined = docs.join(plan, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 2048 tokens."""
+    return histogram_packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; each stage's documents are written once and read again by the next."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES[:-1]:
+        docs = stage(work(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

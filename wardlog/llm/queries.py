@@ -11,6 +11,7 @@ from wardlog.llm import (
     cuckoo_index,
     histogram_packing,
     importance_resample,
+    language_fusion,
     license_index,
     source_schedule,
     tensored_minhash,
@@ -80,6 +81,12 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 
+@query
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all `documents` from text, declaration and source."""
+    return language_fusion.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all `documents`."""
