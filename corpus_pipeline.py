@@ -47,9 +47,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = source_schedule.mix(docs)
     passes = [(2 * F.col("first_pass") >= F.col("size")).cast("int"), (2 * (F.col("taken") - F.col("first_pass")) >= F.col("size")).cast("int")]
     copies = F.when(F.col("size") > 0, passes[0] + passes[1]).otherwise(1)
-    plan = stage(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias("_copies")), "mix")
-    joined = docs.join(plan, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    own = "copies"
+    while own in docs.columns:  # never a column of the documents
+        own += "_"
+    plan = stage(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias(own)), "mix")
+    joined = docs.join(plan, "doc_id", "left").withColumn(own, F.coalesce(own, F.lit(1)))
+    repeated = joined.where(F.col(own) > 0).withColumn(own, F.explode(F.sequence(F.lit(1), own)))
+    return repeated.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
