@@ -56,13 +56,14 @@ def test_global_cooldown_and_row_order(spark):
     assert alert_cooldown(df.where("id < 0"), "ts", ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("direct_rows", [10, 100, 1_000_000])
-def test_exact_quantiles(spark, direct_rows):
+@pytest.mark.parametrize("select_rows", [10, 100, 1_000_000])
+def test_exact_quantiles(spark, select_rows, monkeypatch):
+    monkeypatch.setattr(rk, "SELECT_ROWS", select_rows)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"a": rng.normal(size=4000), "b": np.where(rng.random(4000) < 0.4, 7.0, rng.integers(0, 50, 4000)), "c": np.exp(rng.normal(size=4000) * 9)})
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
     df = spark.createDataFrame(pdf).withColumn("n", F.lit(None).cast("double"))
-    got = rk.exact_quantiles(df, ["a", "b", "c", "n"], probabilities, direct_rows, accuracy=200)
+    got = rk.exact_quantiles(df, ["a", "b", "c", "n"], probabilities, accuracy=200)
     for c in "abc":
         assert np.allclose([got[c][p] for p in probabilities], np.quantile(pdf[c], probabilities), rtol=1e-12)
     assert list(got["n"].values()) == [None] * 5
@@ -78,12 +79,13 @@ def test_hash_rank_is_a_permutation(spark):
 
 def test_row_range(spark):
     df = spark.range(0, 5000, 7).orderBy(F.rand(1))
-    for direct_rows in (5, 100, 1_000_000):
-        assert sorted(r.id for r in rk.row_range(df, "id", 3, 11, direct_rows).collect()) == [7 * i for i in range(2, 11)]
+    for select_rows in (5, 100, 1_000_000):
+        rk.SELECT_ROWS = select_rows
+        assert sorted(r.id for r in rk.row_range(df, "id", 3, 11).collect()) == [7 * i for i in range(2, 11)]
     assert rk.row_range(df, "id", 700, 9999).count() == 715 - 699
     assert rk.row_range(df, "id", 9000, 9999).count() == 0
     far = spark.range(50).select((F.col("id") + 2**62).alias("id"))
-    assert sorted(r.id - 2**62 for r in rk.row_range(far, "id", 10, 12, 1).collect()) == [9, 10, 11]
+    assert sorted(r.id - 2**62 for r in rk.row_range(far, "id", 10, 12).collect()) == [9, 10, 11]
     with pytest.raises(ValueError):
         rk.row_range(df, "id", 0, 3)
 
@@ -145,7 +147,7 @@ def test_eda_clean_against_pandas(spark):
     want = want[keep]
     for c in "ab":
         want[c] = (want[c] - want[c].mean()) / want[c].std(ddof=0)
-    got = pf.eda_clean(df, direct_rows=20).toPandas()
+    got = pf.eda_clean(df).toPandas()
     assert len(got) == len(want) and set(got.t) == {"x", ""} and set(got.z) == {0.0}
     for c in "ab":
         assert np.allclose(np.sort(got[c]), np.sort(want[c]))

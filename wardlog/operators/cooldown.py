@@ -49,10 +49,14 @@ def segment_steps(times: np.ndarray, start: int, gap: int) -> tuple[np.ndarray,
     """
     count = len(times)
     following = np.searchsorted(times, times + gap)
-    leave = times + gap
-    for i in range(count - 1, -1, -1):
-        if following[i] < count:
-            leave[i] = leave[following[i]]
+    last = np.where(following < count, following, np.arange(count))
+    # Each round doubles the number of kept rows that a path jumps over, until all are at the last one.
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    leave = times[last] + gap
     entries = min(int(np.searchsorted(times, start + gap)) + 1, count)
     return merge_steps(times[:entries], leave[:entries])
 
@@ -82,22 +86,35 @@ def compose(functions: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def sorted_runs(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[list[Columns]]:
-    """Complete groups of a partition sorted by `group`, a list of them per incoming batch."""
-    pending: list[pd.DataFrame] = []
+    """Complete groups of a partition sorted by `group`, a list of them per incoming batch.
+
+    The parts of a group that goes on over several batches are joined once, when it ends.
+    """
+    open_parts: list[Columns] = []
+
+    def closed() -> Columns:
+        return {name: np.concatenate([part[name] for part in open_parts]) for name in open_parts[0]}
+
     for batch in batches:
         if batch.empty:
             continue
-        rows = batch if not pending else pd.concat([*pending, batch], ignore_index=True)
-        changed = np.zeros(len(rows) - 1, dtype=bool)
+        columns = {name: batch[name].to_numpy() for name in batch.columns}
+        changed = np.zeros(len(batch) - 1, dtype=bool)
         for name in group:
-            values = rows[name].to_numpy()
-            changed |= values[1:] != values[:-1]
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
-        columns = {name: rows[name].to_numpy() for name in rows.columns}
-        yield [{n: v[a:b] for n, v in columns.items()} for a, b in zip(cuts[:-1], cuts[1:])]
-        pending = [rows.iloc[cuts[-1] :]]
-    if pending:
-        yield [{name: pending[0][name].to_numpy() for name in pending[0].columns}]
+            changed |= columns[name][1:] != columns[name][:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+        parts = [{n: v[a:b] for n, v in columns.items()} for a, b in zip(cuts[:-1], cuts[1:])]
+        done = []
+        if open_parts and any(open_parts[-1][name][-1] != parts[0][name][0] for name in group):
+            done.append(closed())
+            open_parts = []
+        open_parts.append(parts[0])
+        if len(parts) > 1:
+            done += [closed(), *parts[1:-1]]
+            open_parts = [parts[-1]]
+        yield done
+    if open_parts:
+        yield [closed()]
 
 
 def map_groups(df: DataFrame, group: list[str], order: str, work: Callable[[Columns], Columns], schema: str) -> DataFrame:
@@ -171,9 +188,12 @@ def alert_cooldown(
     gap_seconds: int = GAP_SECONDS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Rows of `df` that raise an alert. Order is (ts, ids); without `key` the cool-down is global."""
+    """Rows of `df` that raise an alert. Order is (ts, ids); without `key` the cool-down is global.
+
+    Rows without a time have no place in the order; they raise no alert and hold none back.
+    """
     gap = gap_seconds * 1_000_000
-    timed = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")).withColumn(
+    timed = df.where(F.col(ts).cast("timestamp").isNotNull()).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")).withColumn(
         "_us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
     width, low, high = _segment_width(timed.select("_us"), gap, segment_rows)

@@ -47,11 +47,14 @@ def labeled_export(events: DataFrame) -> DataFrame:
 
 
 def export_first_n(events: DataFrame, n: int) -> DataFrame:
-    return training_export(events.orderBy("id").limit(_positive(n)))
+    """The n smallest ids: the limiting id is found first, then the rows are one filter."""
+    return export_row_range(events, 1, _positive(n))
 
 
 def export_last_n(events: DataFrame, n: int) -> DataFrame:
-    return training_export(events.orderBy(F.desc("id")).limit(_positive(n))).orderBy("id")
+    """The n largest ids, found in the same way."""
+    total = events.where(F.col("id").isNotNull()).count()
+    return export_row_range(events, max(1, total - _positive(n) + 1), max(1, total))
 
 
 def export_row_range(events: DataFrame, start_row: int, end_row: int) -> DataFrame:
@@ -148,13 +151,19 @@ def _aligned(df: DataFrame) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each different row once. Rows are grouped by a digest, so long texts are no part of the key."""
+    digest = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(digest.alias("_digest")).agg(F.any_value(F.struct(*df.columns)).alias("_row")).select("_row.*")
+
+
 def merge_datasets(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old columns of both sets by name, full duplicates dropped.
 
     Columns are matched by name, so the label always comes from a column named label.
     """
     kept = _aligned(old)
-    return kept.unionByName(_aligned(new).select(*old.columns)).dropDuplicates()
+    return distinct_rows(kept.unionByName(_aligned(new).select(*old.columns)))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

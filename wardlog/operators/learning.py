@@ -32,6 +32,7 @@ from wardlog.functions import scalars as S
 from wardlog.operators.labels import harmonize_training_columns, normalize_scoring_row
 from wardlog.operators.metrics import classification_metrics, cve_sample_weight, stratified_folds, stratified_split
 from wardlog.operators.ranking import range_bucket
+from wardlog.session import stage
 from wardlog.sources.schemas import NUMERIC_FEATURES
 
 # Vocabulary size and token shape of the URI text features.
@@ -57,7 +58,7 @@ def uri_tfidf(df: DataFrame, ids: list[str], text: str, max_terms: int = MAX_TER
     The vocabulary has at most `max_terms` rows, which is what gets broadcast. Ties by term.
     """
     tokens = df.select(*ids, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term"))
-    counts = tokens.groupBy(*ids, "term").agg(F.count("*").alias("tf"))
+    counts = stage(tokens.groupBy(*ids, "term").agg(F.count("*").alias("tf")), "terms")
     vocabulary = (
         counts.groupBy("term")
         .agg(F.sum("tf").alias("total"), F.count("*").alias("docs"))

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.operators.ranking import hash_rank, running_totals
+from wardlog.operators.ranking import hash_cut, hash_key, hash_rank, running_totals
 
 PLACES = 6
 CVE_WEIGHT = 10.0
 
 
 def stratified_split(df: DataFrame, ids: list[str], label: str = "label", test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds `split` (train/test): per label the first ceil(test_size * n) rows in hash order are test."""
-    ranked = hash_rank(df, ids, [label], seed)
-    test = F.col("rank") <= F.ceil(F.round(F.col("stratum_size") * test_size, 9))
-    return ranked.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("rank", "stratum_size")
+    """Adds `split` (train/test): per label the first ceil(test_size * n) rows in hash order are test.
+
+    NULL is a label of its own. The cut of each label is found first; the rows themselves are not moved.
+    """
+    cuts = hash_cut(df, ids, [label], F.ceil(F.round(F.col("stratum_size") * test_size, 9)), seed)
+    cuts = cuts.select(F.col(label).alias("_label"), "_cut")
+    test = F.struct(hash_key(seed, *ids).alias("_hash"), *ids) <= F.col("_cut")
+    split = F.when(F.coalesce(test, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
+    return df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").select(*df.columns, split.alias("split"))
 
 
 def approx_split(df: DataFrame, ids: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:

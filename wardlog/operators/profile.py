@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlog.operators.attack import percent
+from wardlog.operators.labels import distinct_rows
 from wardlog.operators.ranking import exact_quantiles
+from wardlog.session import stage
 
 QUARTILES = [0.25, 0.5, 0.75]
 PLACES = 6
@@ -66,10 +68,10 @@ def completeness(df: DataFrame) -> DataFrame:
     )
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None, direct_rows: int = 1_000_000) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, exact linear quartiles, max per column."""
     columns = columns or numeric_columns(df)
-    quartiles = exact_quantiles(df, columns, QUARTILES, direct_rows)
+    quartiles = exact_quantiles(df, columns, QUARTILES)
     aggregates = []
     for c in columns:
         value = F.col(c).cast("double")
@@ -139,9 +141,9 @@ def high_correlation_pairs(df: DataFrame, columns: list[str], limit: float = 0.9
     return pairs.where(F.abs("correlation") > limit).orderBy(F.desc("correlation"), "feature_1", "feature_2")
 
 
-def iqr_bounds(df: DataFrame, columns: list[str], direct_rows: int = 1_000_000) -> dict[str, tuple[float, float, float]]:
+def iqr_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
     """Per column: lower bound, upper bound, interquartile range."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75], direct_rows)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.75])
     bounds = {}
     for c in columns:
         q1, q3 = quartiles[c][0.25], quartiles[c][0.75]
@@ -150,9 +152,9 @@ def iqr_bounds(df: DataFrame, columns: list[str], direct_rows: int = 1_000_000)
     return bounds
 
 
-def iqr_outliers(df: DataFrame, columns: list[str], direct_rows: int = 1_000_000) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with values outside the 1.5 IQR fence: count, share, bounds."""
-    bounds = iqr_bounds(df, columns, direct_rows)
+    bounds = iqr_bounds(df, columns)
     row = df.agg(
         F.count("*").alias("_n"),
         *[F.count_if((F.col(c) < low) | (F.col(c) > high)).alias(c) for c, (low, high, _) in bounds.items()],
@@ -171,22 +173,21 @@ def flag_distribution(df: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def distinct_profile(df: DataFrame, top: int = 5) -> DataFrame:
-    """Distinct addresses and URIs, the methods seen, and the most frequent URIs, as labelled rows."""
-    uris = df.groupBy("uri").agg(F.count("*").alias("n"))
-    none = F.lit(None).cast("string")
-    unique = df.agg(F.countDistinct("source_ip").alias("ips"), F.countDistinct("uri").alias("uris")).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("unique_source_ips").alias("metric"), none.alias("value"), F.col("ips").alias("n")),
-                F.struct(F.lit("unique_uris").alias("metric"), none.alias("value"), F.col("uris").alias("n")),
-            )
-        )
-    )
-    methods = df.groupBy("method").agg(F.count("*").alias("n")).select(
-        F.lit("method").alias("metric"), F.col("method").alias("value"), "n"
-    )
-    best = uris.orderBy(F.desc("n"), "uri").limit(top).select(F.lit("top_uri").alias("metric"), F.col("uri").alias("value"), "n")
-    return unique.unionByName(methods).unionByName(best)
+    """Distinct addresses and URIs, the methods seen, and the most frequent URIs, as labelled rows.
+
+    The three columns are counted in one grouping of (column, value) pairs, read once.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("source_ip", "uri", "method")])
+    counts = stage(df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n")), "distinct-values")
+    of = {c: counts.where(F.col("column") == c) for c in ("source_ip", "uri", "method")}
+
+    def size(metric: str, column: str) -> DataFrame:
+        number = F.count_if(F.col("value").isNotNull()).alias("n")
+        return of[column].agg(number).select(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("value"), "n")
+
+    best = of["uri"].orderBy(F.desc("n"), "value").limit(top)
+    lists = [rows.select(F.lit(m).alias("metric"), "value", "n") for m, rows in (("method", of["method"]), ("top_uri", best))]
+    return size("unique_source_ips", "source_ip").unionByName(size("unique_uris", "uri")).unionByName(lists[0]).unionByName(lists[1])
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -207,7 +208,6 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 def mutual_information(
     df: DataFrame, label: str, columns: list[str], binned: list[str] | None = None, bins: int = 10,
-    direct_rows: int = 1_000_000,
 ) -> DataFrame:
     """Discrete mutual information (nats) of each column with the label, strongest first.
 
@@ -215,7 +215,7 @@ def mutual_information(
     are. Everything works on the contingency counts.
     """
     binned = binned or []
-    cuts = exact_quantiles(df, binned, [i / bins for i in range(1, bins)], direct_rows) if binned else {}
+    cuts = exact_quantiles(df, binned, [i / bins for i in range(1, bins)]) if binned else {}
     items = []
     for c in columns:
         value = F.col(c).cast("double")
@@ -238,7 +238,7 @@ def mutual_information(
     )
 
 
-def eda_clean(df: DataFrame, ids: list[str] | None = None, direct_rows: int = 1_000_000) -> DataFrame:
+def eda_clean(df: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """Distinct rows, at least half filled, median and '' filled, inside every IQR fence, scaled.
 
     Columns named in `ids` pass through unscaled. Numeric columns become doubles scaled by the
@@ -247,8 +247,8 @@ def eda_clean(df: DataFrame, ids: list[str] | None = None, direct_rows: int = 1_
     ids = ids or []
     numeric = [c for c in numeric_columns(df) if c not in ids]
     text = [c for c in text_columns(df) if c not in ids]
-    kept = df.dropDuplicates().dropna(thresh=int(len(df.columns) * 0.5))
-    medians = exact_quantiles(kept, numeric, [0.5], direct_rows)
+    kept = stage(distinct_rows(df).dropna(thresh=int(len(df.columns) * 0.5)), "distinct")
+    medians = exact_quantiles(kept, numeric, [0.5])
     filled = kept.withColumns(
         {
             **{c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0.5]).cast("double")) for c in numeric},
@@ -256,7 +256,7 @@ def eda_clean(df: DataFrame, ids: list[str] | None = None, direct_rows: int = 1_
         }
     )
     inside = filled
-    for c, (low, high, iqr) in iqr_bounds(filled, numeric, direct_rows).items():
+    for c, (low, high, iqr) in iqr_bounds(filled, numeric).items():
         if iqr != 0:
             inside = inside.where(F.col(c).between(low, high))
     stats = inside.agg(*[f(c).alias(f"{c}_{n}") for c in numeric for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()

@@ -7,14 +7,19 @@ inside one range are ever sorted together.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, floor
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEX_DIGITS = 4
-RANGES = 1024
+#: Distinct values that one range of a running total aims at, and equal ranges of a quantile sketch at most.
+RANGE_ROWS, MOST_RANGES = 100_000, 65_536
+#: Distinct values that one task orders when a rank is selected.
+SELECT_ROWS = 10_000
 
 
 def hash_key(seed: int | str, *ids: str) -> Column:
@@ -33,14 +38,16 @@ def _with_offsets(df: DataFrame, strata: list[str], bucket: str, weight: Column)
         (F.sum("_here").over(order) - F.col("_here")).alias("_before"),
         F.sum("_here").over(whole).alias("_total"),
     )
-    return df.join(offsets, [*strata, bucket])
+    named = offsets.withColumnsRenamed({c: f"_of_{c}" for c in [*strata, bucket]})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*strata, bucket]]
+    return df.join(named, reduce(and_, same)).drop(*[f"_of_{c}" for c in [*strata, bucket]])
 
 
 def hash_rank(df: DataFrame, ids: list[str], strata: list[str], seed: int | str = 42, digits: int = HEX_DIGITS) -> DataFrame:
     """Adds `rank` (1..n per stratum, in md5 order) and `stratum_size`.
 
     A stratum is spread over 16^digits hash ranges, so one huge class never meets in one task.
-    Strata must not be NULL and `ids` must identify a row.
+    NULL is a stratum of its own; `ids` must identify a row.
     """
     keyed = df.withColumn("_hash", hash_key(seed, *ids)).withColumn("_bucket", F.left("_hash", F.lit(digits)))
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_hash", *ids)
@@ -52,8 +59,33 @@ def hash_rank(df: DataFrame, ids: list[str], strata: list[str], seed: int | str
     )
 
 
-def range_bucket(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """Adds `_bucket`: the quantile range a numeric value falls in. Only the edges reach the driver."""
+def hash_cut(df: DataFrame, ids: list[str], strata: list[str], wanted: Column, seed: int | str = 42) -> DataFrame:
+    """Per stratum, as `_cut`, the (hash, ids) of the last row that belongs to the first `wanted` rows in hash order.
+
+    `wanted` may use `stratum_size`. Rows are counted per hash range, and only the range in which a cut falls is ordered, so no
+    row is moved but those; strata of which nothing is wanted have no cut.
+    """
+    keyed = df.select(*strata, *ids, hash_key(seed, *ids).alias("_hash")).withColumn("_bucket", F.left("_hash", F.lit(HEX_DIGITS)))
+    by = [F.col(c) for c in strata] or [F.lit(0)]
+    order = Window.partitionBy(*by).orderBy("_bucket")
+    counts = keyed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_here"))
+    totals = counts.withColumns(
+        {"_upto": F.sum("_here").over(order), "stratum_size": F.sum("_here").over(Window.partitionBy(*by))}
+    ).withColumn("_wanted", F.least(wanted, F.col("stratum_size")))
+    edge = totals.where((F.col("_wanted") > F.col("_upto") - F.col("_here")) & (F.col("_wanted") <= F.col("_upto")))
+    edge = edge.select(*[F.col(c).alias(f"_of_{c}") for c in strata], F.col("_bucket").alias("_of_bucket"), (F.col("_wanted") - F.col("_upto") + F.col("_here")).alias("_nth"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in strata], F.col("_bucket") == F.col("_of_bucket"))
+    inside = keyed.join(edge, same).withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_hash", *ids)))
+    return inside.where(F.col("_rank") == F.col("_nth")).select(*strata, F.struct("_hash", *ids).alias("_cut"))
+
+
+def range_bucket(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """Adds `_bucket`: the quantile range a numeric value falls in. Only the edges reach the driver.
+
+    The number of ranges follows the number of rows.
+    """
+    if ranges is None:
+        ranges = max(2, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
     probabilities = [i / ranges for i in range(1, ranges)]
     edges = sorted(set(df.approxQuantile(column, probabilities, 1 / (4 * ranges))))
     splits = [float("-inf"), *edges, float("inf")]
@@ -62,7 +94,7 @@ def range_bucket(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, column: str, weights: list[str], by: list[str] | None = None, ranges: int = RANGES
+    df: DataFrame, column: str, weights: list[str], by: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Adds `<weight>_before`: the total weight of rows with a smaller `column`, per group of `by`.
 
@@ -82,7 +114,7 @@ def running_totals(
     )
 
 
-def values_at_ranks(df: DataFrame, column: str, ranks: list[int], direct_rows: int = 1_000_000, accuracy: int = 10_000) -> dict[int, object]:
+def values_at_ranks(df: DataFrame, column: str, ranks: list[int], accuracy: int = 10_000) -> dict[int, object]:
     """Value of a numeric column at each 0-based rank that exists."""
     narrow = df.select(column).where(F.col(column).isNotNull())
     n = narrow.count()
@@ -90,10 +122,10 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], direct_rows: i
     if not wanted:
         return {}
     edges = _sketch_edges(narrow, wanted, accuracy)
-    return {rank: value for (_, rank), value in _select_ranks(narrow, wanted, edges, direct_rows, accuracy).items()}
+    return {rank: value for (_, rank), value in _select_ranks(narrow, wanted, edges, accuracy).items()}
 
 
-def row_range(df: DataFrame, id_column: str, first: int, last: int, direct_rows: int = 1_000_000) -> DataFrame:
+def row_range(df: DataFrame, id_column: str, first: int, last: int) -> DataFrame:
     """Rows number `first`..`last` in id order (from 1, inclusive). Ids are unique numbers.
 
     The two limiting ids are found first, on the id column alone; the rows are then one range filter,
@@ -101,7 +133,7 @@ def row_range(df: DataFrame, id_column: str, first: int, last: int, direct_rows:
     """
     if first < 1 or last < first:
         raise ValueError("need 1 <= first <= last")
-    limits = values_at_ranks(df, id_column, [first - 1, last - 1], direct_rows)
+    limits = values_at_ranks(df, id_column, [first - 1, last - 1])
     if first - 1 not in limits:
         return df.where(F.lit(False))
     kept = df.where(F.col(id_column) >= limits[first - 1])
@@ -109,18 +141,25 @@ def row_range(df: DataFrame, id_column: str, first: int, last: int, direct_rows:
 
 
 def sample_rows(df: DataFrame, n: int, ids: list[str], seed: int | str = 42) -> DataFrame:
-    """At most n rows in seeded hash order: the same rows wherever and however often it runs."""
-    return df.orderBy(hash_key(seed, *ids), *ids).limit(n)
+    """At most n rows in seeded hash order: the same rows wherever and however often it runs.
+
+    The last row of the sample is found first; the sample is then a filter, in as many tasks as the table.
+    """
+    cut = hash_cut(df, ids, [], F.lit(n), seed).first()
+    if cut is None:
+        return df.where(F.lit(False))
+    last = F.struct(F.lit(cut._cut._hash).alias("_hash"), *[F.lit(cut._cut[c]).cast(df.schema[c].dataType).alias(c) for c in ids])
+    return df.where(F.struct(hash_key(seed, *ids).alias("_hash"), *ids) <= last)
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], direct_rows: int = 1_000_000, accuracy: int = 10_000
+    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000
 ) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles per column, NULLs ignored.
 
-    Small tables use the exact aggregate. Larger ones bracket every wanted rank with an
-    approximate sketch, count what lies below the bracket and select exactly inside it; a bracket
-    that is still too large is bracketed again. Only one row per pass reaches the driver.
+    An approximate sketch brackets every wanted rank, what lies below the bracket is counted, and the value is
+    selected inside it; a bracket that is still too large is bracketed again. Only one row per pass
+    reaches the driver.
     """
     numeric = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     slack = 2.0 / accuracy
@@ -130,24 +169,19 @@ def exact_quantiles(
         *[F.percentile_approx(c, F.lit(points), accuracy).alias(f"{c}_s") for c in columns],
     ).first()
     counts = {c: start[f"{c}_n"] for c in columns}
-    result: dict[str, dict[float, float]] = {c: {} for c in columns}
-    direct = [c for c in columns if counts[c] <= direct_rows]
-    if direct:
-        row = numeric.agg(*[F.percentile(c, F.lit(probabilities)).alias(c) for c in direct]).first()
-        for c in direct:
-            result[c] = dict(zip(probabilities, row[c] if row[c] is not None else [None] * len(probabilities)))
+    result: dict[str, dict[float, float]] = {c: dict.fromkeys(probabilities) for c in columns}
     wanted, edges = {}, {}
     for c in columns:
-        if c in direct:
+        if not counts[c]:
             continue
         for i, p in enumerate(probabilities):
             position = p * (counts[c] - 1)
             for rank in {floor(position), ceil(position)}:
                 wanted[(c, rank)] = (None, None, 0, counts[c])
                 edges[(c, rank)] = (start[f"{c}_s"][2 * i], start[f"{c}_s"][2 * i + 1])
-    found = _select_ranks(numeric, wanted, edges, direct_rows, accuracy)
+    found = _select_ranks(numeric, wanted, edges, accuracy)
     for c in columns:
-        if c in direct:
+        if not counts[c]:
             continue
         for p in probabilities:
             position = p * (counts[c] - 1)
@@ -184,7 +218,7 @@ def _sketch_edges(df: DataFrame, brackets: dict, accuracy: int) -> dict:
     }
 
 
-def _select_ranks(df: DataFrame, wanted: dict, edges: dict, direct_rows: int, accuracy: int) -> dict:
+def _select_ranks(df: DataFrame, wanted: dict, edges: dict, accuracy: int) -> dict:
     """Value at each (column, 0-based rank). A bracket is (low, high, rows below, rows inside)."""
     found: dict = {}
     open_ranks = dict(wanted)
@@ -201,12 +235,11 @@ def _select_ranks(df: DataFrame, wanted: dict, edges: dict, direct_rows: int, ac
             low, high = edges[key]
             below, inside = tally[f"below{i}"], tally[f"in{i}"]
             if not below <= key[1] < below + inside:
-                # The sketch missed: widen to everything it was taken from and select there.
-                small[key] = open_ranks.pop(key)
+                continue  # the sketch missed: a finer one of the same bracket follows
             elif low == high:
                 found[key] = low
                 del open_ranks[key]
-            elif inside <= direct_rows or inside == open_ranks[key][3]:
+            elif inside <= SELECT_ROWS or inside == open_ranks[key][3]:
                 small[key] = (low, high, below, inside)
                 del open_ranks[key]
             else:
@@ -214,6 +247,7 @@ def _select_ranks(df: DataFrame, wanted: dict, edges: dict, direct_rows: int, ac
         if small:
             found.update(_rank_in_brackets(df, small))
         if open_ranks:
+            accuracy *= 2
             edges = _sketch_edges(df, open_ranks, accuracy)
     return found
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.plans.registry import table
-from wardlog.session import spread, stage
+from wardlog.session import stage
 from wardlog.sources.audit_json import good_transactions
 
 # One row per event_id % 24: uri, user agent, host, referer. Twelve benign, twelve hostile.
@@ -27,17 +27,17 @@ PAYLOADS = [
     ("/index.php/journal/management/importexport/plugin/Native/uploadImportXML", "Mozilla/5.0", "journal.example", "-"),
     ("/index.php/journal/submit?csrfToken=ab12", "client", "journal.example", "https://journal.example/"),
     ("/index.php/journal/$$$call$$$/wizard/uploadFile?stage=1", "Mozilla/5.0", "journal.example", "-"),
-    ("/index.php/journal/user/register?username=admin' OR '1'='1", "qt", "journal.example", ""),
-    ("/index.php/journal/article/submit?title=<SCRIPT>alert(1)</script>", "qt", "journal.example", ""),
+    ("/index.php/press/catalog/list?series=7' or 'b'='b", "Opera/9", "press.example", ""),
+    ("/index.php/press/note/add?body=<ScRiPt>confirm(document.title)</sCrIpT>", "Opera/9", "press.example", ""),
     ("/wp-admin/setup.php?x=1", "scanner", "journal.example", "-"),
-    ("/index.php/journal/article/download?file=../../../../etc/passwd", "qt", "journal.example", ""),
+    ("/index.php/press/issue/galley?name=../../conf/..%2f..%2fetc/passwd", "Opera/9", "press.example", ""),
     ("/cgi-bin/test?x=1; cat /etc/hosts|bash", "curl/8", "journal.example", "-"),
     ("/index.php/journal/index", "Mozilla/5.0", "\"><script>alert(1)</script>", ""),
     ("/index.php/journal/user/profile?role_id=1&bio=<img src=x onerror=alert(1)>", "qt", "journal.example", ""),
     ("/files/avatar.php.jpg", "qt", "journal.example", "-"),
     ("/public/journals/1/shell-178.PHTML?cacheBust=17", "qt", "journal.example", ""),
     ("/index.php/journal/search?q=%3Cscript%3Ealert%281%29%3C%2Fscript%3E+union+select", "qt", "journal.example", ""),
-    ("/index.php/journal/search?q=%25%32%37%20OR%20%25%32%37%31", "qt", "journal.example", ""),
+    ("/index.php/press/search?term=%2527%2520or%25202%253D2%2520--", "Opera/9", "press.example", ""),
     ("/index.php/journal/users?sort=1%20UNION%20SELECT%20password--", "sqlmap", "journal.example", "-"),
 ]
 SEVERITIES = ["CRITICAL", "2", "WARNING", "", "bogus", "9"]
@@ -129,7 +129,7 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.col("event_type")
     return (
-        spread(table(spark, sf_dir, "events"))
+        table(spark, sf_dir, "events")
         .withColumn("ts", ts)
         .withColumn("rules", F.concat(rules, tail))
         .select(
@@ -193,7 +193,8 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered log, written once per application to the shared folder, as a log would lie there."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = stage(render_lines(spark, sf_dir), "audit-lines")
+        files = spark.sparkContext.defaultParallelism
+        _STAGED[key] = stage(render_lines(spark, sf_dir).repartition(files), "audit-lines")
     return _STAGED[key]
 
 

@@ -381,20 +381,30 @@ def unsent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.unsent_alerts(attack_links(spark, sf_dir).drop("event_id"), deliveries(spark, sf_dir))
 
 
-def pause_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pause flag, derived from the nation table: set when there is a nation without a name."""
-    return table(spark, sf_dir, "nation").agg(F.max(F.when(F.col("n_name").isNull(), 1).otherwise(0)).alias("v")).select(
+# Alerts with an even event are gated by a flag that is set, odd ones by one that is not.
+PAUSED_BY = ("NATION_7", "ATLANTIS")
+
+
+def pause_state(spark: SparkSession, sf_dir: str, nation: str) -> DataFrame:
+    """A pause flag, set when there is a nation of that name."""
+    return table(spark, sf_dir, "nation").agg(F.max(F.when(F.col("n_name") == nation, 1).otherwise(0)).alias("v")).select(
         F.lit(jn.PAUSE_KEY).alias("state_key"), F.col("v").cast("string").alias("state_value")
     )
 
 
-@query(
-    "notification_gate",
-    f"""WITH {LINKS}, st AS (SELECT max(CASE WHEN n_name IS NULL THEN 1 ELSE 0 END) AS v FROM nation)
-    SELECT attack_event_id, probability FROM links, st WHERE v <> 1""",
-)
+GATE_SQL = f"""WITH {LINKS} SELECT attack_event_id, probability FROM links
+  WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_name = CASE WHEN event_id % 2 = 0 THEN '{PAUSED_BY[0]}' ELSE '{PAUSED_BY[1]}' END)"""
+
+
+@query("notification_gate", GATE_SQL)
 def gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jn.notification_gate(attack_links(spark, sf_dir).drop("event_id"), pause_state(spark, sf_dir))
+    """One half of the alerts while paused, the other while not."""
+    links = attack_links(spark, sf_dir)
+    halves = [
+        jn.notification_gate(links.where(F.col("event_id") % 2 == half).drop("event_id"), pause_state(spark, sf_dir, nation))
+        for half, nation in enumerate(PAUSED_BY)
+    ]
+    return halves[0].unionByName(halves[1])
 
 
 # Training runs: one per nation and customer segment, with metrics from balances.
@@ -439,7 +449,7 @@ def versions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cool-down: the greedy rule as a recursive query.
 @query(
     "alert_cooldown",
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts FROM events),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 37 <> 5),
     kept AS (
       SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
       UNION ALL
@@ -448,7 +458,8 @@ def versions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT e.event_id, e.user_id FROM e JOIN kept k ON e.user_id = k.user_id AND e.ts = k.ts""",
 )
 def cooldown_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    timed = F.when(F.col("event_id") % 37 != 5, F.col("ts"))  # some times could not be read
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", timed.alias("ts"))
     return alert_cooldown(events, "ts", ["event_id"], "user_id", gap_seconds=3600).select("event_id", "user_id")
 
 
@@ -541,20 +552,23 @@ def merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("text_md5", F.md5("text")).drop("text").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-PATHS = [
-    "/data/raw/2026-03-13/audit.log", "/data/raw/20260314/audit.json", "/data/2025_07_01/x/events_2026-01-02.jsonl", "/data/27-Jul-2025/audit.log",
-    "/data/raw/audit.log", "/data/9-Aug-2025/2024_0102/audit.csv", "/data/raw/log-20260101.json.bak",
-]
-PATH_DATES = ["2026-03-13", "2026-03-14", "2026-01-02", "27-Jul-2025", "", "2024-0102", "2026-01-01"]
-
-
 @query(
     "source_date",
-    f"SELECT event_id, {PATHS}[(event_id % 7 + 1)::INT] AS path, {PATH_DATES}[(event_id % 7 + 1)::INT] AS source_date FROM events",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '/raw/' || strftime(o_orderdate, '%Y-%m-%d') || '/audit.log'
+        WHEN 'O' THEN '/raw/' || strftime(o_orderdate, '%d-%b-%Y') || '/x/log_' || strftime(o_orderdate, '%Y%m%d') || '.json'
+        ELSE '/raw/' || strftime(o_orderdate, '%d-%b-%Y') || '/' || o_orderpriority || '.log' END AS path,
+      CASE WHEN o_orderstatus IN ('F', 'O') THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d-%b-%Y') END AS source_date FROM orders""",
 )
 def source_date_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("event_id") % 7 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", path.alias("path"))
+    """Paths that orders would have: date, status and priority decide folder and file name."""
+    day, named, digits = (F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "dd-MMM-yyyy", "yyyyMMdd"))
+    status = F.col("o_orderstatus")
+    path = (
+        F.when(status == "F", F.concat(F.lit("/raw/"), day, F.lit("/audit.log")))
+        .when(status == "O", F.concat(F.lit("/raw/"), named, F.lit("/x/log_"), digits, F.lit(".json")))
+        .otherwise(F.concat(F.lit("/raw/"), named, F.lit("/"), "o_orderpriority", F.lit(".log")))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"))
     return rows.withColumn("source_date", lb.source_date(F.col("path")))
 
 

@@ -11,10 +11,8 @@ from wardlog.operators import profile as pf
 from wardlog.plans.flat_sql import FEATURE_CTE
 from wardlog.plans.frames import feature_rows
 from wardlog.plans.registry import query, table
-from wardlog.session import spread
 
 # Small on purpose: the checks run the bracketing selection that large tables take.
-DIRECT_ROWS = 5_000
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FLAGS = [
     "has_sqli", "has_xss", "has_suspicious_path", "has_path_traversal", "has_command_injection",
@@ -73,7 +71,7 @@ def completeness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT total_rows, total_rows - n AS duplicate_rows, round((total_rows - n) * 100.0::DOUBLE / total_rows, 6)::DOUBLE AS duplicate_pct FROM t, u""",
 )
 def duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.duplicate_profile(spread(table(spark, sf_dir, "documents").drop("doc_id")))
+    return pf.duplicate_profile(table(spark, sf_dir, "documents").drop("doc_id"))
 
 
 @query(
@@ -86,7 +84,7 @@ def duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def describe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.describe_numeric(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), LINE_NUMBERS, DIRECT_ROWS)
+    return pf.describe_numeric(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), LINE_NUMBERS)
 
 
 TEXTS = ["c_mktsegment", "c_name"]
@@ -121,7 +119,7 @@ LINES = "lines AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_exte
 
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return spread(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS, charge.alias("charge")))
+    return table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS, charge.alias("charge"))
 
 
 @query(
@@ -167,7 +165,7 @@ OUTLIERS = ["value", "user_id"]
     + ") WHERE outliers > 0",
 )
 def outliers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.iqr_outliers(table(spark, sf_dir, "events").select(*OUTLIERS), OUTLIERS, DIRECT_ROWS)
+    return pf.iqr_outliers(table(spark, sf_dir, "events").select(*OUTLIERS), OUTLIERS)
 
 
 @query(
@@ -218,7 +216,7 @@ def _mi(feature: str, value: str) -> str:
 def mutual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = (F.col("bytes_sent") + F.col("severity_score") * 3 + F.col("uri_len")).cast("double")
     rows = feature_rows(spark, sf_dir).select("label", *MI_FLAGS, mixed.alias("mixed"))
-    return pf.mutual_information(rows, "label", [*MI_FLAGS, "mixed"], ["mixed"], 10, DIRECT_ROWS)
+    return pf.mutual_information(rows, "label", [*MI_FLAGS, "mixed"], ["mixed"], 10)
 
 
 @query(
@@ -242,5 +240,5 @@ def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.when(eid % 7 != 0, F.col("value")).alias("value"), "user_id", F.when(eid % 3 != 0, F.col("event_type")).alias("event_type")
     )
     doubled = rows.unionByName(rows.where("user_id % 5 = 0"))
-    cleaned = pf.eda_clean(doubled, ["event_id"], DIRECT_ROWS)
+    cleaned = pf.eda_clean(doubled, ["event_id"])
     return cleaned.select("event_id", "event_type", F.round("value", 6).alias("value"), F.round("user_id", 6).alias("user_id"))

@@ -13,7 +13,6 @@ from wardlog.plans.driver_log import AUDIT_CTE, CLIENT_SQL, audit_log, derived_e
 from wardlog.plans.flat_sql import FEATURE_CTE, FLAGS, FLAT_COLUMNS, FLAT_CTE, hit, no_index, no_index_any_case
 from wardlog.plans.frames import feature_rows
 from wardlog.plans.registry import query, table
-from wardlog.session import spread
 from wardlog.sources.schemas import EVENT_COLUMNS, FLAG_COLUMNS, NUMERIC_FEATURES
 
 FLAT = [c for c in EVENT_COLUMNS if c not in FLAG_COLUMNS]
@@ -59,19 +58,20 @@ def client_ip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SEVERITY_TEXTS = ["2", "CRITICAL", "", "9", "bogus", "-3", " warning ", "+4", "99999999999999999999", "Alert"]
+# Texts that orders hold where a log has its severity: a digit, a word, a large number; and names by priority.
+SEVERITY_TEXT = """CASE o_orderstatus WHEN 'F' THEN substr(o_orderpriority, 1, 1) WHEN 'O' THEN
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Alert' WHEN '2-HIGH' THEN ' warning ' ELSE substr(o_orderpriority, 3) END
+  ELSE '-' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) END"""
 
 
 @query(
     "severity_score",
-    f"""SELECT event_id, {str(SEVERITY_TEXTS)}[(event_id % 10 + 1)::INT] AS severity,
-    [2, 4, 0, 5, 0, 0, 2, 4, 5, 5][(event_id % 10 + 1)::INT]::INT AS score FROM events""",
+    f"""SELECT o_orderkey, severity, CASE WHEN severity IN ('1', '2', '3', '4', '5') THEN severity::INT WHEN severity = 'Alert' THEN 5
+    WHEN severity = ' warning ' THEN 2 ELSE 0 END::INT AS score FROM (SELECT o_orderkey, {SEVERITY_TEXT} AS severity FROM orders)""",
 )
 def severity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*[F.lit(t) for t in SEVERITY_TEXTS]), (F.col("event_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
-        "event_id", text.alias("severity"), S.severity_score(text).alias("score")
-    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(SEVERITY_TEXT).alias("severity"))
+    return rows.select("o_orderkey", "severity", S.severity_score(F.col("severity")).alias("score"))
 
 
 @query(
@@ -331,10 +331,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"),
         F.concat_ws(" ", "uri", "agent", "host").alias("body"),
     )
-    pages = spread(table(spark, sf_dir, "pages")).select(
+    pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"), F.concat_ws(" ", "url", "html").alias("body")
     )
-    documents = spread(table(spark, sf_dir, "documents")).select(
+    documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body")
     )
     return requests.unionByName(pages).unionByName(documents)

@@ -42,8 +42,12 @@ def skipped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each transaction as a text block; some without end marker, some without response section."""
-    rows = derived_events(spark, sf_dir)
+    """Each transaction as a text block; some without end marker, some without response section.
+
+    Some addresses look like a marker, and some blocks have a head and an end alone.
+    """
+    like_marker = F.when(F.col("event_id") % 12 == 5, F.concat(F.lit("/x--a-Boo?y=--"), F.lower(F.hex("event_id")), F.lit("-C--"))).otherwise(F.col("uri"))
+    rows = derived_events(spark, sf_dir).withColumn("uri", like_marker)
     mark = F.lower(F.hex("event_id"))
     rule = F.try_element_at(F.col("messages"), F.lit(1))
     audit = F.when(
@@ -66,16 +70,22 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("--"), mark, F.lit("-H--\n"), audit, F.lit("\n"),
         F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("--"), mark, F.lit("-Z--"))).otherwise(F.lit("")),
     )
-    return rows.select("ts", block.alias("value"))
+    bare = F.concat(
+        F.lit("--"), mark, F.lit("-A--\n["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] "), mark, F.lit(" 10.8.8.8 1 10.9.9.9 80\n--"),
+        mark, F.lit("-Z--"),
+    )
+    return rows.select("ts", F.explode(F.array_compact(F.array(F.when(F.col("event_id") % 10 == 3, bare), block))).alias("value"))
 
 
 TEXT_SQL = f"""WITH {AUDIT_CTE},
 blocks AS (
-  SELECT event_id, strftime(ts, '%d/%b/%Y:%H:%M:%S +0000') AS timestamp, client_ip AS source_ip, method, string_split(uri, ' ')[1] AS uri,
+  SELECT event_id, strftime(ts, '%d/%b/%Y:%H:%M:%S +0000') AS timestamp, client_ip AS source_ip, method,
+    CASE WHEN event_id % 12 = 5 THEN '/x--a-Boo?y=--' || lower(hex(event_id)) || '-C--' ELSE string_split(uri, ' ')[1] END AS uri,
     CASE WHEN event_id % 8 = 1 THEN 200 ELSE status END::INT AS status, agent AS user_agent,
     coalesce(messages[1].severity, '') AS severity, coalesce(messages[1].ruleId, '') AS rule_id,
     coalesce(replace(messages[1].data, 'Matched ', ''), '') AS matched_data, coalesce(messages[1].message, '') AS msg,
-    len(messages) > 0 AND status = 403 AS is_blocked FROM audit),
+    len(messages) > 0 AND status = 403 AS is_blocked FROM audit
+  UNION ALL SELECT event_id, strftime(ts, '%d/%b/%Y:%H:%M:%S +0000'), '10.8.8.8', 'GET', '/', 200, '', '', '', '', '', false FROM audit WHERE event_id % 10 = 3),
 texts AS (SELECT *, uri || ' ' || msg || ' ' || matched_data AS full_text FROM blocks)
 SELECT timestamp, source_ip, method, uri, status, 0::BIGINT AS bytes_sent, 0.0::DOUBLE AS request_time, user_agent, severity, rule_id, matched_data,
   msg, is_blocked, length(user_agent)::INT AS user_agent_len, length(uri)::INT AS uri_len,
@@ -119,27 +129,33 @@ def read_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 
-PATHS = [
-    "audit.log", "audit.json", "x.json", "d1/audit.log", "d1/x.json", "d1/modsec_audit.json", "audit.log.bak", ".tmp", "d1/d2/audit.log", ".DS_Store",
-]
+# Paths are made of what the documents say: source as folder, language as file name.
+PATH_SQL = """CASE lang WHEN 'en' THEN CASE WHEN n_chars > 4000 THEN 'audit.log' ELSE source || '/audit.log' END
+  WHEN 'de' THEN source || CASE WHEN n_chars > 1500 THEN '/modsec_audit.json' ELSE '/events.json' END
+  WHEN 'fr' THEN source || '/' || lang || '/audit.json' ELSE source || '.json' || CASE WHEN n_chars > 1500 THEN '.bak' ELSE '' END END"""
 
 
 @query(
     "source_filter",
-    f"""SELECT event_id, path FROM (SELECT event_id, {PATHS}[(event_id % 10 + 1)::INT] AS path FROM events)
-    WHERE path IN ('audit.log', 'audit.json', 'x.json', 'd1/audit.log', 'd1/modsec_audit.json')""",
+    f"""SELECT doc_id, path FROM (SELECT doc_id, {PATH_SQL} AS path FROM documents)
+    WHERE path IN ('audit.log', 'audit.json') OR regexp_full_match(path, '[^/]*\\.json|[^/]*/(audit\\.log|audit\\.json|modsec_audit\\.json)')""",
 )
 def source_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("event_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", path.alias("path")).where(ds.source_filter(F.col("path")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(PATH_SQL).alias("path")).where(ds.source_filter(F.col("path")))
 
 
-@query("read_labeled_csv", f"WITH {LABELED_CTE} SELECT {PREPARED} FROM csv")
+@query(
+    "read_labeled_csv",
+    f"""WITH {LABELED_CTE}, quoted AS (SELECT * REPLACE (uri_full || ' "q", "' AS uri_full) FROM csv) SELECT {PREPARED} FROM quoted""",
+)
 def labeled_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files with the columns in different order, and quotes and commas in a text."""
     path = scratch_path(spark, "labeled-csv")
-    labeled_rows(spark, sf_dir).drop("event_id").select(
-        "ip", "method", "uri_full", "uri_norm", "timestamp", "status", "label", "attack_tags", "anomaly_score"
-    ).write.option("header", True).csv(path)
+    rows = labeled_rows(spark, sf_dir).withColumn("uri_full", F.concat("uri_full", F.lit(' "q", "')))
+    order = ["ip", "method", "uri_full", "uri_norm", "timestamp", "status", "label", "attack_tags", "anomaly_score"]
+    for half, columns in ((0, order), (1, order[::-1])):
+        part = rows.where(F.col("event_id") % 2 == half).select(*columns)
+        part.write.mode("append").option("header", True).option("escape", '"').csv(path)
     return ds.read_labeled_csv(spark, path)
 
 
@@ -192,13 +208,19 @@ def predictions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("write_dataset", f"WITH {FEATURE_CTE} SELECT {FLAT_COLUMNS}, {FLAGS} FROM feat")
+@query(
+    "write_dataset",
+    f"""WITH {FEATURE_CTE}, broken AS (SELECT * REPLACE (CASE WHEN event_id % 6 = 0 THEN msg || chr(10) || '\\n,"' || chr(13) ELSE msg END AS msg) FROM feat)
+    SELECT {FLAT_COLUMNS}, {FLAGS} FROM broken""",
+)
 def write_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read back; some messages hold line breaks, quotes and backslashes."""
     path = scratch_path(spark, "events-csv")
-    rows = feature_rows(spark, sf_dir)
+    broken = F.when(F.col("event_id") % 6 == 0, F.concat("msg", F.lit('\n\\n,"\r'))).otherwise(F.col("msg"))
+    rows = feature_rows(spark, sf_dir).withColumn("msg", broken)
     ds.write_dataset(rows, path)
     schema = rows.select(*EVENT_COLUMNS).schema
-    back = ds.read_csv(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+    back = ds.read_csv(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), breaks=True)
     texts = [f.name for f in schema if f.dataType.simpleString() == "string"]
     return back.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 

@@ -10,7 +10,7 @@ from wardlog.operators.flatten import flatten_transaction
 from wardlog.plans.driver_log import CLIENT_SQL, audit_lines
 from wardlog.plans.flat_sql import FLAT_CTE, TYPED_CTE
 from wardlog.plans.frames import decided_rows
-from wardlog.plans.q_attacks import LINKS, attack_links, pause_state
+from wardlog.plans.q_attacks import GATE_SQL, PAUSED_BY, attack_links, pause_state
 from wardlog.plans.q_learning import shared_model
 from wardlog.plans.registry import ORACLES, query, table
 from wardlog.session import scratch_path
@@ -75,9 +75,10 @@ def stream_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_cooldown_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three deliveries in time order, the stream stopped and resumed between them."""
     base = scratch_path(spark, "stream-cooldown")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    timed = F.when(F.col("event_id") % 37 != 5, F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", timed.alias("ts"))
     for low, high in TIME_SLICES:
-        events.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(f"{base}/in")
+        events.where(F.col("ts").isNull() | (F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(f"{base}/in")
         alerts = spark.readStream.schema(events.schema).parquet(f"{base}/in")
         drain(to_parquet(st.stream_alert_cooldown(alerts, key="user_id", gap_seconds=3600), f"{base}/out"))
     return spark.read.parquet(f"{base}/out").select("event_id", F.col("key").cast("bigint").alias("user_id"))
@@ -99,15 +100,19 @@ def stream_period_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
-@query("stream_notification_gate", f"WITH {LINKS} SELECT attack_event_id, probability FROM links")
+@query("stream_notification_gate", GATE_SQL)
 def stream_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries: the first meets a set flag, the second one that is not set."""
     base = scratch_path(spark, "stream-gate")
-    alerts = attack_links(spark, sf_dir).drop("event_id")
-    alerts.write.parquet(f"{base}/in")
-    source = spark.readStream.schema(alerts.schema).parquet(f"{base}/in")
+    links = attack_links(spark, sf_dir)
+    alerts = links.drop("event_id")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
-    drain(st.stream_notification_gate(source, lambda: pause_state(spark, sf_dir), sink, f"{base}/checkpoint"))
+    for half, nation in enumerate(PAUSED_BY):
+        links.where(F.col("event_id") % 2 == half).drop("event_id").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(alerts.schema).parquet(f"{base}/in")
+        flag = pause_state(spark, sf_dir, nation)
+        drain(st.stream_notification_gate(source, lambda flag=flag: flag, sink, f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("attack_event_id", "probability")

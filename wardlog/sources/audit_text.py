@@ -13,8 +13,12 @@ BLOCK_START = r"(?=--[a-f0-9]+-A--\n)"
 
 
 def section(block: Column, letter: str) -> Column:
-    """Body of a section: from its marker to the next marker of the block, '' when absent."""
-    return F.regexp_extract(block, rf"(?s)--[a-f0-9]+-{letter}--\n(.*?)(?=--[a-f0-9]+-[A-Z]-?-?|\z)", 1)
+    """Body of a section: from its marker to the next marker with the hash of the block, '' when absent.
+
+    The end marker has lost its letter to the record separator.
+    """
+    before = "" if letter == "A" else r"A--\n.*?(?<=\n)--\1-"
+    return F.regexp_extract(block, rf"(?s)\A--([a-f0-9]+)-{before}{letter}--\n(.*?)(?=(?<=\n)--\1(?:-[A-Z]--|\z)|\z)", 2)
 
 
 def header_value(body: Column, name: str) -> Column:
@@ -32,7 +36,7 @@ def parse_audit_blocks(chunks: DataFrame, value: str = "value", parity: bool = F
     """
     passed = [c for c in chunks.columns if c != value]
     blocks = chunks.select(*passed, F.explode(F.split(F.col(value), BLOCK_START)).alias("_block")).where(
-        F.col("_block").rlike(r"^--[a-f0-9]+-A--\n") & F.col("_block").rlike(r"\n--[a-f0-9]+-[BFHZ]--\n")
+        F.col("_block").rlike(r"(?s)\A--([a-f0-9]+)-A--\n(?:.*\n)?--\1(?:-[BFHZ]--|\z)")
     )
     parts = blocks.select(*passed, *[section(F.col("_block"), s).alias(f"_{s}") for s in "ABFH"])
     head = F.split(F.trim(F.split_part(F.ltrim(F.col("_B")), F.lit("\n"), F.lit(1))), r"\s+")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlog.functions import scalars as S
 from wardlog.operators.flatten import audit_features
@@ -37,43 +40,122 @@ def source_filter(
     return path.rlike(wanted) & ~path.rlike(unwanted)
 
 
+def any_case(*suffixes: str) -> str:
+    """A file glob of suffixes in upper or lower case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+
+
+def first_lines(lines: DataFrame) -> dict[str, str]:
+    """First line that is not blank of each file of a text reader, by path. One row per file reaches the driver."""
+    heads = (
+        lines.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+        .groupBy("path")
+        .agg(F.min_by("value", "at").alias("head"))
+    )
+    return {unquote(r.path): r.head for r in heads.collect()}
+
+
 def read_labeled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled CSV to training columns."""
-    return prepare_labeled_csv(spark.read.schema(LABELED_CSV).option("header", True).csv(path))
+    """Labelled CSV to training columns; columns are found by their names in each file."""
+    return prepare_labeled_csv(read_csv(spark, path, LABELED_CSV, defaults={"method": "GET"}))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, recursive: bool = False) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+def escaped_breaks(text: Column) -> Column:
+    """Text on one line: backslashes doubled, line breaks as backslash and letter."""
+    for found, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(found), F.lit(written))
+    return text
+
+
+def restored_breaks(text: Column) -> Column:
+    """Undoes `escaped_breaks`."""
+    between = F.transform(
+        F.split(text, r"\\\\"), lambda t: F.replace(F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    )
+    return F.array_join(between, "\\")
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    recursive: bool = False,
+    breaks: bool = False,
+    defaults: dict[str, str] | None = None,
+    dated: bool = False,
+) -> DataFrame:
+    """CSV files with a header, one record per line, quotes doubled inside quotes.
+
+    Columns are bound by the names in each file's header, so files may order them differently; a column that a file lacks
+    is NULL or its default. Without a schema all columns are text. `breaks` undoes the escapes of `write_dataset`;
+    `dated` adds `source_date` from the path.
+    """
+    reader = spark.read
     if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case("csv"))
+    files: dict[str, list[str]] = {}
+    for file, head in first_lines(reader.text(path)).items():
+        files.setdefault(head, []).append(file)
+    fields = T.DataType.fromDDL(schema).fields if schema else None
+    types = {f.name: f.dataType for f in fields or []}
+    frames = []
+    for head, paths in sorted(files.items()):
+        names = next(csv.reader([head.lstrip("\ufeff")]))
+        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        rows = spark.read.schema(own).option("header", True).option("escape", '"').csv(paths)
+        texts = [f.name for f in own if f.dataType == T.StringType()]
+        if breaks:
+            rows = rows.withColumns({n: restored_breaks(F.col(n)) for n in texts})
+        wanted = [f.name for f in fields] if fields else names
+        columns = [F.col(n) if n in names else F.lit((defaults or {}).get(n)).cast(types[n]).alias(n) for n in wanted]
+        frames.append(rows.select(*columns, *([source_date(F.col("_metadata.file_path")).alias("source_date")] if dated else [])))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*(fields or []), *([T.StructField("source_date", T.StringType())] if dated else [])]))
+    return union_sources(*frames)
 
 
 def _suffix(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
 
 
+def read_log_files(spark: SparkSession, path: str, recursive: bool = False, dated: bool = False) -> DataFrame:
+    """Event rows of JSON log files: objects on lines, or one array or one object over several lines.
+
+    A file that begins with an array, or with a line that only opens an object, is read as one record; all others stay
+    splittable.
+    """
+    reader = spark.read
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(*LOG_SUFFIXES))
+    heads = first_lines(reader.text(path))
+    whole = sorted(f for f, head in heads.items() if head.strip().startswith("[") or head.strip() == "{")
+    lines = sorted(set(heads) - set(whole))
+    date = [source_date(F.col("_metadata.file_path")).alias("source_date")] if dated else []
+    frames = []
+    if whole:
+        listed = F.from_json("value", "array<string>")
+        records = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), listed).otherwise(F.array("value"))
+        frames.append(spark.read.option("wholetext", True).text(whole).select(F.explode(records).alias("value"), *date))
+    if lines or not frames:
+        frames.append(spark.read.text(lines).select("value", *date) if lines else reader.text(path).where(F.lit(False)).select("value", *date))
+    return audit_features(good_transactions(union_sources(*frames))).drop("tx")
+
+
 def read_dataset(spark: SparkSession, path: str, csv_schema: str | None = None) -> DataFrame:
     """One CSV or JSON log file, or a whole folder of them by recursion, as event rows.
 
-    Folder rows get `source_date` from their path.
+    Suffixes count in any case. Folder rows get `source_date` from their path. CSV files are those of `write_dataset`.
     """
     suffix = _suffix(path)
     if suffix == "csv":
-        return read_csv(spark, path, csv_schema)
+        return read_csv(spark, path, csv_schema, breaks=True)
     if suffix in LOG_SUFFIXES:
-        return audit_features(good_transactions(spark.read.text(path))).drop("tx")
+        return read_log_files(spark, path)
     if "." in path.rstrip("/").rsplit("/", 1)[-1]:
         raise ValueError(f"unsupported dataset format: {suffix}")
-    logs = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(LOG_SUFFIXES) + "}")
-        .text(path)
-        .select("value", source_date(F.col("_metadata.file_path")).alias("source_date"))
-    )
-    events = audit_features(good_transactions(logs)).drop("tx")
-    tables = read_csv(spark, path, csv_schema, recursive=True)
-    tables = tables.withColumn("source_date", source_date(F.col("_metadata.file_path")))
+    events = read_log_files(spark, path, recursive=True, dated=True)
+    tables = read_csv(spark, path, csv_schema, recursive=True, breaks=True, dated=True)
     return union_sources(events, tables) if tables.columns != ["source_date"] else events
 
 
@@ -131,13 +213,18 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id", "event_date")
 
 
+def _one_line_texts(rows: DataFrame) -> DataFrame:
+    texts = [n for n, kind in rows.dtypes if kind == "string"]
+    return rows.withColumns({n: escaped_breaks(F.col(n)) for n in texts}) if texts else rows
+
+
 def write_predictions(scored: DataFrame, path: str) -> DataFrame:
-    """Scored rows as CSV; returns their summary."""
-    scored.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Scored rows as CSV, line breaks escaped; returns their summary."""
+    _one_line_texts(scored).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return scoring_summary(scored)
 
 
 def write_dataset(events: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV with header in the fixed column order."""
-    ordered = events.select(*(columns or EVENT_COLUMNS))
+    """CSV with header in the fixed column order; line breaks in texts are escaped, so files stay splittable."""
+    ordered = _one_line_texts(events.select(*(columns or EVENT_COLUMNS)))
     ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

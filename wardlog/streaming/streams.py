@@ -18,16 +18,18 @@ from wardlog.operators.flatten import audit_features, normalize_transaction
 from wardlog.operators.joins import notification_gate
 from wardlog.operators.learning import score_batch
 from wardlog.operators.reports import period_counts
+from wardlog.session import stage
 from wardlog.sources.audit_json import good_transactions
 from wardlog.sources.datasets import attack_store_rows, event_store_rows, write_batch
 
 
-def stream_audit_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New log lines below a folder into which the log is rotated."""
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path)
+#: Files of a micro-batch at most; a key's share of them is what the state operator holds.
+MAX_FILES = 256
+
+
+def stream_audit_log(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
+    """New log lines below a folder into which the log is rotated; `max_files` bounds a micro-batch."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
 
 
 def live_events(lines: DataFrame) -> DataFrame:
@@ -46,18 +48,16 @@ def stream_score(
 ) -> DataStreamWriter:
     """Scores a stream and writes events and attacks per micro-batch; a repeated batch replaces itself.
 
-    Lines without an `event_id` get one from batch and position, so equal lines stay separate events.
+    Lines without an `event_id` get the text `batch:position`, so equal lines stay separate events and no two ids agree.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if "event_id" not in batch.columns:
-            batch = batch.withColumn("event_id", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
-        scored = score_events(live_events(batch), model, threshold).persist()
-        try:
-            write_batch(event_store_rows(scored), event_path, batch_id, "timestamp")
-            write_batch(attack_store_rows(scored), attack_path, batch_id, "detected_at")
-        finally:
-            scored.unpersist()
+            position = F.monotonically_increasing_id().cast("string")
+            batch = batch.withColumn("event_id", F.concat(F.lit(f"{batch_id}:"), position))
+        scored = stage(score_events(live_events(batch), model, threshold), "scored")
+        write_batch(event_store_rows(scored), event_path, batch_id, "timestamp")
+        write_batch(attack_store_rows(scored), attack_path, batch_id, "detected_at")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -76,14 +76,17 @@ def stream_alert_cooldown(
         (F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")).alias("key"),
         F.col(ts).cast("timestamp").alias("ts"),
         F.col(event_id).cast("bigint").alias("event_id"),
-    ).withWatermark("ts", delay)
+    ).where("ts IS NOT NULL").withWatermark("ts", delay)
 
     def hold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        times = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        # Two numbers per row are all that a key's micro-batch holds; its frames go one by one.
+        parts = [(b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), b["event_id"].to_numpy()) for b in batches]
+        times, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
         blocked = state.get[0] if state.exists else int(UNBLOCKED)
         kept = kept_positions(times, gap, blocked)
         if kept:
@@ -92,7 +95,7 @@ def stream_alert_cooldown(
         if state.exists:
             state.setTimeoutTimestamp(max(blocked // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if kept:
-            yield rows.iloc[kept][["key", "ts", "event_id"]]
+            yield pd.DataFrame({"key": group[0], "ts": pd.to_datetime(times[kept], unit="us"), "event_id": ids[kept]})
 
     return slim.groupBy("key").applyInPandasWithState(
         hold,
