@@ -20,6 +20,8 @@ HEX_DIGITS = 4
 RANGE_ROWS, MOST_RANGES = 100_000, 65_536
 #: Distinct values that one task orders when a rank is selected.
 SELECT_ROWS = 10_000
+#: Accuracy from which a sketch is not refined any more.
+FINEST = 1_000_000
 
 
 def hash_key(seed: int | str, *ids: str) -> Column:
@@ -235,7 +237,10 @@ def _select_ranks(df: DataFrame, wanted: dict, edges: dict, accuracy: int) -> di
             low, high = edges[key]
             below, inside = tally[f"below{i}"], tally[f"in{i}"]
             if not below <= key[1] < below + inside:
-                continue  # the sketch missed: a finer one of the same bracket follows
+                # The sketch missed: a finer one of the same bracket follows, unless the bracket is small or its numbers
+                # are too close together for a sketch of doubles; then it is ordered as it is.
+                if open_ranks[key][3] <= SELECT_ROWS or accuracy > FINEST:
+                    small[key] = open_ranks.pop(key)
             elif low == high:
                 found[key] = low
                 del open_ranks[key]
