@@ -33,6 +33,11 @@ HEADLINE = [
     "classification_metrics",
     "has_sqli",
     "score_batch",
+    "eda_clean",
+    "distinct_profile",
+    "smote_oversample",
+    "read_audit_text",
+    "stream_alert_cooldown",
 ]
 RUNS = 2
 

@@ -10,6 +10,7 @@ from wardlog.operators.attack import attack_type_of_event, log_attack_types
 from wardlog.operators.flatten import audit_features, flatten_transaction, normalize_transaction, request_features
 from wardlog.sources.audit_json import good_transactions, parse_audit_lines, parse_report, read_audit_json
 from wardlog.sources.audit_text import parse_audit_blocks, read_audit_text
+from wardlog.sources.datasets import read_csv, read_dataset, write_dataset
 from wardlog.sources.schemas import EVENT_COLUMNS
 
 
@@ -181,3 +182,36 @@ def test_text_blocks(spark, tmp_path, rows_of):
 def test_text_severity_is_not_numeric(rows_of):
     got = rows_of([("2",), ("alert",)], "v string").select(S.severity_from_name(F.col("v"))).collect()
     assert [r[0] for r in got] == [0, 5]
+
+
+def test_datasets_in_all_layouts(spark, tmp_path):
+    """Arrays, suffixes in capitals, folders without CSV, headers in another order, quotes and line breaks."""
+    one = '{"transaction": {"request": {"method": "GET", "uri": "/%s"}, "response": {"http_code": 200}}}'
+    (tmp_path / "2024-01-05").mkdir()
+    (tmp_path / "2024-01-05" / "A.LOG").write_text(one % "a" + "\n" + one % "b" + "\n")
+    (tmp_path / "2024-01-05" / "c.Json").write_text("[" + one % "c" + ", " + one % "d" + "]")
+    (tmp_path / "e.json").write_text("\n[\n" + one % "e" + ",\n" + one % "f" + "\n]\n")
+    (tmp_path / "g.json").write_text('{\n "transaction": {\n "request": {"method": "GET", "uri": "/g"}}}\n')
+    rows = read_dataset(spark, str(tmp_path)).collect()
+    assert sorted(r.uri for r in rows) == ["/a", "/b", "/c", "/d", "/e", "/f", "/g"]
+    assert {r.source_date for r in rows if r.uri < "/e"} == {"2024-01-05"}
+    (tmp_path / "x.CSV").write_text('uri,method\n"/x ""q"", y",POST\n')
+    (tmp_path / "y.csv").write_text("method,uri\nPUT,/y\\nz\n")
+    both = read_dataset(spark, str(tmp_path), "method STRING, uri STRING")
+    found = {(r.method, r.uri) for r in both.where("method <> 'GET'").collect()}
+    assert found == {("POST", '/x "q", y'), ("PUT", "/y\nz")} and both.count() == 9
+
+
+def test_line_breaks_survive_a_csv(spark, tmp_path):
+    texts = ["a\nb", "\\n", "\\\n\r", 'q"\n,"', "", "\\\\", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    write_dataset(df, str(tmp_path / "out"), ["i", "t"])
+    back = read_csv(spark, str(tmp_path / "out"), "t STRING, i INT", breaks=True).collect()
+    assert {r.i: r.t or "" for r in back} == dict(enumerate(texts))
+
+
+def test_sections_end_at_their_own_hash(spark):
+    block = "--ab12-A--\n[05/Jan/2024:00:00:00 +0000] ab12 1.2.3.4 1 5.6.7.8 80\n--ab12-B--\nGET /x--a-Boo--cd-C-- HTTP/1.1\nHost: h\n\n--ab12-H--\nAction: Intercepted\n--ab12"
+    bare = "--cd34-A--\n[05/Jan/2024:00:00:00 +0000] cd34 9.9.9.9 1 5.6.7.8 80\n--cd34"
+    rows = parse_audit_blocks(spark.createDataFrame([(block,), (bare,)], "value string")).collect()
+    assert sorted((r.uri, r.source_ip, r.is_blocked) for r in rows) == [("/", "9.9.9.9", False), ("/x--a-Boo--cd-C--", "1.2.3.4", True)]

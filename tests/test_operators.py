@@ -255,4 +255,29 @@ def test_weights_and_guard(rows_of):
 def test_settings_are_seeded():
     assert ml.draw_settings(3, 7) == ml.draw_settings(3, 7) != ml.draw_settings(3, 8)
     assert all(0.001 <= s["stepSize"] <= 0.3 and s["maxIter"] % 50 == 0 for s in ml.draw_settings(20))
-    assert len(ml.candidate_grid()[1]) == 23
+    assert len(ml.candidate_grid()) == 23
+
+
+def test_penalty_follows_the_rows():
+    name, estimator, params = ml.candidate_grid({"LogisticRegression": {"C": [10.0]}})[0]
+    assert name == "LogisticRegression(C=10.0)" and params(500) == {estimator.regParam: 1 / 5000}
+
+
+def test_splits_keep_rows_without_label(rows_of):
+    df = rows_of([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "id int, label int")
+    split = mt.stratified_split(df, ["id"]).collect()
+    assert len(split) == 40 and sum(r.split == "test" for r in split if r.label is None) == 2
+    assert mt.stratified_folds(df, ["id"]).count() == 40
+
+
+def test_sample_is_the_first_rows_in_hash_order(spark):
+    df = spark.range(300)
+    want = {r.id for r in df.orderBy(rk.hash_key(42, "id"), "id").limit(37).collect()}
+    assert {r.id for r in rk.sample_rows(df, 37, ["id"]).collect()} == want
+    assert rk.sample_rows(df, 999, ["id"]).count() == 300 and rk.sample_rows(df.where("id < 0"), 5, ["id"]).count() == 0
+
+
+def test_cooldown_with_missing_times(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else 100 + i) for i in range(12)], "id int, s int")
+    timed = df.withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.id for r in alert_cooldown(timed, "ts", ["id"], None, 5).collect()) == [1, 7]

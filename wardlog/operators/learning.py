@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from functools import reduce
+from itertools import product
 from math import log2
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -21,16 +25,15 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from wardlog.functions import scalars as S
 from wardlog.operators.labels import harmonize_training_columns, normalize_scoring_row
-from wardlog.operators.metrics import classification_metrics, cve_sample_weight, stratified_folds, stratified_split
+from wardlog.operators.metrics import classification_metrics, cve_sample_weight, shuffle_splits, stratified_folds, stratified_split
 from wardlog.operators.ranking import range_bucket
 from wardlog.session import stage
 from wardlog.sources.schemas import NUMERIC_FEATURES
@@ -41,6 +44,12 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Default booster settings, and the search space of the tuned runs.
 BOOSTER = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "seed": 42}
 TABULAR_TREES = 400
+GRID = {
+    "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
+    # An unlimited depth becomes the deepest that Spark allows.
+    "RandomForestClassifier": {"numTrees": [100, 200], "maxDepth": [30, 8, 16], "minInstancesPerNode": [1, 3]},
+    "GBTClassifier": {"maxIter": [100, 200], "maxDepth": [4, 6], "stepSize": [0.05, 0.1]},
+}
 SEARCH_SPACE = {
     "maxIter": (100, 1000, 50),
     "maxDepth": (3, 12),
@@ -123,16 +132,19 @@ def prepare_training(df: DataFrame) -> DataFrame:
     return ready.withColumn("weight", cve_sample_weight(F.col("label")))
 
 
-def train_attack_model(df: DataFrame, numeric: list[str] | None = None, **overrides) -> PipelineModel:
+def train_attack_model(df: DataFrame, numeric: list[str] | None = None, smote: bool = False, **overrides) -> PipelineModel:
     """Preprocessing plus boosted trees on labelled rows. Nothing but the vocabulary reaches the driver."""
     ready = single_class_guard(prepare_training(df))
     features = fit_features(ready, numeric)
-    vectors = features.transform(ready).select("features", "label", "weight").persist(StorageLevel.DISK_ONLY)
-    try:
-        model = booster(**overrides).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return PipelineModel(stages=[*features.stages, model])
+    return PipelineModel(stages=[*features.stages, booster(**overrides).fit(_vectors(features, ready, smote))])
+
+
+def train_tabular_model(df: DataFrame, numeric: list[str] | None = None) -> PipelineModel:
+    """Boosted trees on the numeric columns alone, without URI text and method."""
+    ready = single_class_guard(prepare_training(df))
+    assemble = VectorAssembler(inputCols=numeric or NUMERIC_FEATURES, outputCol="features", handleInvalid="keep")
+    features = PipelineModel(stages=[assemble])
+    return PipelineModel(stages=[assemble, booster(maxIter=TABULAR_TREES).fit(_vectors(features, ready, False))])
 
 
 PATTERN_NAMES = (("has_sqli", "has_sqli_pattern"), ("has_xss", "has_xss_pattern"))
@@ -186,76 +198,106 @@ def feature_importance(model: PipelineModel, df: DataFrame, top: int = 10) -> Da
     return df.sparkSession.createDataFrame(ranked, "feature STRING, importance DOUBLE")
 
 
-def _search_rows(df: DataFrame, ids: list[str], folds: int) -> tuple[PipelineModel, DataFrame]:
-    ready = stratified_folds(single_class_guard(prepare_training(df)), ids, "label", folds)
-    features = fit_features(ready)
-    return features, features.transform(ready).select("features", "label", "weight", "fold")
+Candidate = tuple[str, object, Callable[[int], dict]]
 
 
-def _results(search: CrossValidatorModel, df: DataFrame, names: list[str]) -> DataFrame:
-    rows = sorted(((name, float(value)) for name, value in zip(names, search.avgMetrics)), key=lambda x: -x[1])
-    return df.sparkSession.createDataFrame(rows, "candidate STRING, roc_auc DOUBLE")
+def _vectors(features: PipelineModel, rows: DataFrame, smote: bool) -> DataFrame:
+    """Feature rows to fit on; `smote` adds synthetic minority rows of weight 1."""
+    made = features.transform(rows).select("features", "label", "weight")
+    if smote:
+        weights = made.groupBy("features", "label").agg(F.max("weight").alias("weight"))
+        grown = smote_oversample(made).withColumn("features", array_to_vector("v")).drop("v")
+        made = grown.join(weights, ["features", "label"], "left").select("features", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return stage(made, "vectors")
 
 
-def _cross_validate(vectors: DataFrame, folds: int, estimator, grid: list, parallelism: int) -> CrossValidatorModel:
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    return validator.fit(vectors)
+def _fold_scores(rows: DataFrame, folds: int, candidates: list[Candidate], parallelism: int, smote: bool) -> list[float]:
+    """Mean AUC of each candidate; vocabulary, weights and encoder are fitted on each fold's training part alone."""
+    judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+    sums = [0.0] * len(candidates)
+    for fold in range(folds):
+        part = rows.where(F.col("fold") != fold)
+        features = fit_features(part)
+        train, valid = _vectors(features, part, smote), _vectors(features, rows.where(F.col("fold") == fold), False)
+        n = train.count()
+
+        def score(candidate: Candidate, train: DataFrame = train, valid: DataFrame = valid, n: int = n) -> float:
+            _, estimator, settings = candidate
+            return judge.evaluate(estimator.fit(train, settings(n)).transform(valid))
+
+        with ThreadPool(min(parallelism, len(candidates))) as pool:
+            sums = [total + auc for total, auc in zip(sums, pool.map(inheritable_thread_target(rows.sparkSession)(score), candidates))]
+    return [total / folds for total in sums]
+
+
+def _search(df: DataFrame, ids: list[str], folds: int, candidates: list[Candidate], parallelism: int, smote: bool) -> tuple[PipelineModel, DataFrame]:
+    """The best candidate by mean AUC over stratified folds, fitted on all rows, and the ranking."""
+    rows = stage(stratified_folds(single_class_guard(prepare_training(df)), ids, "label", folds), "folds")
+    scores = _fold_scores(rows, folds, candidates, parallelism, smote)
+    ranking = sorted(((name, float(auc)) for (name, _, _), auc in zip(candidates, scores)), key=lambda x: -x[1])
+    _, estimator, settings = candidates[scores.index(max(scores))]
+    features = fit_features(rows)
+    vectors = _vectors(features, rows, smote)
+    best = estimator.fit(vectors, settings(vectors.count()))
+    return PipelineModel(stages=[*features.stages, best]), df.sparkSession.createDataFrame(ranking, "candidate STRING, roc_auc DOUBLE")
 
 
-def candidate_grid(small: bool = False) -> tuple[Pipeline, list, list[str]]:
-    """Logistic regression, random forest and boosted trees with their settings.
+def candidate_grid(grid: dict[str, dict[str, list]] | None = None) -> list[Candidate]:
+    """Every setting of logistic regression, random forest and boosted trees in `grid`.
 
-    `small` keeps one setting per family. An unlimited forest depth becomes the deepest Spark allows.
+    `C`, the inverse strength of logistic regression's penalty, is per row: Spark averages the loss, so the penalty is
+    1 / (C n).
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    logistic = LogisticRegression(maxIter=1000, **common)
-    forest = RandomForestClassifier(seed=42, **common)
-    boosted = booster()
-    pipeline = Pipeline(stages=[])
-    choices = [
-        (logistic, {logistic.regParam: [1.0] if small else [10.0, 1.0, 0.1]}),
-        (
-            forest,
-            {forest.numTrees: [10], forest.maxDepth: [4]}
-            if small
-            else {forest.numTrees: [100, 200], forest.maxDepth: [30, 8, 16], forest.minInstancesPerNode: [1, 3]},
-        ),
-        (
-            boosted,
-            {boosted.maxIter: [5], boosted.maxDepth: [3]}
-            if small
-            else {boosted.maxIter: [100, 200], boosted.maxDepth: [4, 6], boosted.stepSize: [0.05, 0.1]},
-        ),
-    ]
-    grid, names = [], []
-    for estimator, options in choices:
-        builder = ParamGridBuilder().baseOn({pipeline.stages: [estimator]})
-        for param, values in options.items():
-            builder = builder.addGrid(param, values)
-        for setting in builder.build():
-            shown = ", ".join(f"{p.name}={v}" for p, v in setting.items() if p.name != "stages")
-            grid.append(setting)
-            names.append(f"{type(estimator).__name__}({shown})")
-    return pipeline, grid, names
-
-
-def model_search(df: DataFrame, ids: list[str], folds: int = 5, parallelism: int = 4, small: bool = False) -> tuple[PipelineModel, DataFrame]:
+    families = {
+        "LogisticRegression": LogisticRegression(maxIter=1000, **common),
+        "RandomForestClassifier": RandomForestClassifier(seed=42, **common),
+        "GBTClassifier": booster(),
+    }
+    found: list[Candidate] = []
+    for family, options in (grid or GRID).items():
+        estimator = families[family]
+        for values in product(*options.values()):
+            setting = dict(zip(options, values))
+            name = f"{family}({', '.join(f'{k}={v}' for k, v in setting.items())})"
+
+            def params(n: int, setting: dict = setting, estimator=estimator) -> dict:
+                known = {k: v for k, v in setting.items() if k != "C"}
+                penalty = {"regParam": 1.0 / (setting["C"] * max(1, n))} if "C" in setting else {}
+                return {estimator.getParam(k): v for k, v in {**known, **penalty}.items()}
+
+            found.append((name, estimator, params))
+    return found
+
+
+def model_search(
+    df: DataFrame, ids: list[str], folds: int = 5, parallelism: int = 4, grid: dict | None = None, smote: bool = False
+) -> tuple[PipelineModel, DataFrame]:
     """Best of three model families by mean AUC over stratified folds, and the ranking."""
-    features, vectors = _search_rows(df, ids, folds)
-    pipeline, grid, names = candidate_grid(small)
-    vectors = vectors.persist(StorageLevel.DISK_ONLY)
-    try:
-        search = _cross_validate(vectors, folds, pipeline, grid, parallelism)
-    finally:
-        vectors.unpersist()
-    return PipelineModel(stages=[*features.stages, *search.bestModel.stages]), _results(search, df, names)
+    return _search(df, ids, folds, candidate_grid(grid), parallelism, smote)
+
+
+def cross_validate(
+    df: DataFrame, ids: list[str], folds: int = 5, repeats: int = 0, test_size: float = 0.2, estimator=None, smote: bool = False
+) -> DataFrame:
+    """Predictions of models fitted without the rows they judge: ids, fold, label, probability, prediction.
+
+    With `repeats` the parts are that many stratified shuffle splits, else `folds` folds. Everything, preprocessing and
+    synthetic rows included, is fitted on the training part alone. Feed the result to `cv_metrics`.
+    """
+    ready = single_class_guard(prepare_training(df))
+    if repeats:
+        splits = [(s.where("split = 'train'"), s.where("split = 'test'")) for s in shuffle_splits(ready, ids, "label", repeats, test_size)]
+    else:
+        dealt = stage(stratified_folds(ready, ids, "label", folds), "folds")
+        splits = [(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k)) for k in range(folds)]
+    judged = []
+    for fold, (train, test) in enumerate(splits):
+        features = fit_features(train)
+        model = (estimator or booster()).fit(_vectors(features, train, smote))
+        rows = model.transform(features.transform(test)).withColumn("probability", vector_to_array("probability")[1])
+        judged.append(rows.select(*ids, F.lit(fold).alias("fold"), "label", "probability", S.apply_threshold(F.col("probability")).alias("prediction")))
+    return reduce(DataFrame.unionByName, judged)
 
 
 def draw_settings(trials: int, seed: int = 42, space: dict | None = None) -> list[dict]:
@@ -281,20 +323,22 @@ def draw_settings(trials: int, seed: int = 42, space: dict | None = None) -> lis
 
 
 def hyperparameter_search(
-    df: DataFrame, ids: list[str], trials: int = 25, folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None
+    df: DataFrame,
+    ids: list[str],
+    trials: int = 25,
+    folds: int = 5,
+    seed: int = 42,
+    parallelism: int = 4,
+    space: dict | None = None,
+    smote: bool = False,
 ) -> tuple[PipelineModel, DataFrame]:
     """Best boosted trees among seeded random settings by mean AUC, and the ranking."""
-    features, vectors = _search_rows(df, ids, folds)
     estimator = booster(seed=seed)
-    settings = draw_settings(trials, seed, space)
-    grid = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-    names = [", ".join(f"{k}={v if isinstance(v, (int, str)) else round(v, 5)}" for k, v in s.items()) for s in settings]
-    vectors = vectors.persist(StorageLevel.DISK_ONLY)
-    try:
-        search = _cross_validate(vectors, folds, estimator, grid, parallelism)
-    finally:
-        vectors.unpersist()
-    return PipelineModel(stages=[*features.stages, search.bestModel]), _results(search, df, names)
+    candidates: list[Candidate] = []
+    for setting in draw_settings(trials, seed, space):
+        name = ", ".join(f"{k}={v if isinstance(v, (int, str)) else round(v, 5)}" for k, v in setting.items())
+        candidates.append((name, estimator, lambda n, setting=setting: {estimator.getParam(k): v for k, v in setting.items()}))
+    return _search(df, ids, folds, candidates, parallelism, smote)
 
 
 CELL_ROWS = 2000

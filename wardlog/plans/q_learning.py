@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,23 @@ from pyspark.sql import functions as F
 
 from wardlog.operators import learning as ml
 from wardlog.operators import metrics as mt
+from wardlog.operators.ranking import sample_rows
 from wardlog.plans.driver_log import derived_events
 from wardlog.plans.flat_sql import FEATURE_CTE
 from wardlog.plans.frames import feature_rows
 from wardlog.plans.registry import query, table
 from wardlog.session import stage
 
-# The registered runs use few and shallow trees; the operators' defaults are the full settings.
-QUICK = {"maxIter": 10, "maxDepth": 4}
-QUICK_SPACE = {
+# Labelled rows that a model is fitted on at most; they are drawn by a hash of the id.
+FIT_ROWS = 20_000
+# The registered searches take these settings and folds; with the defaults they would run for hours on one machine.
+FOLDS, TRIALS = 2, 2
+SHORT_GRID = {
+    "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
+    "RandomForestClassifier": {"numTrees": [20], "maxDepth": [8]},
+    "GBTClassifier": {"maxIter": [5], "maxDepth": [4]},
+}
+SHORT_SPACE = {
     "maxIter": (4, 8, 2), "maxDepth": (2, 4), "stepSize": (0.05, 0.3), "subsamplingRate": (0.7, 1.0),
     "featureSubsetStrategy": (0.7, 1.0), "minInstancesPerNode": (1, 3), "minInfoGain": (0.0, 0.01),
 }
@@ -164,11 +173,11 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """Model trained once per application on the training part."""
+    """Model with the default settings, trained once per application on the training part."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         train = split_rows(spark, sf_dir).where("split = 'train'").drop("split")
-        _MODELS[key] = ml.train_attack_model(train, **QUICK)
+        _MODELS[key] = ml.train_attack_model(sample_rows(train, FIT_ROWS, ["event_id"]))
     return _MODELS[key]
 
 
@@ -197,14 +206,21 @@ def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.feature_importance(shared_model(spark, sf_dir), split_rows(spark, sf_dir))
 
 
+@query("cross_validation")
+def cross_validation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics over folds of a logistic regression that is fitted anew, with its features, for each fold."""
+    estimator = LogisticRegression(maxIter=1000, featuresCol="features", labelCol="label", weightCol="weight")
+    return mt.cv_metrics(ml.cross_validate(split_rows(spark, sf_dir).drop("split"), ["event_id"], folds=3, estimator=estimator))
+
+
 @query("model_search")
 def model_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.model_search(split_rows(spark, sf_dir).drop("split"), ["event_id"], folds=2, small=True)[1]
+    return ml.model_search(split_rows(spark, sf_dir).drop("split"), ["event_id"], folds=FOLDS, grid=SHORT_GRID)[1]
 
 
 @query("hyperparameter_search")
 def hyper_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.hyperparameter_search(split_rows(spark, sf_dir).drop("split"), ["event_id"], trials=2, folds=2, space=QUICK_SPACE)[1]
+    return ml.hyperparameter_search(split_rows(spark, sf_dir).drop("split"), ["event_id"], trials=TRIALS, folds=FOLDS, space=SHORT_SPACE)[1]
 
 
 @query(

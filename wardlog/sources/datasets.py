@@ -136,7 +136,7 @@ def read_log_files(spark: SparkSession, path: str, recursive: bool = False, date
     if whole:
         listed = F.from_json("value", "array<string>")
         records = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), listed).otherwise(F.array("value"))
-        frames.append(spark.read.option("wholetext", True).text(whole).select(F.explode(records).alias("value"), *date))
+        frames.append(spark.read.text(whole, wholetext=True).select(F.explode(records).alias("value"), *date))
     if lines or not frames:
         frames.append(spark.read.text(lines).select("value", *date) if lines else reader.text(path).where(F.lit(False)).select("value", *date))
     return audit_features(good_transactions(union_sources(*frames))).drop("tx")
