@@ -339,6 +339,16 @@ def audience_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.alert_audience(alerts, subscribers(spark, sf_dir)).drop("email")
 
 
+@query(
+    "audience_counts",
+    f"""WITH {LINKS}, {SUBSCRIBERS} SELECT attack_event_id, probability, count(telegram_chat_id) AS audience, max(min_probability) AS cutoff
+    FROM links LEFT JOIN subs ON probability >= min_probability GROUP BY ALL""",
+)
+def audience_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = attack_links(spark, sf_dir).select("attack_event_id", "probability")
+    return jn.audience_counts(alerts, subscribers(spark, sf_dir))
+
+
 @query(
     "alerts_without_audience",
     f"""WITH {LINKS}, {SUBSCRIBERS}, picky AS (SELECT * FROM subs WHERE min_probability > 0.5)
