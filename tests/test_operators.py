@@ -281,3 +281,10 @@ def test_cooldown_with_missing_times(spark):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else 100 + i) for i in range(12)], "id int, s int")
     timed = df.withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(r.id for r in alert_cooldown(timed, "ts", ["id"], None, 5).collect()) == [1, 7]
+
+
+def test_metric_in_nested_json(rows_of):
+    texts = ['{"a": {"f1": 0.5}, "f1": 0.25}', '[{"x": [{"f1": null}, {"f1": 0.75}]}]', '{"f1": "0.125"}', '{"f1": "high"}', "no json", None, "{}", '{"f1": {"f1": 1}}']
+    df = rows_of([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", mt.metric_value(F.col("t"), "f1").alias("v")).collect()}
+    assert [got[i] for i in range(8)] == [0.25, 0.75, 0.125, None, None, None, None, None]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,3 +155,40 @@ def cv_metrics(df: DataFrame, fold: str = "fold") -> DataFrame:
         for n in names
     ]
     return row.select(F.inline(F.array(*items)))
+
+
+def first_of(document: object, keys: list[str]) -> object:
+    """The first value under one of the keys, from outside in and in document order; nulls don't count.
+
+    An object that has one of the keys is not searched further.
+    """
+    waiting = [document]
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, dict):
+            named = next((k for k in keys if k in item), None)
+            if named is not None:
+                if item[named] is not None:
+                    return item[named]
+                continue
+            item = list(item.values())
+        if isinstance(item, list):
+            waiting.extend(reversed(item))
+    return None
+
+
+def metric_value(document: Column, *keys: str) -> Column:
+    """A metric out of nested metric JSON, NULL where it is absent, no number, or the text is no JSON."""
+
+    @F.pandas_udf("double")
+    def look_up(texts: pd.Series) -> pd.Series:
+        def value(text: str | None) -> float | None:
+            try:
+                found = first_of(json.loads(text), list(keys)) if text else None
+                return None if found is None else float(found)
+            except (ValueError, TypeError):
+                return None
+
+        return texts.map(value).astype("float64")
+
+    return look_up(document)

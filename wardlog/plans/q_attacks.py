@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlog.functions import scalars as S
 from wardlog.operators import attack as at
 from wardlog.operators import joins as jn
+from wardlog.operators import metrics as mt
 from wardlog.operators import labels as lb
 from wardlog.operators import ranking as rk
 from wardlog.operators import reports as rp
@@ -456,6 +457,23 @@ def versions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.compare_versions(training_runs(spark, sf_dir), 3, 17)
 
 
+# Metric files of the training runs: the metric lies at another depth, under another name, or is missing, by segment.
+@query(
+    "metric_lookup",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END::DOUBLE AS f1 FROM customer""",
+)
+def metric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+    none = F.lit(None).cast("double")
+    deep = F.struct(F.struct(none.alias("f1")).alias("train"), F.array(F.struct(F.struct(value.alias("f1_score"), F.lit(-1.0).alias("auc")).alias("test"))).alias("parts"))
+    text = (
+        F.when(segment == "BUILDING", F.to_json(F.struct(F.struct(value.alias("auc")).alias("test"))))
+        .when(segment == "MACHINERY", F.to_json(F.struct(value.alias("f1"), F.struct(F.lit(-1.0).alias("f1")).alias("old"))))
+        .otherwise(F.to_json(deep, {"ignoreNullFields": "false"}))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", mt.metric_value(text, "f1_score", "f1").alias("f1"))
+
+
 # Cool-down: the greedy rule as a recursive query.
 @query(
     "alert_cooldown",
