@@ -198,9 +198,9 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STAGED[key]
 
 
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log after parsing: `event_id`, `ts`, `user_id`, `tx`."""
-    return good_transactions(audit_lines(spark, sf_dir))
+def audit_log(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The derived log after parsing: `event_id`, `ts`, `user_id`, `tx` with all or the wanted fields."""
+    return good_transactions(audit_lines(spark, sf_dir), fields=list(fields) or None)
 
 
 def demo_probability(event_id: Column | str = "event_id") -> Column:

@@ -38,7 +38,7 @@ def pct(part: str, whole: str) -> str:
     SELECT total, normal, malicious, {pct("normal", "total")} AS normal_pct, {pct("malicious", "total")} AS malicious_pct FROM s""",
 )
 def log_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return at.log_summary(audit_log(spark, sf_dir))
+    return at.log_summary(audit_log(spark, sf_dir, "messages"))
 
 
 @query(
@@ -47,7 +47,7 @@ def log_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT unnest(log_types) AS attack_type FROM logged) GROUP BY 1""",
 )
 def attack_type_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return at.attack_type_counts(audit_log(spark, sf_dir))
+    return at.attack_type_counts(audit_log(spark, sf_dir, "messages"))
 
 
 RULE_NAME = """CASE rule_id WHEN '942100' THEN 'SQLi' WHEN '941100' THEN 'XSS' WHEN '930120' THEN 'LFI' WHEN '932160' THEN 'RCE'
@@ -60,7 +60,7 @@ RULE_NAME = """CASE rule_id WHEN '942100' THEN 'SQLi' WHEN '941100' THEN 'XSS' W
     FROM (SELECT unnest(rules) AS rule_id FROM audit) WHERE rule_id NOT IN ('', '920350') GROUP BY rule_id""",
 )
 def rule_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return at.rule_counts(audit_log(spark, sf_dir))
+    return at.rule_counts(audit_log(spark, sf_dir, "messages"))
 
 
 @query(
@@ -69,7 +69,7 @@ def rule_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT event_id, unnest(rules) AS rule_id FROM audit) WHERE rule_id <> ''""",
 )
 def rule_category_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = at.explode_rules(audit_log(spark, sf_dir).select("event_id", "tx"))
+    rows = at.explode_rules(audit_log(spark, sf_dir, "messages").select("event_id", "tx"))
     return at.rule_category_join(rows.drop("tx")).select("event_id", "rule_id", "category")
 
 
@@ -87,7 +87,7 @@ def _register_values(name: str) -> None:
 
     @query(name, f"WITH {AUDIT_CTE} SELECT {sql} AS {column}, count(*) AS n FROM audit GROUP BY 1{order}")
     def values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return at.value_counts(audit_log(spark, sf_dir), at.log_value(F.col(field)), column, top)
+        return at.value_counts(audit_log(spark, sf_dir, field.split(".")[1]), at.log_value(F.col(field)), column, top)
 
 
 for _name in VALUES:

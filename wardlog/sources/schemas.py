@@ -7,15 +7,21 @@ _REQUEST = "STRUCT<method: STRING, uri: STRING, headers: MAP<STRING, STRING>>"
 _RESPONSE = "STRUCT<http_code: STRING, body: STRING>"
 MESSAGE = "STRUCT<message: STRING, details: STRUCT<ruleId: STRING, severity: STRING, data: STRING>>"
 _MESSAGES = f"ARRAY<{MESSAGE}>"
-_FIELDS = [
+FIELDS = [
     ("time_stamp", "STRING"),
     ("client_ip", "STRING"),
     ("request", _REQUEST),
     ("response", _RESPONSE),
     ("messages", _MESSAGES),
 ]
-TRANSACTION = ", ".join(f"{name} {kind}" for name, kind in _FIELDS)
-TRANSACTION_FIELDS = ", ".join(f"{name}: {kind}" for name, kind in _FIELDS)
+TX_FIELDS = [name for name, _ in FIELDS]
+
+
+def transaction_schema(fields: list[str] | None = None) -> str:
+    """Schema of a record that is a transaction or wraps one, with the wanted fields alone."""
+    wanted = [(name, kind) for name, kind in FIELDS if fields is None or name in fields]
+    inner, outer = (", ".join(f"{name}{mark} {kind}" for name, kind in wanted) for mark in (":", ""))
+    return f"transaction STRUCT<{inner}>, {outer}"
 
 FLAG_COLUMNS = [
     "has_sqli",
