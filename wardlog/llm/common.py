@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,7 @@ TO_BLANK = {c: " " for c in range(9, 14)}
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and Arrow batches that stay small when texts are very long."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 
@@ -57,3 +59,19 @@ def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(work: Callable[..., Batches]) -> Callable[..., Batches]:
+    """Gives freed memory back to the system when a task ends: a Python worker serves many operators after each other."""
+
+    @wraps(work)
+    def run(*args) -> Batches:
+        try:
+            yield from work(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run

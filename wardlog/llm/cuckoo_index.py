@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import SPACE, Batches, bucket_count, text_of
+from wardlog.llm.common import SPACE, Batches, bucket_count, text_of, tidy
 from wardlog.session import stage
 
 SLOTS = 4
@@ -159,6 +159,7 @@ class Shard:
         )
 
 
+@tidy
 def _combine(batches: Batches) -> Batches:
     """One row per digest of an Arrow batch: smallest id and number of rows."""
     for batch in batches:

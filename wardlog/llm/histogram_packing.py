@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlog.llm.common import Batches, as_batch, bucket_count, text_of, words_of
+from wardlog.llm.common import Batches, as_batch, bucket_count, text_of, tidy, words_of
 from wardlog.session import stage
 
 MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pretokens whose ids a Python worker keeps, and the longest that is kept.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 160_000
 CACHED_CHARS = 48
 #: Pieces in a bucket in which ranks are numbered by one sort.
 RANK_ROWS = 16_384
@@ -99,6 +99,7 @@ def _word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
+@tidy
 def _cut(batches: Batches, vocabulary: str, longest: int) -> Batches:
     """Pieces of each (doc_id, text) row: length and checksum of the ids."""
     known, end = _word_ids(vocabulary), np.array([END_ID], "<u4").tobytes()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import Batches, as_batch, ascii_lower, text_of
+from wardlog.llm.common import Batches, as_batch, ascii_lower, text_of, tidy
 from wardlog.session import stage
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -34,8 +34,6 @@ BUCKETS = 1 << 14
 SMOOTHING, WEIGHT, PRIOR, LEAST = 0.5, 60, 10.0, 0.5
 #: Share of rows in none of the languages, before any evidence.
 UNKNOWN_SHARE = 0.01
-#: Bytes hashed at a time.
-STRIPE = 1 << 20
 
 _CLASSES = (*LANGUAGES, UNKNOWN)
 _COUNTS = pa.schema([("language", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -57,6 +55,7 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed >> np.uint32(18)).astype(np.int64)
 
 
+@tidy
 def _tally(batches: Batches) -> Batches:
     """Trigram counts of the task's rows by declared language."""
     counts = {c: np.zeros(BUCKETS, np.int64) for c in LANGUAGES}
@@ -94,6 +93,7 @@ def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """doc_id, declared, host, n_grams and the mean log-likelihood per class."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def score(batches: Batches) -> Batches:
         for batch in batches:
             grams = [trigrams(t) for t in batch.column("text").to_pylist()]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import Batches, ascii_lower, text_of, words_of
+from wardlog.llm.common import Batches, ascii_lower, text_of, tidy, words_of
 from wardlog.llm.components import components
 from wardlog.session import stage
 
@@ -38,7 +38,7 @@ HALF, SIDE = 3, 12
 #: Members of a block in the exact comparison; two blocks meet in one task.
 BLOCK = 256
 #: Word hashes kept by a Python worker, shingles hashed at a time, and shingles compared at a time.
-CACHED_WORDS, STRIPE, COLUMNS = 500_000, 1 << 15, 4_096
+CACHED_WORDS, STRIPE, COLUMNS = 100_000, 1 << 15, 4_096
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _SIGNED_DDL = "doc_id long, n_shingles long, cls binary, keys array<long>"
@@ -103,6 +103,7 @@ def half_keys(sets: list[np.ndarray], half: int = HALF, side: int = SIDE) -> np.
     return keys.T
 
 
+@tidy
 def _sign(batches: Batches, width: int) -> Batches:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -129,6 +130,7 @@ def _signed_rows(stripe: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED, strict=True)], schema=_SIGNED)
 
 
+@tidy
 def _sets(batches: Batches, width: int) -> Batches:
     for batch in batches:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
