@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -61,17 +62,26 @@ def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 Batches = Iterator[pa.RecordBatch]
 
 
-def tidy(work: Callable[..., Batches]) -> Callable[..., Batches]:
-    """Gives freed memory back to the system when a task ends: a Python worker serves many operators after each other."""
+def tidy(*stores: Callable) -> Callable:
+    """Empties the named stores and gives memory back to the system when a task ends.
 
-    @wraps(work)
-    def run(*args) -> Batches:
-        try:
-            yield from work(*args)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+    A Python worker serves many operators after each other; what one of them keeps would burden the others.
+    """
 
-    return run
+    def around(work: Callable[..., Batches]) -> Callable[..., Batches]:
+        @wraps(work)
+        def run(*args) -> Batches:
+            try:
+                yield from work(*args)
+            finally:
+                for store in stores:
+                    store.cache_clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim:
+                    trim(0)
+
+        return run
+
+    return around

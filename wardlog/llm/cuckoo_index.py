@@ -159,7 +159,7 @@ class Shard:
         )
 
 
-@tidy
+@tidy()
 def _combine(batches: Batches) -> Batches:
     """One row per digest of an Arrow batch: smallest id and number of rows."""
     for batch in batches:

@@ -34,8 +34,8 @@ from wardlog.session import stage
 MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Pretokens whose ids a Python worker keeps, and the longest that is kept.
-CACHED_WORDS = 160_000
+#: Pretokens whose ids a task keeps, and the longest that is kept.
+CACHED_WORDS = 100_000
 CACHED_CHARS = 48
 #: Pieces in a bucket in which ranks are numbered by one sort.
 RANK_ROWS = 16_384
@@ -99,7 +99,7 @@ def _word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
-@tidy
+@tidy(_word_ids)
 def _cut(batches: Batches, vocabulary: str, longest: int) -> Batches:
     """Pieces of each (doc_id, text) row: length and checksum of the ids."""
     known, end = _word_ids(vocabulary), np.array([END_ID], "<u4").tobytes()

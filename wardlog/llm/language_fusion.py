@@ -55,7 +55,7 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed >> np.uint32(18)).astype(np.int64)
 
 
-@tidy
+@tidy()
 def _tally(batches: Batches) -> Batches:
     """Trigram counts of the task's rows by declared language."""
     counts = {c: np.zeros(BUCKETS, np.int64) for c in LANGUAGES}
@@ -93,7 +93,7 @@ def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """doc_id, declared, host, n_grams and the mean log-likelihood per class."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
-    @tidy
+    @tidy()
     def score(batches: Batches) -> Batches:
         for batch in batches:
             grams = [trigrams(t) for t in batch.column("text").to_pylist()]

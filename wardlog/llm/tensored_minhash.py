@@ -37,7 +37,7 @@ WIDTH, THRESHOLD = 5, 80
 HALF, SIDE = 3, 12
 #: Members of a block in the exact comparison; two blocks meet in one task.
 BLOCK = 256
-#: Word hashes kept by a Python worker, shingles hashed at a time, and shingles compared at a time.
+#: Word hashes kept by a task, shingles hashed at a time, and shingles compared at a time.
 CACHED_WORDS, STRIPE, COLUMNS = 100_000, 1 << 15, 4_096
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -103,7 +103,7 @@ def half_keys(sets: list[np.ndarray], half: int = HALF, side: int = SIDE) -> np.
     return keys.T
 
 
-@tidy
+@tidy(_word_hashes)
 def _sign(batches: Batches, width: int) -> Batches:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -130,7 +130,7 @@ def _signed_rows(stripe: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED, strict=True)], schema=_SIGNED)
 
 
-@tidy
+@tidy(_word_hashes)
 def _sets(batches: Batches, width: int) -> Batches:
     for batch in batches:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
