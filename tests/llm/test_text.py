@@ -253,14 +253,15 @@ def test_language_posterior_by_hand(docs_of):
     """The posterior equals the product of its parts, computed row by row."""
     rows = language_rows()
     logs = np.zeros((lf.BUCKETS, 5))
-    for text, declared in ((t, g.split("-")[0]) for _, t, g, _ in rows):
+    tag = lambda g: g.split("-")[0] if g.split("-")[0] in lf.LANGUAGES else "other"
+    for text, declared in ((t, tag(g)) for _, t, g, _ in rows if tag(g) != "other"):
         np.add.at(logs[:, lf.LANGUAGES.index(declared)], lf.trigrams(text), 1)
     logs = np.log((logs + lf.SMOOTHING) / (logs.sum(axis=0) + lf.SMOOTHING * lf.BUCKETS))
     logs[:, 4] = -np.log(lf.BUCKETS)
     classes = [*lf.LANGUAGES, lf.UNKNOWN]
     means = {i: logs[lf.trigrams(t)].mean(axis=0) for i, t, *_ in rows if len(lf.trigrams(t))}
     best = {i: classes[int(np.argmax(m))] for i, m in means.items()}
-    info = {i: (g.split("-")[0], h, (h or "").rpartition(".")[2] if "." in (h or "") else "") for i, _, g, h in rows}
+    info = {i: (tag(g), h, (h or "").rpartition(".")[2] if "." in (h or "") else "") for i, _, g, h in rows}
     count = lambda f: Counter(f(i) for i in best)
     start = {c: 0.01 if c == "und" else 0.99 / 4 for c in classes}
     n, by_class = len(best), count(lambda i: best[i])
