@@ -128,6 +128,19 @@ def test_mix_meets_its_targets(docs_of):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in ss.mix(docs_of(rows)).collect())
 
 
+def test_mix_meets_targets_of_small_sources(docs_of, monkeypatch):
+    """Sources of less than a block, of a few blocks, and without a point of the schedule."""
+    monkeypatch.setattr(ss, "LEAST_SLOTS", 8)
+    sizes = {"a": 30_000, "b": 5_000, "c": 500, "d": 40, "e": 1, "f": 9_000}
+    rows = [(i, " ".join(["w"] * n), "en", s) for i, (s, n) in enumerate((s, k) for s, total in sizes.items() for k in [total // 10] * 10 + [total % 10])]
+    got = ss.mix(docs_of(rows)).collect()
+    for s, size in sizes.items():
+        own = [r for r in got if r.source == s]
+        assert own[0].source_size == size and sum(r.taken for r in own) == round(own[0].target)
+        assert all(0 <= r.first_pass <= r.size and r.first_pass <= r.taken <= 2 * r.size for r in own)
+        assert sum(r.first_pass for r in own) == min(size, round(own[0].target))
+
+
 def test_mix_of_odd_rows(docs_of, odd_rows):
     got = ss.mix(docs_of(odd_rows, clash=True)).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.taken <= 2 * r.size for r in got)

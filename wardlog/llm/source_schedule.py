@@ -5,9 +5,11 @@ excess goes to the others. With sources ordered by limit over weight this level
 running sum over the sources.
 
 Schedule: slot k takes the golden-ratio point frac(k * phi), which falls into one source's part of the cumulative target
-shares; any stretch of slots then holds each source almost exactly in proportion. The slots of a source are ranked, and
-rank r takes block r of the source's documents, put in an order shuffled by a hash and cut into blocks of equal tokens.
-Ranks beyond the last block start the source anew, up to `most_epochs` times.
+shares; any stretch of slots then holds each source almost exactly in proportion. The slots of a source are ranked and
+divide its target, so each source has a block size of its own: rank r takes block r of the source's documents, put in an
+order shuffled by a hash, repeated up to `most_epochs` times and cut into blocks of equal tokens. Blocks may run over the
+end of the source into its next epoch. The tokens taken of a source are thus its target, rounded, whatever its size; a
+source whose share no point falls into takes its target in one slot.
 
 Running totals over slots and over documents are taken in chunks, whose totals are summed first, so that a source with
 a third of all rows is cut into as many tasks as any other data of its size.
@@ -28,7 +30,7 @@ from wardlog.session import stage
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
-#: Slots that a schedule has at least, and tokens that a block holds at most.
+#: Slots that a schedule has at least, and tokens that a block of it holds at most on average.
 LEAST_SLOTS, MOST_BLOCK = 65_536, 4_096
 #: Slots whose ranks one task counts in one go, and documents that one task orders.
 SLOT_CHUNK, ORDER_ROWS = 4_096, 16_384
@@ -117,23 +119,30 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     shares = stage(targets(sizes, weights, share, most), "targets")
     seen = shares.agg(F.sum("target").alias("target"), F.sum("n_docs").alias("rows")).first()
     block = int(min(MOST_BLOCK, max(1, (seen.target or 0) // LEAST_SLOTS)))
-    ranks = slots_per_rank(shares, int(-(-(seen.target or 0) // block)))
-    of_source = shares.select(F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("source_size") / block).alias("blocks"))
-    taken_blocks = ranks.join(of_source, F.col("source").eqNullSafe(F.col("of"))).where(F.col("rank") < F.lit(most) * F.col("blocks")).groupBy(
-        F.col("source").alias("of"), (F.col("rank") % F.col("blocks")).alias("of_block")
-    ).agg(F.count("*").alias("times"))
-    documents = placed(sizes, seen.rows or 0, seed)
-    last = F.col("start") + F.col("size") - 1
-    cut = documents.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor(last / block)))))
-    tokens = F.least(last + 1, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    pieces = cut.withColumn("tokens", tokens).join(
-        taken_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")), "left"
+    drawn = stage(slots_per_rank(shares, int(-(-(seen.target or 0) // block))), "slots")
+    missed = shares.select(F.col("source").alias("of"), "target").where("target > 0").join(
+        drawn.select("source").distinct(), F.col("of").eqNullSafe(F.col("source")), "left_anti"
     )
-    times = F.coalesce("times", F.lit(0))
-    mixed = pieces.groupBy("row", "doc_id", "source", "size").agg(
-        F.coalesce(F.sum(F.col("tokens") * times), F.lit(0)).cast("long").alias("taken"),
-        F.coalesce(F.sum(F.col("tokens") * F.least(times, F.lit(1))), F.lit(0)).cast("long").alias("first_pass"),
+    ranks = drawn.union(missed.select("of", F.lit(0).cast("long"))).select(F.col("source").alias("slot_of"), F.col("rank").alias("slot_rank"))
+    counts = ranks.groupBy(F.col("slot_of").alias("counted")).agg(F.count("*").alias("slots"))
+    of_source = shares.select(F.col("source").alias("of"), "source_size", "target", F.round("target").cast("long").alias("whole")).join(
+        counts, F.col("of").eqNullSafe(F.col("counted")), "left"
+    ).drop("counted")
+    documents = placed(sizes, seen.rows or 0, seed).join(of_source, F.col("source").eqNullSafe(F.col("of")))
+    # Places of a document among the tokens of its source, which are repeated epoch by epoch up to the target.
+    epochs = documents.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    low = F.col("start") + F.col("epoch") * F.col("source_size")
+    spans = epochs.withColumn("low", low).withColumn("high", F.least(low + F.col("size"), F.col("whole")))
+    width = F.col("whole") / F.col("slots")
+    near = F.sequence(F.greatest(F.floor(F.col("low") / width) - 1, F.lit(0)), F.least(F.floor((F.col("high") - 1) / width) + 1, F.col("slots") - 1))
+    cut = spans.withColumn("block", F.explode_outer(F.when(F.col("low") < F.col("high"), near)))
+    edge = lambda rank: F.when(rank >= F.col("slots"), F.col("whole")).otherwise(F.ceil(rank * width))
+    tokens = F.greatest(F.least("high", edge(F.col("block") + 1)) - F.greatest("low", edge(F.col("block"))), F.lit(0))
+    pieces = cut.withColumn("tokens", tokens).where("tokens > 0 OR epoch = 0").join(
+        ranks, F.col("source").eqNullSafe(F.col("slot_of")) & (F.col("block") == F.col("slot_rank")), "left"
     )
-    return mixed.join(of_source, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "first_pass", "row"
+    given = F.when(F.col("slot_rank").isNotNull(), F.col("tokens")).otherwise(0)
+    mixed = pieces.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(
+        F.sum(given).cast("long").alias("taken"), F.sum(F.when(F.col("epoch") == 0, given).otherwise(0)).cast("long").alias("first_pass")
     )
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "first_pass", "row")
