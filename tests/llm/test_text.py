@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardlog.llm import histogram_packing as hp
 from wardlog.llm import importance_resample as ir
@@ -141,6 +142,15 @@ def test_mix_meets_targets_of_small_sources(docs_of, monkeypatch):
         assert sum(r.first_pass for r in own) == min(size, round(own[0].target))
 
 
+def test_mix_does_not_depend_on_layout(docs_of):
+    rows = [(i if i % 9 else None, " ".join([f"w{i}"] * (i % 7)), "en", "abc"[i % 3]) for i in range(600)]
+    rows += [(5, f"other text {i}", "en", "a") for i in range(5)] + [(7, "the same row", "en", "b")] * 3
+    docs = docs_of(rows)
+    layouts = [docs, docs.repartition(5, "text"), docs.orderBy(F.desc("text"))]
+    one, *others = [Counter((r.doc_id, r.source, r.size, r.taken) for r in ss.mix(d).collect()) for d in layouts]
+    assert sum(one.values()) == len(rows) and all(one == x for x in others)
+
+
 def test_mix_of_odd_rows(docs_of, odd_rows):
     got = ss.mix(docs_of(odd_rows, clash=True)).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.taken <= 2 * r.size for r in got)

@@ -41,11 +41,12 @@ CELLS = 4_096
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source and size in words of every row, numbered by `row`."""
+    """doc_id, source, size in words and a hash of the text (`mark`) of every row, numbered by `row`."""
     return docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text_of(text)).alias("mark"),
         F.monotonically_increasing_id().alias("row"),
     )
 
@@ -99,18 +100,23 @@ def slots_per_rank(shares: DataFrame, slots: int) -> DataFrame:
     ).select("source", (F.col("shift") + F.col("inside") - 1).alias("rank"))
 
 
-def placed(sizes: DataFrame, total_rows: int, seed: int) -> DataFrame:
-    """Adds `start`: tokens of the source before the document, in an order shuffled by a hash of the row."""
+def placed(sizes: DataFrame, total_rows: int, seed: int, of_source: DataFrame) -> DataFrame:
+    """Adds `start`: tokens of the source before the document, in an order shuffled by a hash of id and text.
+
+    The columns of `of_source` are added by way of the totals per bucket, so that a large source is not moved to one task.
+    Where rows lie in the input breaks ties of identical rows only; rows without tokens move nothing and are spread by it.
+    """
     buckets = bucket_count(total_rows, ORDER_ROWS)
-    spread = sizes.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "row")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    spread = sizes.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "mark", F.when(F.col("size") == 0, F.col("row")))).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = spread.groupBy("source", "bucket").agg(F.sum("size").alias("n")).select(
         F.col("source").alias("of"), F.col("bucket").alias("in_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")
     )
+    shifts = shifts.join(of_source.withColumnRenamed("of", "facts_of"), F.col("of").eqNullSafe(F.col("facts_of"))).drop("facts_of")
     inside = Window.partitionBy("source", "bucket").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
     return spread.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         shifts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket"))
-    ).withColumn("start", F.col("shift") + F.col("inside")).drop("order", "bucket", "inside", "of", "in_bucket", "shift")
+    ).withColumn("start", F.col("shift") + F.col("inside")).drop("order", "mark", "bucket", "inside", "of", "in_bucket", "shift")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -128,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     of_source = shares.select(F.col("source").alias("of"), "source_size", "target", F.round("target").cast("long").alias("whole")).join(
         counts, F.col("of").eqNullSafe(F.col("counted")), "left"
     ).drop("counted")
-    documents = placed(sizes, seen.rows or 0, seed).join(of_source, F.col("source").eqNullSafe(F.col("of")))
+    documents = placed(sizes, seen.rows or 0, seed, of_source)
     # Places of a document among the tokens of its source, which are repeated epoch by epoch up to the target.
     epochs = documents.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     low = F.col("start") + F.col("epoch") * F.col("source_size")
