@@ -238,6 +238,17 @@ def test_licence_base_against_plain_search(docs_of, odd_rows):
     assert li.scan(docs_of([])).count() == 0
 
 
+def test_licence_text_opening_inside_a_passage(docs_of):
+    """A text that opens with the later part of a passage has the labels that the same words have behind others."""
+    texts = {"GNU Lesser General Public License": "lgpl", "CC BY-SA 4.0": "cc-by,cc-by-sa", "GNU General Public License version 3": "gpl,gpl-3.0"}
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    rows += [(10 + i, "one two three four five six seven " + t, "en", "s") for i, t in enumerate(texts)]
+    rows += [(20 + i, "this work is licensed under the terms", "en", "s") for i in range(30)]
+    got = {r.doc_id: (r.labels, r.score) for r in li.scan(docs_of(rows)).collect()}
+    for i, label in enumerate(texts.values()):
+        assert got[i][0] == label and got[i] == got[10 + i]
+
+
 SAMPLES = {
     "en": "the house of the people was in the town and they went with all that they had to be there this evening",
     "de": "das haus der leute war in der stadt und sie gingen mit allem was sie hatten um an diesem abend dort zu sein",

@@ -5,8 +5,8 @@ key phrases that must be present. Each word's inverse document frequency is coun
 holds, for each of a template's `RARE` words of highest frequency weight, the places in the template. A file is reduced
 to the places of index words; a place minus the word's place in a template is a possible start of the template, and
 words that agree on a start confirm each other: the start's share is the weight of the template's words found at their
-relative places. A passage counts from `SHARE` on, if all its key phrases stand where the start puts them; a base phrase
-counts only whole. No text is cut, and any number of places is followed.
+relative places. A passage counts from `SHARE` on, if all its key phrases stand where the start puts them; a start may lie
+before the text, whose missing words then count as not found. A base phrase counts only whole. No text is cut, and any number of places is followed.
 
 The template table is fixed and small, so it is part of the plan. A file without any index word costs one pass over its
 words. Everything about a file is computed in its own row: nothing is shuffled but the counts of template words.
@@ -125,7 +125,7 @@ def _measures(all_words: Column, template: list[str], keys: list[list[str]], wei
         return _share(all_words, start, template, weights)
 
     def holding(start: Column) -> Column:
-        return (start >= 0) & _keys_hold(all_words, start, template, keys) & (share(start) >= SHARE)
+        return _keys_hold(all_words, start, template, keys) & (share(start) >= SHARE)
 
     return share, holding
 
