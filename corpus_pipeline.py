@@ -2,56 +2,83 @@
 
 A stage function takes (spark, docs, sf_dir) and returns documents with the columns of its input; only the last one
 returns packed pieces instead. Decisions are written to the shared folder first, so that their size is known when they
-are joined to the texts. `doc_id` names a document: the rows of an id go or stay together, and rows that repeat an id with
-the same text become one row in exact deduplication. Rows without an id can't be named by a decision and stay.
+are joined to the texts. A decision names a row by id and text, so rows that share an id but hold different texts are
+decided one by one, and so are rows without an id. Rows that repeat id and text become one row in exact deduplication.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.llm import cuckoo_index, histogram_packing, language_fusion, source_schedule, tensored_minhash
-from wardlog.llm.common import prepare, table
+from wardlog.llm.common import SPACE, prepare, table, text_of
 from wardlog.session import stage
 
 #: The stages are iterative and tested against a brute-force run; SQL can't express them.
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _row_key() -> Column:
+    """A 64-bit hash of all that the operators read of a row; rows that agree in it have equal decisions."""
+    read = [F.col(c) for c in ("doc_id", "text", "lang", "source")]
+    return F.xxhash64(*[part for c in read for part in (c, c.isNull())])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """What the operators read, with the row key as id."""
+    return docs.select(_row_key().alias("doc_id"), "text", "lang", "source")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rows of `gone`."""
-    return docs.join(stage(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
+    """Documents whose row key is not among the ids of `gone`."""
+    own = _fresh(docs, "row_key")
+    keys = stage(gone.select(F.col("doc_id").alias(own)).distinct(), "gone")
+    return docs.withColumn(own, _row_key()).join(keys, own, "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in none of the languages, or whose language stays open."""
-    return _without(docs, language_fusion.identify(docs).where("NOT kept"))
+    return _without(docs, language_fusion.identify(_named(docs)).where("NOT kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of equal texts, once."""
     found = stage(cuckoo_index.dedup(docs), "copies")
-    left = _without(docs, found.where("NOT kept"))
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where("doc_id IS NULL").union(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    own = _fresh(docs, "digest")
+    gone = stage(found.where("NOT kept").select(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_digest")).distinct(), "gone")
+    digest = F.unhex(F.sha2(F.regexp_replace(text_of("text"), SPACE, " "), 256))
+    keyed = docs.withColumn(own, digest)
+    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["of_id"]) & (keyed[own] == gone["of_digest"]), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return (left if repeated.isEmpty() else left.dropDuplicates(["doc_id", own])).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates (five words, 0.8)."""
-    return _without(docs, tensored_minhash.near_duplicates(docs).where("NOT kept"))
+    found = tensored_minhash.near_duplicates(_named(docs)).select("doc_id", "component_id")
+    ids = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("id"))
+    members = stage(found.distinct().join(ids.distinct(), found["doc_id"] == ids["row_key"]).select("component_id", "id", "row_key"), "members")
+    # Rows without an id come last; the row key decides between texts of one id.
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("first"))
+    return _without(docs, members.join(first, "component_id").where("row_key <> first").select(F.col("row_key").alias("doc_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents as the mix takes them: a pass counts if it takes at least half of the words."""
-    mixed = source_schedule.mix(docs)
+    mixed = source_schedule.mix(_named(docs))
     passes = [(2 * F.col("first_pass") >= F.col("size")).cast("int"), (2 * (F.col("taken") - F.col("first_pass")) >= F.col("size")).cast("int")]
     copies = F.when(F.col("size") > 0, passes[0] + passes[1]).otherwise(1)
-    own = "copies"
-    while own in docs.columns:  # never a column of the documents
-        own += "_"
-    plan = stage(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias(own)), "mix")
-    joined = docs.join(plan, "doc_id", "left").withColumn(own, F.coalesce(own, F.lit(1)))
+    own, key = _fresh(docs, "copies"), _fresh(docs, "row_key")
+    plan = stage(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(copies).alias(own)), "mix")
+    joined = docs.withColumn(key, _row_key()).join(plan, key, "left").withColumn(own, F.coalesce(own, F.lit(1)))
     repeated = joined.where(F.col(own) > 0).withColumn(own, F.explode(F.sequence(F.lit(1), own)))
     return repeated.select(docs.columns)
 

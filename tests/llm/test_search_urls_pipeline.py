@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wardlog.llm import bit_slices as bs
 from wardlog.llm import queries as corpus
+from wardlog.llm import source_schedule
 from wardlog.llm import url_language as ul
 from wardlog.llm.common import prepare
 
@@ -156,6 +157,23 @@ def test_pipeline_stages_on_odd_rows(spark, docs_of, odd_rows, tmp_path):
         assert work(spark, empty, "").count() == 0
 
 
+def test_pipeline_decides_rows_by_id_and_text(spark, docs_of):
+    """Different texts under one id, and texts without an id, are kept or dropped one by one."""
+    text = "the house of the people was in the town and they went with all that they had to be there this evening "
+    own = [f"the {w} was in the town and they went with all that they had " * 3 for w in ("tree", "river", "road", "hill")]
+    docs = docs_of([(1, text, "en", "a"), (2, text, "en", "a"), (2, own[0], "en", "a"), (3, own[1], "en", "b"), (3, own[2], "en", "b"), (3, own[2] + " ", "en", "b"), (None, own[3], "en", "a"), (None, own[3], "en", "a"), (None, text, "en", "b")], clash=True)
+    got = Counter((r.doc_id, r.text.split()[1]) for r in corpus_pipeline.exact_dedup(spark, docs, "").collect())
+    assert got == Counter({(1, "house"): 1, (2, "tree"): 1, (3, "river"): 1, (3, "road"): 1, (None, "hill"): 1})
+    base = " ".join(f"word{i}" for i in range(90))
+    near = docs_of([(4, base, "en", "a"), (5, base + " end", "en", "a"), (5, own[0], "en", "a"), (None, base + " tail", "en", "a"), (None, own[1], "en", "b")], clash=True)
+    got = Counter((r.doc_id, r.text.split()[1]) for r in corpus_pipeline.near_dedup(spark, near, "").collect())
+    assert got == Counter({(4, "word1"): 1, (5, "tree"): 1, (None, "river"): 1})
+    mixed = docs_of([(7, "empty" if i else "", "en", "a") for i in range(2)] + [(8, f"w{i}", "en", "abc"[i % 3]) for i in range(300)], clash=True)
+    plain = source_schedule.mix(corpus_pipeline._named(mixed)).where("size > 0").groupBy("source").agg(F.sum("taken")).collect()
+    out = Counter(r.source for r in corpus_pipeline.mix_sources(spark, mixed, "").where("text <> ''").collect())
+    assert out == Counter({r.source: r[1] for r in plain})
+
+
 def test_registered_names():
     ten = sorted(int(name[2:].split("_")[0]) for name in corpus.QUERIES)
     assert ten == list(range(1, 11)) and set(corpus.ORACLES) <= set(corpus.QUERIES)
