@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlog.llm.common import LOWER, UPPER, Batches, as_batch, text_of
+from wardlog.llm.common import LOWER, UPPER, Batches, as_batch, text_of, tidy
 from wardlog.session import stage
 
 LONGEST, LEAST, TOP, COVERED = 3, 10, 2000, 50
 #: Bytes of a chunk, and of all chunks that a task keeps open.
 CHUNK, OPEN = 1 << 22, 1 << 24
+#: Bytes hashed and compared at a time.
+STRIPE = 1 << 18
 FILTER_BITS = 25
 
 #: Piece breaks, blanks and letters of the contract as one table: fixed values.
@@ -96,18 +98,36 @@ class Words:
         self.starts, self.ends = _edges(self.data)
         self.piece = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
         self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
-        prefix, inverse = polynomials(self.data.astype(np.uint64) + np.uint64(1), 0)
-        self.raw = _mixed((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts]) & self.mask
+        self.raw = np.zeros(len(self.starts), np.uint64)
+        for first, last in self._stripes():
+            low = self.starts[first]
+            prefix, inverse = polynomials(self.data[low : self.ends[last - 1]].astype(np.uint64) + np.uint64(1), 0)
+            starts, ends = self.starts[first:last] - low, self.ends[first:last] - low
+            self.raw[first:last] = _mixed((prefix[ends] - prefix[starts]) * inverse[starts]) & self.mask
         self.numbers = self._numbers()
 
+    def _stripes(self) -> list[tuple[int, int]]:
+        """Runs of words that take about `STRIPE` bytes; a longer word has its own."""
+        edges = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.data), STRIPE)), len(self.starts)))
+        return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+    def _equal(self, kept: np.ndarray) -> bool:
+        """Whether every word has the bytes of its representative."""
+        lengths = self.ends - self.starts
+        if not np.array_equal(lengths, lengths[kept]):
+            return False
+        for first, last in self._stripes():
+            size = lengths[first:last]
+            own = np.arange(size.sum()) + np.repeat(self.starts[first:last] - (np.cumsum(size) - size), size)
+            other = own + np.repeat(self.starts[kept[first:last]] - self.starts[first:last], size)
+            if not np.array_equal(self.data[own], self.data[other]):
+                return False
+        return True
+
     def _numbers(self) -> np.ndarray:
         _, first, numbers = np.unique(self.raw, return_index=True, return_inverse=True)
-        lengths, kept = self.ends - self.starts, first[numbers]
-        if np.array_equal(lengths, lengths[kept]):
-            own = np.arange(lengths.sum()) + np.repeat(self.starts - (np.cumsum(lengths) - lengths), lengths)
-            other = own + np.repeat(self.starts[kept] - self.starts, lengths)
-            if np.array_equal(self.data[own], self.data[other]):
-                return numbers
+        if self._equal(first[numbers]):
+            return numbers
         known: dict[bytes, int] = {}  # two words share a fingerprint
         whole = self.data.tobytes()
         return np.array([known.setdefault(whole[a:b], len(known)) for a, b in zip(self.starts, self.ends, strict=True)], np.int64)
@@ -171,6 +191,7 @@ def parts_of(words: bytes, longest: int, size: int) -> list[tuple[int, bytes]]:
     return [(s, p) for s, p in parts if p]
 
 
+@tidy()
 def _laid_out(batches: Batches, longest: int, size: int) -> Batches:
     """Chunks of (lang, text) rows."""
     buffers: dict[str, list[bytes]] = {}
@@ -208,6 +229,7 @@ def _has(table: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+@tidy()
 def _counted(batches: Batches, size: int, table, bits: int) -> Batches:
     """Entries of all phrases of one size whose shorter phrases are in the table."""
     for batch in batches:
@@ -224,6 +246,7 @@ def _counted(batches: Batches, size: int, table, bits: int) -> Batches:
                 yield as_batch(_ENTRIES, fp=fp.view(np.int64), n=n, pointer=(chunk << 32) + first)
 
 
+@tidy()
 def _texts(batches: Batches) -> Batches:
     """Words at the pointers of a chunk, with their counts."""
     for batch in batches:
