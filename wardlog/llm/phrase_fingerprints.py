@@ -1,9 +1,9 @@
 """Collocations by Rabin-Karp fingerprints: phrases are hashed, counted and pointed at; only frequent ones become text.
 
-Texts are laid out once as chunks of one language, A-Z lower-cased, with a line feed between pieces. In a chunk, prefix
-polynomials over the bytes give the fingerprint of every word, and prefix polynomials over these the fingerprint of every
-phrase, for all places at once. Equal fingerprints of a chunk are compared word by word with the text they stand for; what
-differs gets an entry of its own. An entry is (fingerprint, count, pointer to one occurrence): only these are shuffled.
+Texts are laid out once as chunks of one language, A-Z lower-cased, with a line feed between pieces. Some chunks at a time
+form a unit. Prefix polynomials over its bytes give the fingerprint of every word, and prefix polynomials over these the
+fingerprint of every phrase, for all places at once. Equal fingerprints of a unit are compared word by word with the text
+they stand for; what differs gets an entry of its own. An entry is (fingerprint, count, pointer to one occurrence): only these are shuffled.
 
 Sizes are counted one after the other. A phrase can be frequent only if both phrases that lack its first or last word are,
 so each size looks these up in a bit table of the frequent fingerprints of the size before. The table has 2^`FILTER_BITS`
@@ -20,6 +20,7 @@ and counts no phrase that ends in them. One word is never cut. An empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,8 +33,10 @@ from wardlog.llm.common import LOWER, UPPER, Batches, as_batch, text_of, tidy
 from wardlog.session import stage
 
 LONGEST, LEAST, TOP, COVERED = 3, 10, 2000, 50
-#: Bytes of a chunk, and of all chunks that a task keeps open.
-CHUNK, OPEN = 1 << 22, 1 << 24
+#: Bytes of a chunk (small rows spare the JVM's heap), of the chunks counted together, and of all that a task keeps open.
+CHUNK, UNIT, OPEN = 1 << 15, 1 << 22, 1 << 24
+#: Bits of a pointer for the word's place in its chunk, and for the chunk's number in its partition.
+PLACE_BITS, ROW_BITS = 20, 20
 #: Bytes hashed and compared at a time.
 STRIPE = 1 << 18
 FILTER_BITS = 25
@@ -91,11 +94,15 @@ def _edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a chunk: places, pieces, fingerprints, and numbers that are equal exactly for equal words."""
+    """The words of a unit of chunks: places, pieces, fingerprints, and numbers that are equal exactly for equal words."""
 
-    def __init__(self, words: bytes, bits: int = 64):
-        self.data = np.frombuffer(words, np.uint8)
+    def __init__(self, parts: list[bytes], skips: list[int], bits: int = 64):
+        self.data = np.frombuffer(b"\n".join(parts), np.uint8)
         self.starts, self.ends = _edges(self.data)
+        begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+        self.part = np.searchsorted(begins, self.starts, "right") - 1
+        self.local = np.arange(len(self.starts)) - np.searchsorted(self.starts, begins)[self.part]
+        self.counts = self.local >= np.array(skips)[self.part]
         self.piece = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
         self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
         self.raw = np.zeros(len(self.starts), np.uint64)
@@ -139,10 +146,11 @@ class Words:
         plain = (prefix[size : size + n] - prefix[:n]) * inverse[:n]
         return _mixed(plain + np.uint64(language)) & self.mask
 
-    def within(self, size: int, skip: int) -> np.ndarray:
+    def within(self, size: int) -> np.ndarray:
         """Whether the phrase from each word on stays in one piece and ends behind the repeated words."""
         n = max(0, len(self.raw) - size + 1)
-        return (self.piece[:n] == self.piece[size - 1 : size - 1 + n]) & (np.arange(n) + size > skip)
+        last = slice(size - 1, size - 1 + n)
+        return (self.piece[:n] == self.piece[last]) & self.counts[last]
 
     def entries(self, size: int, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint, count and first place of each distinct phrase at the places; checked against the words."""
@@ -154,8 +162,11 @@ class Words:
         _, first, counts = np.unique(rows, axis=0, return_index=True, return_counts=True)
         return found[first], counts, places[first]
 
-    def phrase(self, place: int, size: int) -> str:
-        return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(place, place + size)).decode()
+
+def phrases_at(words: bytes, places: list[int], sizes: list[int]) -> list[str]:
+    """The words of a chunk from each of the places on."""
+    starts, ends = (x.tolist() for x in _edges(np.frombuffer(words, np.uint8)))
+    return [b" ".join(words[starts[i] : ends[i]] for i in range(p, p + n)).decode() for p, n in zip(places, sizes, strict=True)]
 
 
 def parts_of(words: bytes, longest: int, size: int) -> list[tuple[int, bytes]]:
@@ -200,17 +211,20 @@ def _laid_out(batches: Batches, longest: int, size: int) -> Batches:
     def flushed(lang: str) -> Batches:
         whole = b"\n".join(buffers.pop(lang))
         del sizes[lang]
+        rows = []
         for skip, part in parts_of(whole, longest, size):
-            n = max(0, len(_edges(np.frombuffer(part, np.uint8))[0]) - skip)
-            if n:
-                yield as_batch(_CHUNKS, lang=[lang], skip=[skip], n=[n], words=[part])
+            n = len(_edges(np.frombuffer(part, np.uint8))[0]) - skip
+            if n > 0:
+                rows.append((lang, skip, n, part))
+        if rows:
+            yield as_batch(_CHUNKS, **dict(zip(_CHUNKS.names, zip(*rows, strict=True), strict=True)))
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             lang, words = lang.as_py(), text.as_buffer().to_pybytes().translate(_TABLE) if text.as_buffer() else b""
             buffers.setdefault(lang, []).append(words)
             sizes[lang] = sizes.get(lang, 0) + len(words) + 1
-            if sizes[lang] >= size:
+            if sizes[lang] >= UNIT:
                 yield from flushed(lang)
             elif sum(sizes.values()) >= OPEN:
                 yield from flushed(max(sizes, key=sizes.__getitem__))
@@ -229,21 +243,36 @@ def _has(table: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _units(batches: Batches) -> Iterator[tuple[str, list[tuple[int, int, bytes]]]]:
+    """Language and (chunk, skip, words) of neighbouring chunks of one language, about `UNIT` bytes together."""
+    lang, unit, size = "", [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("lang", "chunk", "skip", "words")), strict=True):
+            now, *chunk = (x.as_py() for x in row)
+            if unit and (now != lang or size >= UNIT):
+                yield lang, unit
+                unit, size = [], 0
+            lang, size = now, size + len(chunk[-1])
+            unit.append(tuple(chunk))
+    if unit:
+        yield lang, unit
+
+
 @tidy()
 def _counted(batches: Batches, size: int, table, bits: int) -> Batches:
     """Entries of all phrases of one size whose shorter phrases are in the table."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            chunk, lang, skip = (batch.column(c)[at].as_py() for c in ("chunk", "lang", "skip"))
-            words, language = Words(batch.column("words")[at].as_py(), bits), _language(lang)
-            found, may = words.fingerprints(size, language), words.within(size, skip)
-            if table is not None and len(found):
-                known = _has(table.value, words.fingerprints(size - 1, language))
-                may &= known[: len(found)] & known[1 : len(found) + 1]
-            places = np.flatnonzero(may)
-            if len(places):
-                fp, n, first = words.entries(size, places, found[places])
-                yield as_batch(_ENTRIES, fp=fp.view(np.int64), n=n, pointer=(chunk << 32) + first)
+    for lang, unit in _units(batches):
+        numbers, skips, parts = zip(*unit, strict=True)
+        words, language = Words(list(parts), list(skips), bits), _language(lang)
+        found, may = words.fingerprints(size, language), words.within(size)
+        if table is not None and len(found):
+            known = _has(table.value, words.fingerprints(size - 1, language))
+            may &= known[: len(found)] & known[1 : len(found) + 1]
+        places = np.flatnonzero(may)
+        if len(places):
+            fp, n, first = words.entries(size, places, found[places])
+            pointer = (np.array(numbers)[words.part[first]] << PLACE_BITS) + words.local[first]
+            yield as_batch(_ENTRIES, fp=fp.view(np.int64), n=n, pointer=pointer)
 
 
 @tidy()
@@ -252,9 +281,8 @@ def _texts(batches: Batches) -> Batches:
     for batch in batches:
         for at in range(batch.num_rows):
             lang, found = batch.column("lang")[at].as_py(), batch.column("found")[at].values
-            words = Words(batch.column("words")[at].as_py())
-            places, sizes = found.field("place").to_numpy(), found.field("size").to_numpy()
-            phrases = [words.phrase(p, s) for p, s in zip(places.tolist(), sizes.tolist(), strict=True)]
+            sizes = found.field("size").to_pylist()
+            phrases = phrases_at(batch.column("words")[at].as_py(), found.field("place").to_pylist(), sizes)
             yield as_batch(_PHRASES, lang=[lang] * len(phrases), size=sizes, phrase=phrases, n=found.field("n"))
 
 
@@ -272,9 +300,10 @@ def layout(docs: DataFrame, longest: int = LONGEST, size: int = CHUNK, text: str
     """Staged chunks: chunk (number), lang, skip (repeated words), n (words that count), words."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     chunks = rows.mapInArrow(lambda batches: _laid_out(batches, longest, size), _CHUNKS_DDL)
-    # Partition and row number of the writing task in 31 bits, which leaves 32 for the place in the chunk.
-    number = F.monotonically_increasing_id()
-    packed = F.shiftleft(F.shiftright(number, 33), 12) + number.bitwiseAND(F.lit((1 << 33) - 1))
+    if size >= 2 << PLACE_BITS:
+        raise ValueError("a chunk may hold more words than a pointer can name")
+    number = F.monotonically_increasing_id()  # the partition above bit 33, the row below
+    packed = F.shiftleft(F.shiftright(number, 33), ROW_BITS) + number.bitwiseAND(F.lit((1 << 33) - 1))
     return stage(chunks.withColumn("chunk", packed), "chunks")
 
 
@@ -292,8 +321,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         kept.append(frequent.select("pointer", "n", F.lit(size).alias("size")))
         if size < longest:
             table = session.sparkContext.broadcast(_bit_table(frequent))
-    one = F.struct(F.col("pointer").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "size", "n")
-    pointers = reduce(DataFrame.union, kept).groupBy(F.shiftright("pointer", 32).alias("chunk")).agg(F.collect_list(one).alias("found"))
+    one = F.struct(F.col("pointer").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), "size", "n")
+    pointers = reduce(DataFrame.union, kept).groupBy(F.shiftright("pointer", PLACE_BITS).alias("chunk")).agg(F.collect_list(one).alias("found"))
     there = chunks.select("chunk", "lang", "words").join(pointers, "chunk").select("lang", "words", "found")
     phrases = there.mapInArrow(_texts, _PHRASES_DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return stage(phrases, "phrases"), chunks.groupBy("lang").agg(F.sum("n").alias("n"))
