@@ -131,6 +131,14 @@ def test_collocations_of_odd_rows(docs_of, odd_rows):
     assert pf.collocations(docs_of([])).count() == 0
 
 
+def test_runs_are_a_round_trip():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 1000):
+        fields = {"fp": np.sort(rng.integers(0, 2**64, n, np.uint64)), "pointer": rng.integers(0, 2**62, n), "n": rng.integers(1, 2**31, n), "check": rng.integers(0, 2**32, n)}
+        back = pf.unpacked(pf.packed(fields))
+        assert all((back[name] == fields[name].astype(kind)).all() for name, kind in pf._FIELDS)
+
+
 def test_parts_keep_every_phrase_once():
     rng = random.Random(3)
     for _ in range(300):

@@ -3,15 +3,16 @@
 Texts are laid out once as chunks of one language, A-Z lower-cased, with a line feed between pieces. Some chunks at a time
 form a unit. Prefix polynomials over its bytes give the fingerprint of every word, and prefix polynomials over these the
 fingerprint of every phrase, for all places at once. Equal fingerprints of a unit are compared word by word with the text
-they stand for; what differs gets an entry of its own. An entry is (fingerprint, count, pointer to one occurrence): only these are shuffled.
+they stand for; what differs gets an entry of its own. An entry is (fingerprint, check, count, pointer to one occurrence).
 
 Sizes are counted one after the other. A phrase can be frequent only if both phrases that lack its first or last word are,
 so each size looks these up in a bit table of the frequent fingerprints of the size before. The table has 2^`FILTER_BITS`
-bits whatever the corpus; a wrong bit lets more through and changes no result.
+bits whatever the corpus; a wrong bit lets more through and changes no result. Entries are shuffled as compressed runs of
+neighbouring fingerprints, and each range of fingerprints is summed by itself.
 
-A fingerprint whose counts reach the threshold keeps its entries. Their pointers are grouped by chunk, meet the chunk's
-bytes again and are replaced by the words that stand there, and counts are summed by these words: phrases that share a
-fingerprint across chunks part there, so that all counts are those of texts, whatever the hash. Scores are exact decimals.
+Across units, phrases are one if the 64-bit fingerprint and a check agree, which is another polynomial, modulo a prime, over
+the bytes of the words: 95 bits, so that colliding fingerprints part here. Only sums that reach the threshold keep a pointer;
+it meets the chunk's bytes again and becomes text. Scores are exact decimals.
 
 Edge cases: null text is the empty text, a null language is `und`. Texts of separators alone hold no words. Repeated rows
 count each. A piece longer than a chunk is cut between words; the next chunk repeats the words that phrases reach back to
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlog.llm.common import LOWER, UPPER, Batches, as_batch, text_of, tidy
+from wardlog.llm.common import LOWER, UPPER, Batches, as_batch, bucket_count, text_of, tidy
 from wardlog.session import stage
 
 LONGEST, LEAST, TOP, COVERED = 3, 10, 2000, 50
@@ -40,6 +41,8 @@ PLACE_BITS, ROW_BITS = 20, 20
 #: Bytes hashed and compared at a time.
 STRIPE = 1 << 18
 FILTER_BITS = 25
+#: Ranges of fingerprints are at most 2^RANGE_BITS.
+RANGE_BITS = 31
 
 #: Piece breaks, blanks and letters of the contract as one table: fixed values.
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\x0d\t", LOWER.encode() + b"\n" * 9 + b" ")
@@ -47,8 +50,14 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 _CHUNKS = pa.schema([("lang", pa.string()), ("skip", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
 _CHUNKS_DDL = "lang string, skip int, n long, words binary"
-_ENTRIES = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("pointer", pa.int64())])
-_ENTRIES_DDL = "fp long, n long, pointer long"
+_RUNS = pa.schema([("part", pa.int32()), ("run", pa.binary())])
+_RUNS_DDL = "part int, run binary"
+_FOUND_DDL = "fp long, n long, pointer long"
+#: Words of the corpus for each range of fingerprints, which one task sums at a time.
+RANGE_WORDS = 1 << 21
+#: Fields of an entry in a run and the prime and base of the check.
+_FIELDS = (("fp", "<u8"), ("pointer", "<u8"), ("n", "<u4"), ("check", "<u4"))
+_PRIME, _CHECK_BASE = (1 << 31) - 1, 1_103_515_245
 _PHRASES = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 _PHRASES_DDL = "lang string, size int, phrase string, n long"
 
@@ -76,6 +85,19 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[which][0][:n], _POWERS[which][1][:n]
 
 
+def _check_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the check's base and of its inverse modulo the prime, by doubling."""
+    if 2 not in _POWERS or len(_POWERS[2][0]) < n:
+        both = []
+        for base in (_CHECK_BASE, pow(_CHECK_BASE, -1, _PRIME)):
+            row = np.ones(1, np.uint64)
+            while len(row) < n:
+                row = np.concatenate([row, row * np.uint64(pow(base, len(row), _PRIME)) % np.uint64(_PRIME)])
+            both.append(row)
+        _POWERS[2] = (both[0], both[1])
+    return _POWERS[2][0][:n], _POWERS[2][1][:n]
+
+
 def polynomials(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix polynomials of a sequence, and the factors that move a difference of two to the place zero."""
     powers, inverse = _powers(which, len(values) + 1)
@@ -105,12 +127,15 @@ class Words:
         self.counts = self.local >= np.array(skips)[self.part]
         self.piece = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
         self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
-        self.raw = np.zeros(len(self.starts), np.uint64)
+        self.raw, self.checks, prime = np.zeros(len(self.starts), np.uint64), np.zeros(len(self.starts), np.uint64), np.uint64(_PRIME)
         for first, last in self._stripes():
             low = self.starts[first]
             prefix, inverse = polynomials(self.data[low : self.ends[last - 1]].astype(np.uint64) + np.uint64(1), 0)
             starts, ends = self.starts[first:last] - low, self.ends[first:last] - low
             self.raw[first:last] = _mixed((prefix[ends] - prefix[starts]) * inverse[starts]) & self.mask
+            powers, inverse = _check_powers(len(prefix))
+            np.cumsum((self.data[low : self.ends[last - 1]] + np.uint64(1)) * powers[:-1], out=prefix[1:])
+            self.checks[first:last] = (prefix[ends] - prefix[starts]) % prime * inverse[starts] % prime
         self.numbers = self._numbers()
 
     def _stripes(self) -> list[tuple[int, int]]:
@@ -163,6 +188,41 @@ class Words:
         return found[first], counts, places[first]
 
 
+def packed(fields: dict[str, np.ndarray]) -> bytes:
+    """Entries in the order of their fingerprints as one compressed run: differences, byte plane by byte plane."""
+    columns = {**fields, "fp": np.diff(fields["fp"], prepend=np.uint64(0))}
+    planes = [columns[name].astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes() for name, kind in _FIELDS]
+    size = len(fields["fp"])
+    return size.to_bytes(4, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(run: bytes) -> dict[str, np.ndarray]:
+    size = int.from_bytes(run[:4], "little")
+    width = sum(int(kind[2:]) for _, kind in _FIELDS)
+    planes = np.frombuffer(pa.decompress(run[4:], decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    found, at = {}, 0
+    for name, kind in _FIELDS:
+        bytes_ = int(kind[2:])
+        found[name] = np.ascontiguousarray(planes[at : at + size * bytes_].reshape(bytes_, size).T).view(kind).ravel()
+        at += size * bytes_
+    found["fp"] = np.cumsum(found["fp"], dtype=np.uint64)
+    return found
+
+
+def _summed(rows: pa.Table, least: int) -> pa.Table:
+    """Phrases of one range of fingerprints that reach the threshold."""
+    runs = [unpacked(r.as_py()) for r in rows["run"]]
+    every = {name: np.concatenate([r[name] for r in runs]) for name, _ in _FIELDS}
+    del runs
+    order = np.lexsort((every["check"], every["fp"]))
+    fp, check = every["fp"][order], every["check"][order]
+    starts = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
+    n = np.add.reduceat(every["n"][order].astype(np.int64), starts)
+    pointer = np.minimum.reduceat(every["pointer"][order].view(np.int64), starts)
+    kept = n >= least
+    return pa.table({"fp": fp[starts][kept].view(np.int64), "n": n[kept], "pointer": pointer[kept]})
+
+
 def phrases_at(words: bytes, places: list[int], sizes: list[int]) -> list[str]:
     """The words of a chunk from each of the places on."""
     starts, ends = (x.tolist() for x in _edges(np.frombuffer(words, np.uint8)))
@@ -259,8 +319,8 @@ def _units(batches: Batches) -> Iterator[tuple[str, list[tuple[int, int, bytes]]
 
 
 @tidy()
-def _counted(batches: Batches, size: int, table, bits: int) -> Batches:
-    """Entries of all phrases of one size whose shorter phrases are in the table."""
+def _counted(batches: Batches, size: int, table, bits: int, ranges: int) -> Batches:
+    """Runs of entries of all phrases of one size whose shorter phrases are in the table."""
     for lang, unit in _units(batches):
         numbers, skips, parts = zip(*unit, strict=True)
         words, language = Words(list(parts), list(skips), bits), _language(lang)
@@ -269,10 +329,18 @@ def _counted(batches: Batches, size: int, table, bits: int) -> Batches:
             known = _has(table.value, words.fingerprints(size - 1, language))
             may &= known[: len(found)] & known[1 : len(found) + 1]
         places = np.flatnonzero(may)
-        if len(places):
-            fp, n, first = words.entries(size, places, found[places])
-            pointer = (np.array(numbers)[words.part[first]] << PLACE_BITS) + words.local[first]
-            yield as_batch(_ENTRIES, fp=fp.view(np.int64), n=n, pointer=pointer)
+        if not len(places):
+            continue
+        fp, n, first = words.entries(size, places, found[places])
+        check = np.full(len(first), language, np.uint64)
+        for k in range(size):
+            check = _mixed(check + words.checks[first + k])
+        pointer = (np.array(numbers)[words.part[first]] << PLACE_BITS) + words.local[first]
+        fields = {"fp": fp, "pointer": pointer, "n": n, "check": check >> np.uint64(32)}
+        part = (fp >> np.uint64(64 - RANGE_BITS)).astype(np.int64) * ranges >> RANGE_BITS
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        runs = [packed({name: x[a:b] for name, x in fields.items()}) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield as_batch(_RUNS, part=part[edges[:-1]], run=runs)
 
 
 @tidy()
@@ -311,13 +379,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """Phrases of 1 to `longest` words with at least `least` occurrences: (lang, size, phrase, f); and words of each lang: (lang, n)."""
     chunks = layout(docs, longest, chunk, text, lang)
     session = docs.sparkSession
+    totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    ranges = min(1 << RANGE_BITS, bucket_count(totals.agg(F.sum("n")).first()[0] or 0, RANGE_WORDS))
     table, kept = None, []
     for size in range(1, longest + 1):
-        entries = chunks.select("chunk", "lang", "skip", "words").mapInArrow(
-            lambda batches, size=size, table=table: _counted(batches, size, table, bits), _ENTRIES_DDL
+        runs = chunks.select("chunk", "lang", "skip", "words").mapInArrow(
+            lambda batches, size=size, table=table: _counted(batches, size, table, bits, ranges), _RUNS_DDL
         )
-        total = F.sum("n").over(Window.partitionBy("fp"))
-        frequent = stage(entries.withColumn("total", total).where(F.col("total") >= least).drop("total"), f"frequent{size}")
+        frequent = stage(runs.groupBy("part").applyInArrow(lambda rows: _summed(rows, least), _FOUND_DDL), f"frequent{size}")
         kept.append(frequent.select("pointer", "n", F.lit(size).alias("size")))
         if size < longest:
             table = session.sparkContext.broadcast(_bit_table(frequent))
@@ -325,7 +394,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     pointers = reduce(DataFrame.union, kept).groupBy(F.shiftright("pointer", PLACE_BITS).alias("chunk")).agg(F.collect_list(one).alias("found"))
     there = chunks.select("chunk", "lang", "words").join(pointers, "chunk").select("lang", "words", "found")
     phrases = there.mapInArrow(_texts, _PHRASES_DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return stage(phrases, "phrases"), chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    return stage(phrases, "phrases"), totals
 
 
 def _joined(words: Column, start: Column, length: Column) -> Column:
