@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         app = spark.sparkContext.applicationId
         base = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="wardlog-")
@@ -43,9 +46,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Lists of the folders staged within the open scopes, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders staged inside go at the end, but for those staged with `keep`, which belong to the scope around."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage, survives executors."""
     path = scratch_path(df.sparkSession, name)
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
