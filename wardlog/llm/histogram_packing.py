@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -34,9 +35,11 @@ from wardlog.session import stage
 MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Pretokens whose ids a task keeps, and the longest that is kept.
-CACHED_WORDS = 100_000
+#: Bytes of the pretokens whose ids a worker keeps, and the longest pretoken that is kept.
+CACHED_BYTES = 64 << 20
 CACHED_CHARS = 48
+#: What an entry takes besides its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 190
 #: Pieces in a bucket in which ranks are numbered by one sort.
 RANK_ROWS = 16_384
 
@@ -63,6 +66,7 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.filled = 0
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -72,11 +76,13 @@ class WordIds(dict):
         ids = self.older.get(token)
         if ids is None:
             letters = token if token.isascii() else self.bytes_as_letters(token)[0][0]
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            found = self.model.tokenize(letters)
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         if len(token) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS // 2:
-                self.older = dict(self)
+            if self.filled >= CACHED_BYTES // 2:
+                self.older, self.filled = dict(self), 0
                 self.clear()
+            self.filled += ENTRY_BYTES + len(token) + len(ids)
             self[token] = ids
         return ids
 
