@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.session import stage
+from wardlog.session import scratch, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,14 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label, so long chains shorten by
     halves. Rounds are written to the shared folder, which cuts the lineage; only the number of changes reaches the driver.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    while True:
-        of_neighbour = labels.select(F.col("node").alias("b"), "label")
-        nearest = both.join(of_neighbour, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("nearest"))
-        moved = labels.join(nearest, "node").select("node", F.col("label").alias("old"), F.least("label", "nearest").alias("label"))
-        target = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stage(moved.join(target, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.where("label <> old").count():
-            return labels
+    with scratch(edges.sparkSession):
+        both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+        while True:
+            of_neighbour = labels.select(F.col("node").alias("b"), "label")
+            nearest = both.join(of_neighbour, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("nearest"))
+            moved = labels.join(nearest, "node").select("node", F.col("label").alias("old"), F.least("label", "nearest").alias("label"))
+            target = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            after = stage(moved.join(target, "label").select("node", "old", F.least("label", "next").alias("label")), "labels", keep=True)
+            labels = after.select("node", "label")
+            if not after.where("label <> old").count():
+                return labels

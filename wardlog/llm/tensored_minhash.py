@@ -6,9 +6,10 @@ pair of texts with similarity s shares a table with probability (1 - (1 - s^HALF
 0.8. Half keys that one text has alone can't meet anyone and are dropped before pairs are formed, so a text without
 relatives costs 2 * SIDE rows, not SIDE * SIDE.
 
-Texts with equal shingle sets are one class from the start. Within a bucket, classes are linked to the smallest one and
-these links are verified on the full sets; this joins a large group of copies without its pairs. A bucket that still
-holds several components is settled exactly: a class whose shingles are to more than a part of 1 - threshold its own can have no
+Texts with equal shingle sets are one class from the start. Links are verified on the full sets in rounds: in each, a class is
+linked to one class alone, the smallest of all that lead one of its buckets and are not yet in its component, so a round has
+fewer links than classes, however many buckets two classes share. Buckets within one component need no further links; this joins
+a large group of copies without its pairs. A bucket that still holds several components after `ROUNDS` is settled exactly: a class whose shingles are to more than a part of 1 - threshold its own can have no
 partner and goes; what stays is collected to clusters, cut into blocks, and each pair of blocks counts intersections as
 a matrix product and returns only links that join components. No bucket is capped and no link between different texts
 is lost by this; the only loss is the probability above.
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from wardlog.llm.common import Batches, ascii_lower, text_of, tidy, words_of
 from wardlog.llm.components import components
-from wardlog.session import stage
+from wardlog.session import scratch, stage
 
 WIDTH, THRESHOLD = 5, 80
 HALF, SIDE = 3, 12
 #: Members of a block in the exact comparison; two blocks meet in one task.
 BLOCK = 256
+#: Rounds of links before what is left is compared exactly.
+ROUNDS = 2
 #: Word hashes kept by a task, shingles hashed at a time, and shingles compared at a time.
 CACHED_WORDS, STRIPE, COLUMNS = 100_000, 1 << 15, 4_096
 
@@ -203,22 +206,34 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return single.where("k = 1").groupBy("cls").agg(F.count("*").alias("own"))
 
 
-def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between classes of one bucket that are not yet in one component."""
-    label = F.coalesce("label", "cls")
-    tagged = stage(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("slot", "key", "cls", label.alias("label")), "tagged")
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (slot, key, cls, label) of the buckets that hold more than one label."""
+    mixed = rows.groupBy("slot", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(mixed.select("slot", "key"), ["slot", "key"])
 
-    def open_buckets(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one label."""
-        mixed = rows.groupBy("slot", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        return rows.join(mixed.select("slot", "key"), ["slot", "key"])
 
-    rows = stage(open_buckets(tagged), "open")
+def _round_links(rows: DataFrame) -> DataFrame:
+    """(a, b): each class b of an open bucket with the smallest class that leads one of its buckets and has another label."""
+    lead = rows.groupBy("slot", "key").agg(F.min(F.struct("cls", "label")).alias("lead"))
+    return rows.join(lead, ["slot", "key"]).where("label <> lead.label").groupBy(F.col("cls").alias("b")).agg(F.min("lead.cls").alias("a")).select("a", "b")
+
+
+def _verified(links: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links whose full sets are similar enough; sizes are compared before sets are moved."""
+    one, two = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    inter = F.size(F.array_intersect("s_a", "s_b"))
+    close = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    sized = links.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(close).select("a", "b")
+    return sized.join(one, "a").join(two, "b").where(_similar(inter, F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+
+
+def _rest(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between classes of one open bucket that are not yet in one component."""
     for _ in range(2):  # a class that went may leave shingles of another without a partner
         asked = stage(rows.select("cls", "label").distinct().join(sets, "cls"), "asked")
         own = _own_shingles(asked)
         may = asked.join(own, "cls", "left").where(100 * F.coalesce("own", F.lit(0)) <= (100 - threshold) * F.col("n"))
-        rows = stage(open_buckets(rows.join(may.select("cls"), "cls", "left_semi")), "open")
+        rows = stage(_open_buckets(rows.join(may.select("cls"), "cls", "left_semi")), "open")
     lowest = rows.groupBy("slot", "key").agg(F.min("cls").alias("a"))
     ties = rows.join(lowest, ["slot", "key"]).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     clusters = components(ties)
@@ -233,37 +248,46 @@ def _rest(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int
     return blocks.applyInArrow(lambda key, rows: _compare(key, rows, threshold), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept; `threshold` in percent."""
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), ascii_lower(text_of(text)).alias("text"))
-    signed = stage(texts.mapInArrow(lambda b: _sign(b, width), _SIGNED_DDL), "signed")
+def _components_of_classes(texts: DataFrame, signed: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(cls, component_id) of all classes; component_id is the smallest id of the component."""
     classes = stage(
         signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
         "classes",
     )
-    pairs = stage(bucket_members(classes), "buckets")
-    buckets = pairs.groupBy("slot", "key").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = stage(pairs.join(buckets, ["slot", "key"]).select("slot", "key", "cls", "lead"), "members")
-    links = members.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    met = stage(members.select("cls").distinct().join(classes, "cls").select("cls", "first"), "met")
-    wanted = met.select(F.col("first").alias("doc_id")).distinct()
-    again = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = again.select("text").mapInArrow(lambda b: _sets(b, width), _SETS_DDL)
-    sets = stage(sets.join(met, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
-    one, two = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    inter = F.size(F.array_intersect("s_a", "s_b"))
-    close = (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    sized = links.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(close).select("a", "b")
-    verified = stage(
-        sized.join(one, "a").join(two, "b").where(_similar(inter, F.col("n_a"), F.col("n_b"), threshold)).select("a", "b"), "verified"
-    )
-    labels = components(verified)
-    rest = stage(_rest(members.select("slot", "key", "cls"), sets, labels, threshold), "rest")
+    with scratch(texts.sparkSession):
+        pairs = stage(bucket_members(classes), "buckets")
+        buckets = pairs.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
+        members = stage(pairs.join(buckets, ["slot", "key"]).select("slot", "key", "cls", F.col("cls").alias("label")), "members", keep=True)
+    with scratch(texts.sparkSession):
+        met = stage(members.select("cls").distinct().join(classes, "cls").select("cls", "first"), "met")
+        wanted = met.select(F.col("first").alias("doc_id")).distinct()
+        again = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+        sets = again.select("text").mapInArrow(lambda b: _sets(b, width), _SETS_DDL)
+        sets = stage(
+            sets.join(met, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets", keep=True
+        )
+    links, left = None, members
+    for _ in range(ROUNDS):
+        found = stage(_verified(_round_links(left), sets, threshold), "verified")
+        links = found if links is None else links.union(found)
+        labels = components(links).withColumnRenamed("node", "cls")
+        left = left.drop("label").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        left = stage(_open_buckets(left.select("slot", "key", "cls", "label")), "open")
+    rest = stage(_rest(left, sets, threshold), "rest")
     if not rest.isEmpty():
-        labels = components(verified.union(rest))
-    named = stage(classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label")), "named")
+        labels = components(links.union(rest)).withColumnRenamed("node", "cls")
+    named = classes.select("cls", "first").join(labels, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
+    named = stage(named, "named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = named.join(lowest, "label").select("cls", "component_id")
+    return named.join(lowest, "label").select("cls", "component_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept; `threshold` in percent."""
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), ascii_lower(text_of(text)).alias("text"))
+    signed = stage(texts.mapInArrow(lambda b: _sign(b, width), _SIGNED_DDL), "signed")
+    with scratch(docs.sparkSession):
+        of_class = stage(_components_of_classes(texts, signed, threshold, width), "components", keep=True)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return signed.join(of_class, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")
