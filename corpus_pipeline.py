@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlog.llm import cuckoo_index, histogram_packing, language_fusion, source_schedule, tensored_minhash
 from wardlog.llm.common import SPACE, prepare, table, text_of
-from wardlog.session import stage
+from wardlog.session import remove, scratch, scratch_path, stage
 
 #: The stages are iterative and tested against a brute-force run; SQL can't express them.
 ORACLE_SQL = None
@@ -37,48 +37,65 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(_row_key().alias("doc_id"), "text", "lang", "source")
 
 
+#: Decisions of so many rows at most (about 40 MB in a task's hash table) are broadcast, so that texts stay where they are.
+BROADCAST_ROWS = 1 << 19
+
+
+def _small(decisions: DataFrame) -> DataFrame:
+    """Staged decisions, broadcast if their counted size allows; otherwise texts and decisions are shuffled."""
+    return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose row key is not among the ids of `gone`."""
-    own = _fresh(docs, "row_key")
-    keys = stage(gone.select(F.col("doc_id").alias(own)).distinct(), "gone")
-    return docs.withColumn(own, _row_key()).join(keys, own, "left_anti").select(docs.columns)
+    """Documents whose row key is not among the staged keys."""
+    own = gone.columns[0]
+    return docs.withColumn(own, _row_key()).join(_small(gone), own, "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in none of the languages, or whose language stays open."""
-    return _without(docs, language_fusion.identify(_named(docs)).where("NOT kept"))
+    with scratch(spark):
+        found = language_fusion.identify(_named(docs)).where("NOT kept")
+        gone = stage(found.select(F.col("doc_id").alias(_fresh(docs, "row_key"))).distinct(), "gone", keep=True)
+    return _without(docs, gone)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of equal texts, once."""
-    found = stage(cuckoo_index.dedup(docs), "copies")
     own = _fresh(docs, "digest")
-    gone = stage(found.where("NOT kept").select(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_digest")).distinct(), "gone")
+    with scratch(spark):
+        found = stage(cuckoo_index.dedup(docs), "copies")
+        dropped = found.where("NOT kept").select(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_digest"))
+        gone = stage(dropped.distinct(), "gone", keep=True)
+        repeated = not found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
     digest = F.unhex(F.sha2(F.regexp_replace(text_of("text"), SPACE, " "), 256))
     keyed = docs.withColumn(own, digest)
-    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["of_id"]) & (keyed[own] == gone["of_digest"]), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    return (left if repeated.isEmpty() else left.dropDuplicates(["doc_id", own])).select(docs.columns)
+    left = keyed.join(_small(gone), keyed["doc_id"].eqNullSafe(gone["of_id"]) & (keyed[own] == gone["of_digest"]), "left_anti")
+    return (left.dropDuplicates(["doc_id", own]) if repeated else left).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates (five words, 0.8)."""
-    found = tensored_minhash.near_duplicates(_named(docs)).select("doc_id", "component_id")
-    ids = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("id"))
-    members = stage(found.distinct().join(ids.distinct(), found["doc_id"] == ids["row_key"]).select("component_id", "id", "row_key"), "members")
-    # Rows without an id come last; the row key decides between texts of one id.
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("first"))
-    return _without(docs, members.join(first, "component_id").where("row_key <> first").select(F.col("row_key").alias("doc_id")))
+    with scratch(spark):
+        found = tensored_minhash.near_duplicates(_named(docs)).select("doc_id", "component_id")
+        ids = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("id"))
+        members = stage(found.distinct().join(ids.distinct(), found["doc_id"] == ids["row_key"]).select("component_id", "id", "row_key"), "members")
+        # Rows without an id come last; the row key decides between texts of one id.
+        first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("first"))
+        others = members.join(first, "component_id").where("row_key <> first").select(F.col("row_key").alias(_fresh(docs, "row_key")))
+        gone = stage(others.distinct(), "gone", keep=True)
+    return _without(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents as the mix takes them: a pass counts if it takes at least half of the words."""
-    mixed = source_schedule.mix(_named(docs))
-    passes = [(2 * F.col("first_pass") >= F.col("size")).cast("int"), (2 * (F.col("taken") - F.col("first_pass")) >= F.col("size")).cast("int")]
-    copies = F.when(F.col("size") > 0, passes[0] + passes[1]).otherwise(1)
     own, key = _fresh(docs, "copies"), _fresh(docs, "row_key")
-    plan = stage(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(copies).alias(own)), "mix")
-    joined = docs.withColumn(key, _row_key()).join(plan, key, "left").withColumn(own, F.coalesce(own, F.lit(1)))
+    with scratch(spark):
+        mixed = source_schedule.mix(_named(docs))
+        passes = [(2 * F.col("first_pass") >= F.col("size")).cast("int"), (2 * (F.col("taken") - F.col("first_pass")) >= F.col("size")).cast("int")]
+        copies = F.when(F.col("size") > 0, passes[0] + passes[1]).otherwise(1)
+        plan = stage(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(copies).alias(own)).where(F.col(own) != 1), "mix", keep=True)
+    joined = docs.withColumn(key, _row_key()).join(_small(plan), key, "left").withColumn(own, F.coalesce(own, F.lit(1)))
     repeated = joined.where(F.col(own) > 0).withColumn(own, F.explode(F.sequence(F.lit(1), own)))
     return repeated.select(docs.columns)
 
@@ -98,9 +115,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each stage's documents are written once and read again by the next."""
+    """All stages on `documents`; each stage's documents are written once, read by the next and then removed."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, work in STAGES[:-1]:
-        docs = stage(work(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch(spark):  # decisions go when the stage is written, its documents when the next one is
+            work(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
