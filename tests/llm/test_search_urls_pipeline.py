@@ -175,5 +175,5 @@ def test_pipeline_decides_rows_by_id_and_text(spark, docs_of):
 
 
 def test_registered_names():
-    ten = sorted(int(name[2:].split("_")[0]) for name in corpus.QUERIES)
-    assert ten == list(range(1, 11)) and set(corpus.ORACLES) <= set(corpus.QUERIES)
+    numbers = sorted(int(name[2:].split("_")[0]) for name in corpus.QUERIES)
+    assert numbers == list(range(1, 14)) and set(corpus.ORACLES) <= set(corpus.QUERIES)
