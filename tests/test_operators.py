@@ -12,6 +12,7 @@ from wardlog.operators import joins as jn
 from wardlog.operators import labels as lb
 from wardlog.operators import learning as ml
 from wardlog.operators import metrics as mt
+from wardlog.operators import neighbours as nb
 from wardlog.operators import profile as pf
 from wardlog.operators import ranking as rk
 from wardlog.operators import reports as rp
@@ -215,13 +216,13 @@ def test_export_modes(rows_of):
         lb.harmonize_training_columns(rows_of([(1,)], "uri int"))
 
 
-@pytest.mark.parametrize("cell_rows", [2000, 60])
-def test_smote_balances_with_convex_rows(spark, cell_rows):
+@pytest.mark.parametrize("block_rows", [2000, 60])
+def test_smote_balances_with_convex_rows(spark, block_rows):
     rng = np.random.default_rng(2)
     minority = np.vstack([rng.normal(size=(150, 2)), np.tile([[5.0, 5.0]], (60, 1))])
     rows = [(Vectors.dense(p.tolist()), 1) for p in minority] + [(Vectors.dense([float(i), 0.0]), 0) for i in range(900)]
     df = spark.createDataFrame(rows, ["features", "label"])
-    grown = ml.smote_oversample(df, cell_rows=cell_rows).toPandas()
+    grown = ml.smote_oversample(df, block_rows=block_rows).toPandas()
     made = np.stack(grown.v[grown.synthetic].to_numpy())
     assert grown.groupby("label").size().to_dict() == {0: 900, 1: 900}
     low, high = minority.min(axis=0) - 1e-9, minority.max(axis=0) + 1e-9
@@ -229,20 +230,54 @@ def test_smote_balances_with_convex_rows(spark, cell_rows):
     # A third of the minority are copies of one row; their children are copies too.
     same = (np.abs(made - 5.0) < 1e-12).all(axis=1).sum()
     assert same == pytest.approx(690 * 60 / 210, abs=25)
-    again = ml.smote_oversample(df.repartition(3), cell_rows=cell_rows).toPandas()
+    again = ml.smote_oversample(df.repartition(3), block_rows=block_rows).toPandas()
     assert np.allclose(np.sort(made[:, 0]), np.sort(np.stack(again.v[again.synthetic].to_numpy())[:, 0]))
 
 
-def test_nearest_is_exact_in_one_cell(spark):
-    rng = np.random.default_rng(4)
-    points = rng.normal(size=(80, 3))
-    df = spark.createDataFrame([(str(i), p.tolist()) for i, p in enumerate(points)], "vid string, v array<double>")
-    got = {}
-    for r in ml.nearest_vectors(df, 3, 4).collect():
-        got.setdefault(r.vid, set()).add(r.near)
+def plain_nearest(points, names, k):
+    """Names and squared distances of the k nearest of each point, ties to the smaller name."""
+    found = {}
     for i, p in enumerate(points):
-        order = np.argsort(((points - p) ** 2).sum(axis=1))[1:5]
-        assert got[str(i)] == {str(j) for j in order}
+        squares = ((points - p) ** 2).sum(axis=1)
+        order = [j for j in np.lexsort((names, squares)) if j != i][:k]
+        found[names[i]] = [(names[j], float(squares[j])) for j in order]
+    return found
+
+
+def clustered(rng, n, dims):
+    """Clusters of very different size and width, and a dense grid with many ties."""
+    centres = rng.normal(scale=30, size=(6, dims))
+    parts = [centres[i] + rng.normal(scale=0.1 * 3**i, size=(n // 2 if i == 0 else n // 12, dims)) for i in range(6)]
+    return np.unique(np.vstack([*parts, rng.integers(0, 3, size=(n // 12, dims)).astype(float)]), axis=0)
+
+
+@pytest.mark.parametrize("n,dims,k,block_rows", [(80, 3, 4, 2000), (80, 3, 200, 7), (900, 1, 5, 60), (2600, 300, 5, 800), (1, 2, 5, 10), (2, 2, 5, 1)])
+def test_nearest_vectors_are_exact(spark, n, dims, k, block_rows):
+    points = clustered(np.random.default_rng(n + dims), n, dims) if n > 10 else np.arange(n * dims, dtype=float).reshape(n, dims)
+    names = np.array([f"v{i * 7919 % 100003:06d}" for i in range(len(points))])
+    df = spark.createDataFrame([(v, p.tolist()) for v, p in zip(names.tolist(), points)], "vid string, v array<double>")
+    got = {name: [] for name in names.tolist()}
+    for r in nb.nearest_vectors(df, k, block_rows).collect():
+        got[r.vid].append((r.distance, r.near))
+    want = plain_nearest(points, names, k)
+    assert {v: [(name, d) for d, name in sorted(rows)] for v, rows in got.items()} == want
+
+
+@pytest.mark.parametrize("dims", [2, 300])
+def test_synthetic_rows_lie_between_true_neighbours(spark, dims):
+    rng = np.random.default_rng(dims)
+    minority = clustered(rng, 2400, dims)
+    rows = [(Vectors.dense(p.tolist()), 1) for p in minority] + [(Vectors.dense(np.zeros(dims).tolist()), 0)] * (len(minority) + 150)
+    grown = ml.smote_oversample(spark.createDataFrame(rows, ["features", "label"]), block_rows=1500).where("synthetic").collect()
+    assert len(grown) == 150
+    names = np.arange(len(minority))
+    near = plain_nearest(minority, names, 5)
+    start = np.repeat(minority, 5, axis=0)
+    step = minority[[j for i in names for j, _ in near[i]]] - start
+    for made in np.array([r.v for r in grown]):
+        share = ((made - start) * step).sum(axis=1) / (step**2).sum(axis=1)
+        apart = np.abs(start + share[:, None] * step - made).max(axis=1)
+        assert ((apart < 1e-9) & (share >= -1e-9) & (share <= 1 + 1e-9)).any()
 
 
 def test_weights_and_guard(rows_of):

@@ -9,8 +9,6 @@ from itertools import product
 from math import log2
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -34,7 +32,7 @@ from pyspark.util import inheritable_thread_target
 from wardlog.functions import scalars as S
 from wardlog.operators.labels import harmonize_training_columns, normalize_scoring_row
 from wardlog.operators.metrics import classification_metrics, cve_sample_weight, shuffle_splits, stratified_folds, stratified_split
-from wardlog.operators.ranking import range_bucket
+from wardlog.operators.neighbours import BLOCK_ROWS, nearest_vectors
 from wardlog.session import stage
 from wardlog.sources.schemas import NUMERIC_FEATURES
 
@@ -341,83 +339,12 @@ def hyperparameter_search(
     return _search(df, ids, folds, candidates, parallelism, smote)
 
 
-CELL_ROWS = 2000
-PROJECTIONS = 3
-MAX_RANGES = 1024
-
-
-def _near_in_block(ids: np.ndarray, points: np.ndarray, k: int) -> list[tuple[str, str, float]]:
-    """The k nearest others of every point in a block of at most a few thousand."""
-    squares = (points**2).sum(axis=1)
-    distance = squares[:, None] + squares[None, :] - 2 * points @ points.T
-    np.fill_diagonal(distance, np.inf)
-    near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
-    return [(ids[i], ids[j], float(max(distance[i, j], 0.0))) for i, row in enumerate(near) for j in row]
-
-
-def _cell_neighbours(rows: pd.DataFrame, k: int, cell_rows: int) -> pd.DataFrame:
-    """Nearest vectors within a cell; a cell above its size is cut into blocks along the projection."""
-    rows = rows.sort_values(["_p", "vid"])
-    ids, points = rows["vid"].to_numpy(), np.stack(rows["v"].to_numpy())
-    blocks = -(-len(ids) // cell_rows)
-    found = []
-    for part in np.array_split(np.arange(len(ids)), blocks):
-        found += _near_in_block(ids[part], points[part], k)
-    return pd.DataFrame(found, columns=["vid", "near", "distance"])
-
-
-def _project(vectors: DataFrame, name: str, direction: np.ndarray) -> DataFrame:
-    weights = F.array(*[F.lit(float(x)) for x in direction])
-    products = F.zip_with("v", weights, lambda a, b: a * b)
-    return vectors.withColumn(name, F.aggregate(products, F.lit(0.0), lambda a, b: a + b))
-
-
-def _cells(projected: DataFrame, cells: int) -> DataFrame:
-    """Adds `_cell`: ranges of the first projection, each cut again along the second when there are many."""
-    first = min(cells, MAX_RANGES)
-    second = min(-(-cells // MAX_RANGES), MAX_RANGES)
-    outer = range_bucket(projected, "_p", first).withColumnRenamed("_bucket", "_outer") if first > 1 else projected.withColumn("_outer", F.lit(0.0))
-    inner = range_bucket(outer, "_q", second) if second > 1 else outer.withColumn("_bucket", F.lit(0.0))
-    return inner.withColumn("_cell", F.struct("_outer", "_bucket"))
-
-
-def nearest_vectors(vectors: DataFrame, dims: int, k: int, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Up to k nearest other vectors per distinct vector: `vid`, `near`, `distance`.
-
-    A set that fits one cell is exact. A larger one is cut along several random directions into
-    cells of about `cell_rows`, and the nearest over all directions are kept, so work grows with
-    the rows and no cell holds more than its share.
-    """
-    cells = -(-vectors.count() // cell_rows)
-    rng = np.random.default_rng(seed)
-    parts = []
-    for _ in range(1 if cells <= 1 else PROJECTIONS):
-        projected = _project(_project(vectors, "_p", rng.normal(size=dims)), "_q", rng.normal(size=dims))
-        parts.append(
-            _cells(projected, cells)
-            .select("_cell", "vid", "v", "_p")
-            .groupBy("_cell")
-            .applyInPandas(lambda rows: _cell_neighbours(rows, k, cell_rows), "vid string, near string, distance double")
-        )
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    best = Window.partitionBy("vid").orderBy("distance", "near")
-    return (
-        pairs.groupBy("vid", "near")
-        .agg(F.min("distance").alias("distance"))
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= k)
-        .drop("place")
-    )
-
-
 def smote_oversample(
-    df: DataFrame, features: str = "features", label: str = "label", k: int = 5, seed: int = 42, cell_rows: int = CELL_ROWS
+    df: DataFrame, features: str = "features", label: str = "label", k: int = 5, seed: int = 42, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds synthetic minority rows until both classes are equal: (features, label, synthetic).
 
-    A new row lies at a random place between a minority row and one of its k nearest. Equal vectors
+    A new row lies at a random place between a minority row and one of its k nearest, which are exact. Equal vectors
     are handled once with their number of copies: a vector with more than k copies has only copies
     of itself as neighbours, so its new rows equal it.
     """
@@ -428,14 +355,14 @@ def smote_oversample(
     if minority == majority or needed <= 0 or n < 2:
         return original
     k = max(1, min(k, n - 1))
-    distinct = (
+    copied = (
         original.where(F.col(label) == minority)
         .withColumn("vid", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
         .groupBy("vid")
         .agg(F.first("v").alias("v"), F.count("*").alias("copies"))
     )
-    dims = len(distinct.first()["v"])
-    near = nearest_vectors(distinct.select("vid", "v"), dims, k, seed, cell_rows)
+    distinct = stage(copied, "minority")
+    near = nearest_vectors(distinct, k, block_rows)
     sized = near.join(distinct.select(F.col("vid").alias("near"), F.col("v").alias("nv"), F.col("copies").alias("nc")), "near")
     # Slots 1..k of a row's neighbours: its own copies first, then other vectors by distance.
     upto = F.sum("nc").over(Window.partitionBy("vid").orderBy("distance", "near"))

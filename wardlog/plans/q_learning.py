@@ -8,12 +8,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.functions import scalars as S
 from wardlog.operators import learning as ml
 from wardlog.operators import metrics as mt
+from wardlog.operators.neighbours import nearest_vectors
 from wardlog.operators.ranking import sample_rows
 from wardlog.plans.driver_log import derived_events
 from wardlog.plans.flat_sql import FEATURE_CTE
@@ -281,6 +282,23 @@ def smote_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.groupBy("label", "synthetic").agg(F.count("*").alias("n"))
 
 
+@query(
+    "nearest_vectors",
+    """WITH p AS (SELECT DISTINCT value, user_id::DOUBLE AS user_id FROM events WHERE event_type = 'error'),
+    d AS (SELECT a.value, a.user_id, (a.value - b.value) * (a.value - b.value) + (a.user_id - b.user_id) * (a.user_id - b.user_id) AS d
+      FROM p a JOIN p b ON a.value <> b.value OR a.user_id <> b.user_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY value, user_id ORDER BY d) AS place FROM d)
+    SELECT value, user_id, place, round(d, 6)::DOUBLE AS distance FROM r WHERE place <= 5""",
+)
+def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every distinct vector of the minority that `smote_oversample` grows."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select("value", F.col("user_id").cast("double").alias("user_id")).distinct()
+    named = rows.withColumn("vid", F.md5(F.concat_ws(":", "value", "user_id"))).withColumn("v", F.array("value", "user_id"))
+    places = Window.partitionBy("vid").orderBy("distance", "near")
+    near = nearest_vectors(stage(named, "minority"), 5).withColumn("place", F.row_number().over(places).cast("long"))
+    return named.join(near, "vid").select("value", "user_id", "place", F.round("distance", 6).alias("distance"))
+
+
 @query("single_class_guard", "SELECT (event_type = 'error')::INT AS label, count(*) AS n FROM events GROUP BY 1")
 def guard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((F.col("event_type") == "error").cast("int").alias("label"))
