@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.functions import scalars as S
+from wardlog.operators import boosting as bo
 from wardlog.operators import learning as ml
 from wardlog.operators import metrics as mt
 from wardlog.operators.neighbours import nearest_vectors
@@ -299,6 +300,53 @@ def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(near, "vid").select("value", "user_id", "place", F.round("distance", 6).alias("distance"))
 
 
+# Yes/no features of a text, the same in both dialects.
+TEXT_FLAGS = {
+    "long": "n_chars >= 2000",
+    "digit": "text LIKE '%1%'",
+    "link": "text LIKE '%http%'",
+    "shout": "text LIKE '%!%'",
+    "english": "lang = 'en'",
+    "lines": "n_chars >= 8000",
+}
+NEWTON = bo.Settings(rounds=1, depth=2, rate=0.3, l1=1.0, l2=2.0, gamma=0.05, rows=1, columns=1)
+
+
+def _newton_level(level: int) -> str:
+    """One level of a tree in SQL: at margin 0 the derivatives of a row are 1/2 - y and 1/4."""
+
+    def score(g: str, h: str) -> str:
+        return f"power(greatest(abs({g}) - {NEWTON.l1}, 0), 2) / ({h} + {NEWTON.l2})"
+
+    gain = f"0.5 * ({score('lg', 'lh')} + {score('g - lg', 'h - lh')} - {score('g', 'h')}) - {NEWTON.gamma}"
+    rows = "SELECT 0 AS node, y, x FROM d" if not level else f"SELECT 2 * node + 1 + x[f + 1] AS node, y, x FROM n{level - 1} JOIN s{level - 1} USING (node) WHERE f IS NOT NULL"
+    return f"""n{level} AS (SELECT node, y, x FROM ({rows})),
+    c{level} AS (SELECT node, f, sum(0.5::DOUBLE - y) AS g, count(*) / 4.0::DOUBLE AS h, sum(CASE WHEN x[f + 1] = 0 THEN 0.5::DOUBLE - y ELSE 0 END) AS lg,
+      count(*) FILTER (x[f + 1] = 0) / 4.0::DOUBLE AS lh FROM (SELECT *, unnest(range({len(TEXT_FLAGS)})) AS f FROM n{level}) GROUP BY ALL),
+    g{level} AS (SELECT *, CASE WHEN lh >= 1 AND h - lh >= 1 AND {gain} > 0 AND {level} < {NEWTON.depth} THEN {gain} END AS gain FROM c{level}),
+    s{level} AS (SELECT node, g, h, CASE WHEN gain IS NOT NULL THEN f END AS f, gain FROM g{level} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC NULLS LAST, f) = 1)"""
+
+
+@query(
+    "newton_trees",
+    "WITH d AS (SELECT quality AS y, ["
+    + ", ".join(f"({flag})::INT" for flag in TEXT_FLAGS.values())
+    + "] AS x FROM documents JOIN labels USING (doc_id)), "
+    + ", ".join(map(_newton_level, range(NEWTON.depth + 1)))
+    + f""" SELECT 0 AS tree, node::INT AS node, [{", ".join(f"'{n}'" for n in TEXT_FLAGS)}][f + 1] AS feature, CASE WHEN f IS NOT NULL THEN 1.0::DOUBLE END AS threshold,
+    round(coalesce(gain, 0), 9)::DOUBLE AS gain, round(-{NEWTON.rate} * sign(g) * greatest(abs(g) - {NEWTON.l1}, 0) / (h + {NEWTON.l2}), 9)::DOUBLE AS weight
+    FROM ({" UNION ALL ".join(f"SELECT * FROM s{level}" for level in range(NEWTON.depth + 1))})""",
+)
+def newton_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the first second-order tree for the quality of all labelled documents."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    flags = [F.expr(flag).cast("int").cast("double").alias(name) for name, flag in TEXT_FLAGS.items()]
+    rows = docs.select("doc_id", F.col("quality").alias("label"), F.lit(1.0).alias("weight"), *flags)
+    vectors = VectorAssembler(inputCols=list(TEXT_FLAGS), outputCol="features").transform(rows)
+    model = bo.train(vectors, ["doc_id"], NEWTON, list(TEXT_FLAGS))
+    return model.splits(spark).withColumns({c: F.round(c, 9) for c in ("gain", "weight")})
+
+
 @query("single_class_guard", "SELECT (event_type = 'error')::INT AS label, count(*) AS n FROM events GROUP BY 1")
 def guard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((F.col("event_type") == "error").cast("int").alias("label"))
