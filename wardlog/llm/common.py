@@ -62,27 +62,29 @@ def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 Batches = Iterator[pa.RecordBatch]
 
 
-#: Stores that tasks of this Python worker have filled.
-_FILLED: set[Callable] = set()
+#: Stores that earlier tasks of this Python worker left filled.
+_KEPT: set[Callable] = set()
 
 
-def tidy(*stores: Callable) -> Callable:
-    """Empties the stores of other operators when a task begins and gives memory back to the system when it ends.
+def tidy(*stores: Callable, kept: tuple[Callable, ...] = ()) -> Callable:
+    """Empties the named stores and gives memory back to the system when a task ends.
 
-    A Python worker serves many operators after each other; what one of them keeps would burden the others. The tasks of one
-    operator share their stores, which are bounded.
+    A Python worker serves many operators after each other; what one of them keeps would burden the others. Stores in
+    `kept`, which are dear to fill, stay for further tasks of the operator and go when a task of another one begins.
     """
 
     def around(work: Callable[..., Batches]) -> Callable[..., Batches]:
         @wraps(work)
         def run(*args) -> Batches:
-            for other in _FILLED.difference(stores):
+            for other in _KEPT.difference(kept):
                 other.cache_clear()
-            _FILLED.clear()
-            _FILLED.update(stores)
+            _KEPT.clear()
+            _KEPT.update(kept)
             try:
                 yield from work(*args)
             finally:
+                for store in stores:
+                    store.cache_clear()
                 gc.collect()
                 pa.default_memory_pool().release_unused()
                 trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -105,7 +105,7 @@ def _word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
-@tidy(_word_ids)
+@tidy(kept=(_word_ids,))
 def _cut(batches: Batches, vocabulary: str, longest: int) -> Batches:
     """Pieces of each (doc_id, text) row: length and checksum of the ids."""
     known, end = _word_ids(vocabulary), np.array([END_ID], "<u4").tobytes()
