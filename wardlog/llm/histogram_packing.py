@@ -36,7 +36,7 @@ MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of the pretokens whose ids a worker keeps, and the longest pretoken that is kept.
-CACHED_BYTES = 64 << 20
+CACHED_BYTES = 16 << 20
 CACHED_CHARS = 48
 #: What an entry takes besides its characters and ids: two objects and a place in the table.
 ENTRY_BYTES = 190
