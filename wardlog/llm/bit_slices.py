@@ -12,8 +12,9 @@ Queries are a stated set and are packed into blocks too; each pair of a query bl
 unit of work, and gives at most k rows per query. Every row is a candidate; nothing is sampled or approximate.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part. Missing trailing components of
-shorter vectors count as 0. Repeated ids are rows of their own: a query leaves out its own row alone. Equal scores are
-ordered by id. With fewer than k candidates all are returned. An empty table gives an empty result. Extra columns are
+shorter vectors count as 0. Repeated ids are rows of their own: a query leaves out its own row alone. Rows without an id
+are no queries but candidates like any other, found with a null id. Equal scores are ordered by id, null last. With
+fewer than k candidates all are returned. An empty table gives an empty result. Extra columns are
 not read.
 """
 
@@ -32,7 +33,7 @@ SCALE, TOP = 64, 20
 #: AIM_PAIRS pairs of both.
 BLOCK_ROWS, LEAST_QUERIES, AIM_PAIRS = 32_768, 256, 64
 
-_BLOCK_DDL = "block long, kind string, width int, ids binary, vectors binary"
+_BLOCK_DDL = "block long, kind string, width int, named int, ids binary, vectors binary"
 _QUERY = pa.schema([("origin", pa.int64()), ("place", pa.int64()), ("query_id", pa.int64()), ("q", pa.list_(pa.int64()))])
 _FOUND_DDL = "origin long, place long, query_id long, vec_id long, score long"
 
@@ -55,15 +56,18 @@ def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """One block as one row: ids ascending, and the components in the narrowest type that holds them."""
+    """One block as one row: ids ascending, rows without one after the `named` others, components in the narrowest type that holds them."""
     lists = rows["q"].combine_chunks()
     matrix = _matrix(lists, int(np.diff(lists.offsets.to_numpy()).max(initial=0)))
     kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.array_equal(matrix.astype(k), matrix))
-    ids = rows["vec_id"].to_numpy().astype("<i8")
-    order = np.argsort(ids, kind="stable")
-    row = [key[0].as_py(), kind, matrix.shape[1], ids[order].tobytes(), matrix[order].astype(kind).tobytes()]
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "kind", "width", "ids", "vectors"])
+    unnamed = rows["vec_id"].is_null().to_numpy()
+    ids = rows["vec_id"].fill_null(0).to_numpy().astype("<i8")
+    order = np.lexsort((ids, unnamed))
+    named = len(ids) - int(unnamed.sum())
+    row = [key[0].as_py(), kind, matrix.shape[1], named, ids[order].tobytes(), matrix[order].astype(kind).tobytes()]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ["block", "kind", "width", "named", "ids", "vectors"]
+    return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
 
 class SlicedBlock:
@@ -166,7 +170,7 @@ def _queries_of(batches, every: int):
     for batch in batches:
         for row in batch.to_pylist():
             ids, vectors = _load(row)
-            chosen = np.flatnonzero(ids % every == 0)
+            chosen = np.flatnonzero(ids[: row["named"]] % every == 0)
             columns = ([row["block"]] * len(chosen), chosen, ids[chosen], vectors[chosen].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _QUERY, strict=True)], schema=_QUERY)
 
@@ -174,22 +178,24 @@ def _queries_of(batches, every: int):
 def _search(key: tuple, block: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """One candidate block with one group of queries."""
     names = ["origin", "place", "query_id", "vec_id", "score"]
-    out = [np.zeros((0, 5), np.int64)]
+    out = [np.zeros((0, 6), np.int64)]
     if len(block) and len(queries):
-        ids, vectors = _load(block.to_pylist()[0])
+        held = block.to_pylist()[0]
+        ids, vectors = _load(held)
         index = SlicedBlock(ids, vectors)
         own, places, asked = (queries[c].to_numpy() for c in ("origin", "place", "query_id"))
         for i, query in enumerate(_matrix(queries["q"].combine_chunks(), vectors.shape[1])):
             found, scores = index.top(query, k, int(places[i]) if own[i] == key[0].as_py() else -1)
             same = np.ones(len(found), np.int64)
-            out.append(np.column_stack([same * own[i], same * places[i], same * asked[i], ids[found], scores]))
+            out.append(np.column_stack([same * own[i], same * places[i], same * asked[i], ids[found], scores, found >= held["named"]]))
     rows = np.concatenate(out)
-    return pa.table([pa.array(rows[:, i], pa.int64()) for i in range(5)], names=names)
+    columns = [pa.array(rows[:, i], pa.int64(), mask=rows[:, 5] == 1 if name == "vec_id" else None) for i, name in enumerate(names)]
+    return pa.table(columns, names=names)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = TOP, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best other rows of each row whose id is divisible by `every`: query_id, rank, vec_id, score."""
-    rows = stage(quantised(vectors, scale, key, vector).where("vec_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "quantised")
+    rows = stage(quantised(vectors, scale, key, vector).withColumn("row", F.monotonically_increasing_id()), "quantised")
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     numbered = rows.groupBy(F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).alias("block"))
@@ -205,5 +211,5 @@ def search(vectors: DataFrame, every: int = 20, k: int = TOP, scale: int = SCALE
     found = held.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(
         lambda key, left, right: _search(key, left, right, k), _FOUND_DDL
     )
-    best = F.row_number().over(Window.partitionBy("origin", "place").orderBy(F.col("score").desc(), "vec_id"))
+    best = F.row_number().over(Window.partitionBy("origin", "place").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
