@@ -6,11 +6,11 @@ accepted and one of rejected urls. A character's probability after its context o
 interpolated with the one after the next shorter context (Witten-Bell weights: a context that was followed by many
 different characters trusts its own counts less); unseen contexts hand over to shorter ones.
 
-Training urls are labelled by `REJECT_SEEDS` in the host. A hash keeps a part of them out of the counts; on these the
-cut of the length-normalised log-likelihood difference is set, with the cost of a wrongly blocked url `FALSE_BLOCK` times
+Training urls are labelled by a boolean column of the caller, else by `REJECT_SEEDS` in the host. A hash of id and url
+keeps a part of them out of the counts, so results don't depend on the files' layout; on these the cut of the length-normalised log-likelihood difference is set, with the cost of a wrongly blocked url `FALSE_BLOCK` times
 that of a missed one. Counts are grouped aggregates over all pages; the models stay tables and are joined to the distinct
 character windows, then windows to urls. Nothing but single rows of totals and the score histogram (at most
-`BINS` + 1 rows) goes to the driver.
+`BINS` + 1 rows) goes to the driver. Ratios are summed in fixed point, so scores don't depend on the order of rows.
 
 Edge cases: a url that is null or has no `://` has an empty host and path, fits no rule, and is scored as the empty text.
 Repeated urls and ids are judged row by row. Without rejected or without accepted training urls everything outside the
@@ -38,6 +38,8 @@ FALSE_BLOCK = 10.0
 #: The histogram of held-out scores reaches from -RANGE to RANGE.
 RANGE, BINS = 8.0, 3_200
 START, END = "\x02", "\x03"
+#: Ratios are summed in units of 2^-RATIO_BITS.
+RATIO_BITS = 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -104,14 +106,21 @@ def calibrated_cut(scored: DataFrame) -> float:
     return (best[0] + best[-1]) / 2 * unit - RANGE
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple = REJECT_SEEDS, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score."""
+def judge(
+    pages: DataFrame, rules: tuple = RULES, seeds: tuple = REJECT_SEEDS, key: str = "page_id", url: str = "url", rejected: Column | None = None
+) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score.
+
+    `rejected` labels the training urls (true, false, or null for those to leave out) in place of `seeds`.
+    """
     host, path = host_and_path(F.col(url).cast("string"))
-    parsed = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
-    judged = F.concat("host", ascii_lower(F.col("path")))
-    held = F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(HELD_OUT)) == 0
-    rejected = F.when(F.col("host") != "", F.greatest(*[F.col("host").contains(s) for s in seeds]))
-    rows = stage(parsed.withColumn("judged", judged).withColumn("rejected", rejected).withColumn("held", held), "urls")
+    if rejected is None:
+        rejected = F.when(host != "", F.exists(F.array(*map(F.lit, seeds)), lambda seed: host.contains(seed)))
+    held = F.pmod(F.xxhash64(F.lit(5), F.col(key), F.col(url).cast("string")), F.lit(HELD_OUT)) == 0
+    parsed = pages.select(
+        F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), rejected.alias("rejected"), held.alias("held"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = stage(parsed.withColumn("judged", F.concat("host", ascii_lower(F.col("path")))), "urls")
     trained = (F.col("rejected").isNotNull() & ~F.col("held")).cast("long")
     grams = stage(
         windows(rows.select("judged", "rejected", "held")).groupBy("gram").agg(
@@ -121,7 +130,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple = REJECT_SEEDS, k
         "grams",
     )
     ratios = stage(gram_ratios(grams), "ratios")
-    sums = windows(rows.select("row", "judged")).join(ratios, "gram").groupBy("row").agg(F.avg("ratio").alias("score"))
+    units = F.round(F.col("ratio") * F.lit(float(1 << RATIO_BITS))).cast("long")
+    mean = F.sum(units) / F.count("*") / F.lit(float(1 << RATIO_BITS))
+    sums = windows(rows.select("row", "judged")).join(ratios, "gram").groupBy("row").agg(mean.alias("score"))
     scored = stage(rows.join(sums, "row"), "scored")
     known = grams.agg(F.max("rejected").alias("bad"), F.max("accepted").alias("good")).first()
     cut = calibrated_cut(scored.where("held AND rejected IS NOT NULL")) if known.bad and known.good else float("inf")
