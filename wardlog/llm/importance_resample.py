@@ -7,8 +7,9 @@ models are two arrays of `BUCKETS` counts, whatever the corpus.
 
 The log ratio is taken relative to an average target text of the same number of n-grams, so that length alone neither
 saves nor loses a text. Adding Gumbel noise and keeping the k largest sums draws k documents without replacement in
-proportion to their weights. The noise is a hash of the id, so reruns agree; the cut is found by counting digits,
-without sorting, and equal sums at the cut are settled by row number. Unless given, k is the share of target labels among
+proportion to their weights. The noise is a hash of id, text and a number among equal rows, so each row draws its own and
+the draw depends on neither the files' layout nor a rerun; the cut is found by counting digits, without sorting, and
+equal sums at the cut are settled by a second 60-bit hash of the same. Unless given, k is the share of target labels among
 all labels, times the number of documents.
 
 Edge cases: null and empty texts have no n-grams and weight 0. Repeated rows take part one by one; so do rows with null
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wardlog.llm.common import Batches, as_batch, text_of, words_of
 from wardlog.llm.cutoff import kth_largest
+from wardlog.llm.histogram_packing import numbered
 from wardlog.session import stage
 
 BUCKETS = 1 << 18
@@ -39,7 +41,7 @@ UNIT_BITS, KEY_BITS = 20, 60
 CACHED_WORDS = 500_000
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
-_WEIGHTS = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+_WEIGHTS = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64()), ("same", pa.binary())])
 
 
 class WordHashes(dict):
@@ -101,37 +103,43 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> n
     return ratio - (target * ratio).sum() / target.sum()
 
 
+def row_digest(doc_id: int | None, text: str) -> bytes:
+    """128 bits that rows of equal id and text share."""
+    return xxhash.xxh3_128_digest(f"{doc_id} {text}".encode("utf-8", "surrogatepass"))
+
+
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight) of every row."""
+    """(doc_id, n_grams, log_weight, same) of every row; `same` names the rows of one id and text."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Batches) -> Batches:
         for batch in batches:
-            grams = [gram_buckets(t) for t in batch.column("text").to_pylist()]
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            grams = [gram_buckets(t) for t in texts]
             sums = [float(held.value[g].sum()) for g in grams]
-            yield as_batch(_WEIGHTS, doc_id=batch.column("doc_id"), n_grams=[len(g) for g in grams], log_weight=sums)
+            same = [row_digest(i, t) for i, t in zip(ids, texts, strict=True)]
+            yield as_batch(_WEIGHTS, doc_id=ids, n_grams=[len(g) for g in grams], log_weight=sums, same=same)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, n_grams long, log_weight double")
+    return rows.mapInArrow(score, "doc_id long, n_grams long, log_weight double, same binary")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_rows: int = TARGET_ROWS, seed: int = 3) -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, kept (drawn by Gumbel top-k)."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "same", "rank"), 11) + 0.5) / F.lit(float(1 << 53))
     total = F.col("log_weight") - F.log(-F.log(uniform))
     middle = F.lit(1 << (KEY_BITS - 1))
     key = F.greatest(F.lit(0), F.least(F.lit((1 << KEY_BITS) - 1), F.floor(total * F.lit(float(1 << UNIT_BITS))) + middle))
-    drawn = stage(
-        weights(docs, fit(docs, labels, target_rows)).withColumn("key", key.cast("long")).withColumn("row", F.monotonically_increasing_id()), "drawn"
-    )
-    n = drawn.count()
+    weighed = stage(weights(docs, fit(docs, labels, target_rows)).withColumn("row", F.monotonically_increasing_id()), "weighed")
+    n = weighed.count()
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "same", "rank"), 64 - KEY_BITS)
+    drawn = stage(numbered(weighed, "same", "row", n).select("doc_id", "n_grams", "log_weight", key.cast("long").alias("key"), place.alias("place")), "drawn")
     if k is None:
         seen = labels.agg(F.avg(F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 1.0).otherwise(0.0)).alias("share")).first()
         k = round(n * (1.0 if seen.share is None else seen.share))
     if k <= 0 or k >= n:
         return drawn.select("doc_id", "n_grams", "log_weight", F.lit(k > 0).alias("kept"))
     cut, larger = kth_largest(drawn, "key", k, KEY_BITS)
-    at_cut = drawn.where(F.col("key") == cut).withColumn("place", F.lit((1 << KEY_BITS) - 1) - F.col("row"))
-    last, _ = kth_largest(at_cut, "place", k - larger, KEY_BITS)
-    kept = (F.col("key") > cut) | ((F.col("key") == cut) & (F.col("row") <= (1 << KEY_BITS) - 1 - last))
+    last, _ = kth_largest(drawn.where(F.col("key") == cut), "place", k - larger, KEY_BITS)
+    kept = (F.col("key") > cut) | ((F.col("key") == cut) & (F.col("place") >= last))
     return drawn.select("doc_id", "n_grams", "log_weight", kept.alias("kept"))
