@@ -19,13 +19,13 @@ VECTOR = "vec_id long, embedding array<float>, label string, q string, block int
 def brute_top(rows, k=20):
     whole = []
     for i, v, *_ in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole.append((i, [math.floor(64 * float(np.float32(x))) for x in v]))
     out = Counter()
     for n, (i, q) in enumerate(whole):
-        if i % 20 == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(q, c)), j) for m, (j, c) in enumerate(whole) if m != n))[:k]
-            out.update((i, rank, j, -s) for rank, (s, j) in enumerate(scores, 1))
+        if i is not None and i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), j is None, j or 0) for m, (j, c) in enumerate(whole) if m != n)[:k]
+            out.update((i, rank, None if unnamed else j, -s) for rank, (s, unnamed, j) in enumerate(scores, 1))
     return out
 
 
@@ -34,7 +34,7 @@ def vector_rows():
     rows = [(i, [rng.choice([rng.gauss(0, 0.2), 0.25]) for _ in range(8)], "x", "y", 0) for i in range(400)]
     rows += [(20, [0.25] * 8, "x", "y", 0)] * 3 + [(i, [0.5] * 8, "x", "y", 0) for i in range(500, 540)]
     rows += [(40, None, None, None, None), (60, [None] * 8, "", "", 0), (80, [float("nan")] * 8, "", "", 0)]
-    return rows + [(100, [float("inf")] * 8, "", "", 0), (None, [0.1] * 8, "", "", 0), (120, [0.5, -0.5], "", "", 0), (140, [3e4] * 8, "", "", 0)]
+    return rows + [(100, [float("inf")] * 8, "", "", 0), (None, [0.1] * 8, "", "", 0), (120, [0.5, -0.5], "", "", 0), *[(None, [0.5] * 8, "", "", 0)] * 3, (140, [3e4] * 8, "", "", 0)]
 
 
 def test_top_k_is_exact(spark, monkeypatch):
@@ -47,6 +47,8 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert bs.search(df.limit(0)).count() == 0
     few = df.where("vec_id IN (0, 3)")
     assert [(r.query_id, r.vec_id) for r in bs.search(few).collect()] == [(0, 3)]
+    unnamed = spark.createDataFrame([(0, [1.0]), (None, [2.0]), (1, [1.0])], "vec_id long, embedding array<float>")
+    assert [(r.rank, r.vec_id, r.score) for r in bs.search(unnamed).orderBy("rank").collect()] == [(1, None, 8192), (2, 1, 4096)]
 
 
 def test_bitmap_sums_equal_products():
@@ -101,6 +103,55 @@ def test_url_rules_and_verdicts(spark):
     assert allowed.verdict == "allow"
 
 
+def test_url_scores_and_cut_equal_a_plain_run(spark):
+    """Held-out urls, counts, scores, cut and verdicts against a direct computation; other layouts and labels by the caller."""
+    rows = [r for r in page_rows() if r[1] is None or len(r[1]) < 99]
+    df = prepare(spark).createDataFrame(rows, PAGE)
+    named = [F.xxhash64(F.lit(5), "page_id", "url").alias("hash"), "page_id", "url"]
+    counts, known = {True: Counter(), False: Counter()}, []
+    for h, i, u in df.select(*named).collect():
+        host, path = plain_parts(u)
+        text = host + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in path)
+        padded = ul.START * ul.ORDER + text + ul.END
+        grams = [padded[j : j + ul.ORDER + 1] for j in range(len(text) + 1)]
+        bad = None if host == "" else any(s in host for s in ul.REJECT_SEEDS)
+        known.append((i, u, host, path, bad, h % ul.HELD_OUT == 0, grams))
+        if bad is not None and h % ul.HELD_OUT:
+            counts[bad].update(g[ul.ORDER - o :] for g in grams for o in range(ul.ORDER + 1))
+    after = {bad: Counter() for bad in counts}
+    kinds = {bad: Counter(g[:-1] for g in c) for bad, c in counts.items()}
+    for bad, c in counts.items():
+        for g, n in c.items():
+            after[bad][g[:-1]] += n
+
+    def chance(bad, gram):
+        p = 1 / ul.ALPHABET
+        for own in (gram[at:] for at in range(ul.ORDER, -1, -1)):
+            if n := after[bad][own[:-1]]:
+                p = (counts[bad][own] + kinds[bad][own[:-1]] * p) / (n + kinds[bad][own[:-1]])
+        return math.log(p)
+
+    scores = [sum(chance(True, g) - chance(False, g) for g in grams) / len(grams) for *_, grams in known]
+    held = [(s, bad) for s, (*_, bad, out, _) in zip(scores, known) if out and bad is not None]
+    cut = ul.calibrated_cut(spark.createDataFrame(held, "score double, rejected boolean"))
+    assert 0 < sum(bad for _, bad in held) < len(held)
+
+    def results(found):
+        return sorted(((r.page_id is None, r.page_id or 0, r.host, r.path, r.verdict), r.score) for r in found.collect())
+
+    want = []
+    for score, (i, _, host, path, *_) in zip(scores, known):
+        verdict = plain_rule(host, path)[1] or ("block" if score >= cut else "allow")
+        want.append(((i is None, i or 0, host, path, verdict), score))
+    got = results(ul.judge(df))
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=1e-7)
+    assert results(ul.judge(df.repartition(7, "url"))) == got
+    own = F.when(F.col("url").contains("://"), F.col("url").rlike("casino|spam"))
+    named_host = [g for g in got if g[0][2]]
+    assert [g[0] for g in results(ul.judge(df, rejected=own)) if g[0][2]] == [g[0] for g in named_host]
+
+
 def test_url_model_by_hand(spark):
     """Interpolated probabilities of a few windows against a direct recursion."""
     rng = random.Random(4)

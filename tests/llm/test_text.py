@@ -1,9 +1,12 @@
+import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wardlog.llm import histogram_packing as hp
@@ -192,6 +195,34 @@ def test_resampling_keeps_good_held_out_rows(spark, docs_of):
     assert sum(r.kept for r in got) == 375
 
 
+def test_draw_equals_a_plain_gumbel_top_k(spark, docs_of, odd_rows):
+    """Every row draws its own noise: repeated rows, rows without an id, and another layout of the same rows."""
+    rows = odd_rows + [(None, "no id", "en", "a")] * 40 + [(50, "copy of a row", "en", "a")] * 40 + [(i % 90, f"text {i % 70}", "en", "a") for i in range(300)]
+    docs, labelled = docs_of(rows), spark.createDataFrame([(1, 1, 0), (60, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+
+    def chained(same, rank, seed):
+        found = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)
+        found = xxhash.xxh64_intdigest(same, seed=found)
+        return xxhash.xxh64_intdigest(struct.pack("<q", rank), seed=found)
+
+    found, seen = [], Counter()
+    for r in ir.weights(docs, ir.fit(docs, labelled)).collect():
+        same = bytes(r.same)
+        rank = seen[same]
+        seen[same] += 1
+        uniform = ((chained(same, rank, 3) >> 11) + 0.5) / 2.0**53
+        total = math.floor((r.log_weight - math.log(-math.log(uniform))) * 2**ir.UNIT_BITS)
+        found.append((total, chained(same, rank, 4) >> 4, r.doc_id, r.n_grams))
+    assert max(seen.values()) == 40
+    for k in (1, 60, 200):
+        want = Counter(f[2:] for f in sorted(found, key=lambda f: f[:2], reverse=True)[:k])
+        for layout in (docs, docs.repartition(5, "text")):
+            got = ir.resample(layout, labelled, k=k).where("kept").select("doc_id", "n_grams").collect()
+            assert Counter(map(tuple, got)) == want
+    unnamed = [r.kept for r in ir.resample(docs, labelled, k=200).where("doc_id IS NULL AND n_grams = 3").collect()]
+    assert 0 < sum(unnamed) < len(unnamed) == 40
+
+
 def test_resampling_of_odd_rows(spark, docs_of, odd_rows):
     labelled = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (99, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
