@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.operators import profile as pf
+from wardlog.operators.heavy_hitters import heavy_hitters
 from wardlog.plans.flat_sql import FEATURE_CTE
 from wardlog.plans.frames import feature_rows
 from wardlog.plans.registry import query, table
@@ -242,3 +243,23 @@ def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = rows.unionByName(rows.where("user_id % 5 = 0"))
     cleaned = pf.eda_clean(doubled, ["event_id"])
     return cleaned.select("event_id", "event_type", F.round("value", 6).alias("value"), F.round("user_id", 6).alias("user_id"))
+
+
+@query(
+    "heavy_words",
+    """WITH words AS (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents)
+SELECT word, count(*) AS n FROM words WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100""",
+)
+def heavy_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent words of all documents, with a certificate in place of a grouping of all words."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z0-9]+"))
+    return heavy_hitters(table(spark, sf_dir, "documents").select(words.alias("word")).where("word <> ''"), "word", 100)
+
+
+@query(
+    "heavy_users",
+    "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id NULLS FIRST LIMIT 50",
+)
+def heavy_users_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 busiest users of the event log, whose counts are nearly flat."""
+    return heavy_hitters(table(spark, sf_dir, "events"), "user_id", 50)
