@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels and pointer jumping."""
+"""Connected components of an edge table, by smallest labels and pointer jumping; roots of a forest, by jumping alone."""
 
 from __future__ import annotations
 
@@ -26,3 +26,26 @@ def components(edges: DataFrame) -> DataFrame:
             labels = after.select("node", "label")
             if not after.where("label <> old").count():
                 return labels
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(node, label) of every child in a forest of links from parent a to child b; a child has one parent, smaller than itself.
+
+    Each round replaces a node's parent by the parent's parent, so depths halve; no edge is read twice in a round. Roots
+    are no children and have no row.
+    """
+    with scratch(links.sparkSession):
+        up = stage(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "parents", keep=True)
+        while True:
+            above = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            up = stage(up.join(above, "label", "left").select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "parents", keep=True)
+            if up.where("moved").isEmpty():
+                return up.select("node", "label")
+            up = up.select("node", "label")
+
+
+def merged(labels: DataFrame, above: DataFrame) -> DataFrame:
+    """(node, label) of two levels: components of nodes, and components of their labels; a node without a row is its own label."""
+    onto = above.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    lower = labels.join(onto, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return lower.union(above.join(labels.select("node"), "node", "left_anti").select("node", "label"))

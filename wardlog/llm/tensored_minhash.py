@@ -8,7 +8,8 @@ relatives costs 2 * SIDE rows, not SIDE * SIDE.
 
 Texts with equal shingle sets are one class from the start. Links are verified on the full sets in rounds: in each, a class is
 linked to one class alone, the smallest of all that lead one of its buckets and are not yet in its component, so a round has
-fewer links than classes, however many buckets two classes share. Buckets within one component need no further links; this joins
+fewer links than classes, however many buckets two classes share. The first round's links are a forest, whose roots are
+found by jumping; later links are contracted to the components they join. Buckets within one component need no further links; this joins
 a large group of copies without its pairs. A bucket that still holds several components after `ROUNDS` is settled exactly: a class whose shingles are to more than a part of 1 - threshold its own can have no
 partner and goes; what stays is collected to clusters, cut into blocks, and each pair of blocks counts intersections as
 a matrix product and returns only links that join components. No bucket is capped and no link between different texts
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.llm.common import Batches, ascii_lower, text_of, tidy, words_of
-from wardlog.llm.components import components
+from wardlog.llm.components import components, merged, roots
 from wardlog.session import scratch, stage
 
 WIDTH, THRESHOLD = 5, 80
@@ -161,20 +162,20 @@ def bucket_members(classes: DataFrame, side: int = SIDE) -> DataFrame:
 
 
 def _joining_links(rows: pa.Table, threshold: int, within: bool) -> list[tuple[bytes, bytes]]:
-    """Verified links between members of different labels; once two labels are joined, no further link between them."""
-    cls, labels, n = rows["cls"].to_pylist(), rows["label"].to_pylist(), rows["n"].to_numpy()
+    """Pairs of labels with a verified link between their members; once two labels are joined, no further link between them."""
+    labels, n = rows["label"].to_pylist(), rows["n"].to_numpy()
     left = rows["first"].to_numpy(zero_copy_only=False)
     lists = rows["shingles"].combine_chunks()
-    owner = np.repeat(np.arange(len(cls)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(labels)), np.diff(lists.offsets.to_numpy()))
     _, column, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
     common = seen[column] > 1
     owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    inter = np.zeros((len(cls), len(cls)), np.float32)
+    inter = np.zeros((len(labels), len(labels)), np.float32)
     for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         low, high = np.searchsorted(column, [start, start + COLUMNS])
-        dense = np.zeros((len(cls), COLUMNS), np.float32)
+        dense = np.zeros((len(labels), COLUMNS), np.float32)
         dense[owner[low:high], column[low:high] - start] = 1
         inter += dense @ dense.T
     linked = 100 * inter >= threshold * (n[:, None] + n[None, :] - inter)
@@ -191,7 +192,7 @@ def _joining_links(rows: pa.Table, threshold: int, within: bool) -> list[tuple[b
         a, b = top(labels[i]), top(labels[j])
         if a != b:
             above[a] = b
-            found.append((cls[i], cls[j]))
+            found.append((labels[i], labels[j]))
     return found
 
 
@@ -213,22 +214,25 @@ def _open_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _round_links(rows: DataFrame) -> DataFrame:
-    """(a, b): each class b of an open bucket with the smallest class that leads one of its buckets and has another label."""
+    """(a, b, label_a, label_b): each class b of an open bucket with the smallest class that leads one of its buckets and has another label."""
     lead = rows.groupBy("slot", "key").agg(F.min(F.struct("cls", "label")).alias("lead"))
-    return rows.join(lead, ["slot", "key"]).where("label <> lead.label").groupBy(F.col("cls").alias("b")).agg(F.min("lead.cls").alias("a")).select("a", "b")
+    other = rows.join(lead, ["slot", "key"]).where("label <> lead.label")
+    least = other.groupBy(F.col("cls").alias("b"), F.col("label").alias("label_b")).agg(F.min("lead").alias("lead"))
+    return least.select(F.col("lead.cls").alias("a"), "b", F.col("lead.label").alias("label_a"), "label_b")
 
 
 def _verified(links: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links whose full sets are similar enough; sizes are compared before sets are moved."""
+    """Links whose full sets are similar enough, as pairs (a, b) of labels; sizes are compared before sets are moved."""
     one, two = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     inter = F.size(F.array_intersect("s_a", "s_b"))
     close = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    sized = links.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(close).select("a", "b")
-    return sized.join(one, "a").join(two, "b").where(_similar(inter, F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+    sized = links.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(close).select(links.columns)
+    alike = sized.join(one, "a").join(two, "b").where(_similar(inter, F.col("n_a"), F.col("n_b"), threshold))
+    return alike.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
 
 
 def _rest(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between classes of one open bucket that are not yet in one component."""
+    """Links (a, b) between the labels of classes of one open bucket that are not yet in one component."""
     for _ in range(2):  # a class that went may leave shingles of another without a partner
         asked = stage(rows.select("cls", "label").distinct().join(sets, "cls"), "asked")
         own = _own_shingles(asked)
@@ -266,17 +270,17 @@ def _components_of_classes(texts: DataFrame, signed: DataFrame, threshold: int,
         sets = stage(
             sets.join(met, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets", keep=True
         )
-    links, left = None, members
+    labels, left = None, members
     for _ in range(ROUNDS):
         found = stage(_verified(_round_links(left), sets, threshold), "verified")
-        links = found if links is None else links.union(found)
-        labels = components(links).withColumnRenamed("node", "cls")
-        left = left.drop("label").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        # In the first round each class has one link, to a smaller one; then links join the components found so far.
+        labels = roots(found) if labels is None else stage(merged(labels, components(found)), "labels")
+        left = left.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         left = stage(_open_buckets(left.select("slot", "key", "cls", "label")), "open")
     rest = stage(_rest(left, sets, threshold), "rest")
     if not rest.isEmpty():
-        labels = components(links.union(rest)).withColumnRenamed("node", "cls")
-    named = classes.select("cls", "first").join(labels, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
+        labels = merged(labels, components(rest))
+    named = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     named = stage(named, "named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return named.join(lowest, "label").select("cls", "component_id")
