@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlog.llm import cuckoo_index as ci
 from wardlog.llm import tensored_minhash as tm
-from wardlog.llm.components import components
+from wardlog.llm.components import components, merged, roots
 
 
 def brute_exact(rows):
@@ -126,3 +126,17 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500, 502: 500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_two_levels_of_labels_equal_components(spark):
+    """A forest, then links between its trees: roots and merged labels against the components of all edges."""
+    rng = random.Random(12)
+    forest = [(rng.randrange(b), b) for b in range(1, 120) if rng.random() < 0.8] + [(b - 1, b) for b in range(200, 240)]
+    trees = spark.createDataFrame(forest, "a long, b long")
+    low = roots(trees)
+    root = {r.node: r.label for r in low.collect()}
+    joins = {tuple(sorted((root.get(a, a), root.get(b, b)))) for a, b in [(3, 199), (5, 77), (41, 118), (230, 300), (400, 401)]}
+    links = spark.createDataFrame([j for j in joins if j[0] != j[1]], "a long, b long")
+    got = {r.node: r.label for r in merged(low, components(links)).collect()}
+    want = {r.node: r.label for r in components(trees.union(links)).collect()}
+    assert all(got.get(node, node) == label for node, label in want.items()) and set(got) <= set(want)
