@@ -212,7 +212,7 @@ def mutual_information(
     """Discrete mutual information (nats) of each column with the label, strongest first.
 
     Columns named in `binned` are cut at their exact quantiles first; the others are used as they
-    are. Everything works on the contingency counts.
+    are; missing values are a cell of their own. Everything works on the contingency counts.
     """
     binned = binned or []
     cuts = exact_quantiles(df, binned, [i / bins for i in range(1, bins)]) if binned else {}
@@ -222,7 +222,7 @@ def mutual_information(
         if c in cuts:
             steps = [(value > edge).cast("double") for edge in cuts[c].values()]
             value = F.when(value.isNotNull(), F.aggregate(F.array(*steps), F.lit(0.0), lambda a, b: a + b))
-        items.append(F.struct(F.lit(c).alias("feature"), F.coalesce(value, F.lit(0.0)).alias("value")))
+        items.append(F.struct(F.lit(c).alias("feature"), F.coalesce(value, F.lit(float("nan"))).alias("value")))
     cells = (
         df.select(F.col(label).cast("double").alias("_y"), F.inline(F.array(*items)))
         .groupBy("feature", "value", "_y")

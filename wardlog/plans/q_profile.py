@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlog.operators import profile as pf
 from wardlog.operators.heavy_hitters import heavy_hitters
+from wardlog.operators.information import neighbour_information
 from wardlog.plans.flat_sql import FEATURE_CTE
 from wardlog.plans.frames import feature_rows
 from wardlog.plans.registry import query, table
@@ -220,6 +221,40 @@ def mutual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.mutual_information(rows, "label", [*MI_FLAGS, "mixed"], ["mixed"], 10)
 
 
+NEIGHBOUR_COLUMNS = {
+    "uri_len": "uri_len", "user_agent_len": "user_agent_len", "bytes_sent": "bytes_sent", "status": "status", "user_id": "user_id",
+    "seconds": "epoch(ts)", "mixed": "CASE WHEN event_id % 13 <> 4 THEN severity_score * 1000 + uri_len + (event_id % 97) * 0.37::DOUBLE END", "severity_score": "severity_score",
+}
+
+
+def _psi(x: str) -> str:
+    s = f"({x} + 8)"
+    parts = " - ".join(f"1 / ({x} + {i})::DOUBLE" for i in range(8))
+    return f"(ln({s}) - 0.5 / {s} - 1 / (12 * {s} ** 2) + 1 / (120 * {s} ** 4) - 1 / (252 * {s} ** 6) + 1 / (240 * {s} ** 8) - {parts})"
+
+
+@query(
+    "neighbour_information",
+    f"""WITH {FEATURE_CTE}, p AS ("""
+    + _union(f"SELECT '{c}' AS feature, label AS y, coalesce(({sql})::DOUBLE, 0) AS x FROM feat" for c, sql in NEIGHBOUR_COLUMNS.items())
+    + f"""), w AS (SELECT feature, y, x, least(3, count(*) OVER (PARTITION BY feature, y) - 1) AS k, count(*) OVER (PARTITION BY feature, y) AS nc,
+      list(x) OVER (PARTITION BY feature, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM p),
+    g AS (SELECT *, list_sort([{{'d': abs(v - x), 'v': v}} for v in near])[k + 1] AS s FROM w WHERE nc > 1),
+    b AS (SELECT feature, y, x, k, nc, s.d AS d, CASE WHEN s.v > x THEN s.v ELSE x + s.d END AS hi,
+      CASE WHEN s.v < x THEN s.v ELSE x - s.d END AS lo, count(*) AS n FROM g GROUP BY ALL),
+    t AS (SELECT feature, x, sum(n)::BIGINT AS n FROM b GROUP BY ALL),
+    m AS (SELECT b.feature, b.y, b.x, b.k, b.nc, b.n, sum(t.n)::DOUBLE AS m FROM b JOIN t ON b.feature = t.feature
+      AND (t.x > b.lo OR b.d = 0 AND t.x = b.x) AND (t.x < b.hi OR b.d = 0 AND t.x = b.x) GROUP BY ALL)
+    SELECT feature, round(greatest(0, {_psi("sum(n)::DOUBLE")} + sum(n * ({_psi("k")} - {_psi("nc")} - {_psi("m")})) / sum(n)), 6)::DOUBLE AS mi_score
+    FROM m GROUP BY feature""",
+)
+def neighbour_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric request features ranked by the k-nearest-neighbour estimate; `mixed` has missing values."""
+    mixed = F.when(F.col("event_id") % 13 != 4, F.col("severity_score") * 1000 + F.col("uri_len") + (F.col("event_id") % 97) * 0.37)
+    rows = feature_rows(spark, sf_dir).withColumns({"seconds": F.col("ts").cast("timestamp").cast("double"), "mixed": mixed})
+    return neighbour_information(rows, "label", list(NEIGHBOUR_COLUMNS))
+
+
 @query(
     "eda_clean",
     """WITH d AS (SELECT DISTINCT * FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, user_id,
