@@ -29,12 +29,12 @@ def attack_window_counts(attacks: DataFrame, as_of: Column | None = None) -> Dat
     )
 
 
-def most_frequent(df: DataFrame, column: str) -> DataFrame:
-    """The most frequent non-empty value, ties by value."""
+def most_frequent(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """The most frequent non-empty value, ties by value. Rows may stand for `weight` equal ones."""
     return (
         df.where(F.col(column).isNotNull() & (F.col(column) != ""))
         .groupBy(column)
-        .agg(F.count("*").alias("total"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("total"))
         .orderBy(F.desc("total"), F.asc(column))
         .limit(1)
     )

@@ -1,10 +1,11 @@
-"""Queries: the event store with predictions, links and feedback arriving as changes, and the export that learns from them."""
+"""Queries: roll-ups of stores; the event store with predictions, links and feedback arriving as changes, and the export that learns from them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlog.operators import rollups as ru
 from wardlog.operators.labels import training_export
 from wardlog.plans.flat_sql import FLAGS, TYPED_CTE
 from wardlog.plans.frames import decided_rows
@@ -12,6 +13,7 @@ from wardlog.plans.q_attacks import CLICKS, LINKS, attack_links, clicks
 from wardlog.plans.registry import query
 from wardlog.session import scratch_path, stage
 from wardlog.sources import change_store as cs
+from wardlog.sources.datasets import write_attack_store, write_event_store
 
 LABELLED = f"""{TYPED_CTE}, {LINKS}, {CLICKS},
 labelled AS (SELECT d.*, l.attack_event_id, (c.action = 'attack_no') IS TRUE AS cleared, c.clicked_at
@@ -67,3 +69,42 @@ def feedback_export_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows straight from the store: the label is the feedback's, else that of the rules."""
     stored = cs.read_events(spark, labelled_store(spark, sf_dir))
     return training_export(stored.withColumnRenamed("event_id", "id"))
+
+
+def rolled_stores(spark: SparkSession, sf_dir: str) -> str:
+    """Path of an event and an attack store with roll-ups refreshed after each batch of attacks; the last batch has late rows of all
+    days, and batch 1 is first written short, then anew."""
+    path = scratch_path(spark, "rolled")
+    decided = stage(decided_rows(spark, sf_dir), "decided")
+    late = F.col("event_id") % 5 == 0
+    batches = [(0, ~late & (F.col("ts") < "2024-01-16")), (1, ~late & (F.col("ts") >= "2024-01-20")), (1, ~late & (F.col("ts") >= "2024-01-16")), (2, late)]
+    write_event_store(decided, f"{path}/events")
+    ru.refresh(spark, f"{path}/events", f"{path}/event-days", "timestamp")
+    for n, rows in batches:
+        write_attack_store(decided.where(rows), f"{path}/attacks", n)
+        ru.refresh(spark, f"{path}/attacks", f"{path}/attack-days", "detected_at", "attack_type", ("attacker_ip", "attack_url"), again=(n,))
+    return path
+
+
+@query(
+    "rolled_status",
+    f"""WITH {TYPED_CTE}, a AS (SELECT *, date_trunc('second', detected_at) AS second FROM attacks), m AS (SELECT max(second) AS now FROM a)
+    SELECT (SELECT count(*) FROM events) AS overall_logs, count(*) AS attack_logs,
+      (SELECT attack_type FROM attacks GROUP BY 1 ORDER BY count(*) DESC, attack_type LIMIT 1) AS most_attack_type,
+      count(*) FILTER (second >= date_trunc('day', now)) AS attacks_today, count(*) FILTER (second >= now - INTERVAL 7 DAY) AS attacks_last_week,
+      count(*) FILTER (second >= now - INTERVAL 30 DAY) AS attacks_last_month FROM a, m""",
+)
+def rolled_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rolled_stores(spark, sf_dir)
+    return ru.rolled_status(spark, f"{path}/event-days", f"{path}/attack-days", f"{path}/attacks", "detected_at")
+
+
+@query(
+    "rolled_distinct",
+    f"""WITH {TYPED_CTE} SELECT detected_at::DATE AS event_date, count(DISTINCT attacker_ip) AS attacker_ip, count(DISTINCT attack_url) AS attack_url
+    FROM attacks GROUP BY 1""",
+)
+def rolled_distinct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct attackers and addresses per day from merged sketches; days of few values are exact."""
+    path = rolled_stores(spark, sf_dir)
+    return ru.distinct_values(spark, f"{path}/attack-days", ["attacker_ip", "attack_url"], ["event_date"])

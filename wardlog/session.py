@@ -56,6 +56,21 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def numbered_folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folders `name=number` right below a path, by number: batches or versions of a store."""
+    if not exists(spark, path):
+        return {}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [str(f.getPath()) for f in found if f.isDirectory() and "=" in f.getPath().getName()]
+    return {int(name.rsplit("=", 1)[1]): name for name in names}
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Folders staged inside go at the end, but for those staged with `keep`, which belong to the scope around."""

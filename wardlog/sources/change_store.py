@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.operators.joins import dedup_latest_feedback
-from wardlog.session import remove, scratch, stage
+from wardlog.session import exists, numbered_folders, remove, scratch, stage
 from wardlog.sources.datasets import event_store_rows
 
 KEY = "event_id"
@@ -40,14 +40,9 @@ STATES = {**{c: [c] for c in CHANGEABLE if c not in LABEL}, "label": LABEL}
 LABEL_SOURCES = ("telegram", "manual", "weak_auto")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def latest_version(spark: SparkSession, path: str) -> tuple[int, int]:
     """Newest whole version of the store and the last batch merged into it; (-1, -1) before any compaction."""
-    if not _exists(spark, f"{path}/versions"):
+    if not exists(spark, f"{path}/versions"):
         return -1, -1
     listed = spark.read.schema("upto BIGINT, version INT").parquet(f"{path}/versions")
     newest = listed.agg(F.max(F.struct("version", "upto")).alias("v")).first().v
@@ -116,7 +111,7 @@ def feedback_changes(events: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def _batches(spark: SparkSession, path: str, kind: str, after: int, upto: int | None) -> DataFrame | None:
     """Batches of a kind with a number above `after`, up to `upto`; the numbers prune folders."""
-    if not _exists(spark, f"{path}/{kind}"):
+    if not exists(spark, f"{path}/{kind}"):
         return None
     wanted = F.col("batch_id") > after
     return spark.read.parquet(f"{path}/{kind}").where(wanted if upto is None else wanted & (F.col("batch_id") <= upto))
@@ -217,20 +212,11 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
     """
     if keep < 1:
         raise ValueError("keep must be >= 1")
-    if not _exists(spark, f"{path}/versions"):
+    if not exists(spark, f"{path}/versions"):
         return
     listed = spark.read.schema("upto BIGINT, version INT").parquet(f"{path}/versions")
     kept = listed.orderBy(F.desc("version")).limit(keep).agg(F.min(F.struct("version", "upto")).alias("v")).first().v
     for kind, limit in (("versions", kept.version - 1), ("base", kept.version - 1), ("waiting", kept.version - 1), ("rows", kept.upto), ("changes", kept.upto)):
-        for folder in _folders(spark, f"{path}/{kind}"):
-            if int(folder.rsplit("=", 1)[1]) <= limit:
+        for number, folder in numbered_folders(spark, f"{path}/{kind}").items():
+            if number <= limit:
                 remove(spark, folder)
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Folders `name=number` below a path; their number is that of the batches, not of rows."""
-    if not _exists(spark, path):
-        return []
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    return [str(f.getPath()) for f in found if f.isDirectory() and "=" in f.getPath().getName()]
