@@ -305,6 +305,12 @@ def test_splits_keep_rows_without_label(rows_of):
     assert mt.stratified_folds(df, ["id"]).count() == 40
 
 
+def test_split_moves_no_rows(spark):
+    df = spark.range(200).withColumn("label", F.col("id") % 2)
+    plan = mt.stratified_split(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_sample_is_the_first_rows_in_hash_order(spark):
     df = spark.range(300)
     want = {r.id for r in df.orderBy(rk.hash_key(42, "id"), "id").limit(37).collect()}
