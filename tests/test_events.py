@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlog.functions import scalars as S
 from wardlog.operators.attack import attack_type_of_event, log_attack_types
 from wardlog.operators.flatten import audit_features, flatten_transaction, normalize_transaction, request_features
+from wardlog.plans import driver_log
 from wardlog.sources.audit_json import good_transactions, parse_audit_lines, parse_report, read_audit_json
 from wardlog.sources.audit_text import parse_audit_blocks, read_audit_text
 from wardlog.sources.datasets import read_csv, read_dataset, write_dataset
@@ -215,3 +216,11 @@ def test_sections_end_at_their_own_hash(spark):
     bare = "--cd34-A--\n[05/Jan/2024:00:00:00 +0000] cd34 9.9.9.9 1 5.6.7.8 80\n--cd34"
     rows = parse_audit_blocks(spark.createDataFrame([(block,), (bare,)], "value string")).collect()
     assert sorted((r.uri, r.source_ip, r.is_blocked) for r in rows) == [("/", "9.9.9.9", False), ("/x--a-Boo--cd-C--", "1.2.3.4", True)]
+
+
+def test_log_files_follow_the_events(spark, sf_dir, monkeypatch):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    monkeypatch.setattr(driver_log, "FILE_EVENTS", -(-events // 9))
+    monkeypatch.setattr(driver_log, "_STAGED", {})
+    lines = driver_log.audit_lines(spark, sf_dir)
+    assert len(lines.inputFiles()) == 9 and lines.count() == events
