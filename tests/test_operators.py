@@ -311,6 +311,16 @@ def test_split_moves_no_rows(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_scores_are_made_once_for_all_metrics(spark, monkeypatch):
+    judged = []
+    monkeypatch.setattr(ml, "prepare_training", lambda df: df)
+    monkeypatch.setattr(ml, "score_batch", lambda model, df, *a, **k: df.withColumns({"probability": F.rand(), "prediction": F.lit(1)}))
+    monkeypatch.setattr(ml, "classification_metrics", judged.append)
+    ml.evaluate(None, spark.range(20).select((F.col("id") % 2).alias("label")))
+    plan = judged[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "rand(" not in plan and judged[0].count() == 20
+
+
 def test_sample_is_the_first_rows_in_hash_order(spark):
     df = spark.range(300)
     want = {r.id for r in df.orderBy(rk.hash_key(42, "id"), "id").limit(37).collect()}
