@@ -311,6 +311,22 @@ def test_split_moves_no_rows(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("sent", [100, 5])
+def test_audience_is_spread_over_tasks(spark, monkeypatch, sent):
+    monkeypatch.setattr(jn, "AUDIENCE_ROWS", sent)
+    monkeypatch.setattr(jn, "AUDIENCE_BLOCK", 7)
+    monkeypatch.setattr(jn, "TASK_PAIRS", 100)
+    alerts = spark.range(60, numPartitions=1).select(F.col("id").alias("attack_event_id"), (F.col("id") / 60).alias("probability"))
+    users = spark.range(40).select(
+        F.col("id").alias("telegram_chat_id"), F.lit("x").alias("email"), (F.col("id") / 40).alias("min_probability"),
+        F.lit(True).alias("is_subscribed"), F.lit(True).alias("verified"),
+    )
+    got = jn.alert_audience(alerts, users)
+    assert got.columns == ["attack_event_id", "probability", "telegram_chat_id", "email", "min_probability"]
+    assert sorted((r.attack_event_id, r.telegram_chat_id) for r in got.collect()) == [(a, u) for a in range(60) for u in range(40) if a / 60 >= u / 40]
+    assert sent < 40 or got.rdd.getNumPartitions() == 24
+
+
 def test_scores_are_made_once_for_all_metrics(spark, monkeypatch):
     judged = []
     monkeypatch.setattr(ml, "prepare_training", lambda df: df)
