@@ -55,6 +55,26 @@ def test_word_ids_equal_the_library(public):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_rare_words_do_not_displace_known_ones(public):
+    words, asked = hp.WordIds(hp.VOCABULARY), []
+
+    class Model:
+        def tokenize(self, letters, real=words.model):
+            asked.append(letters)
+            return real.tokenize(letters)
+
+    words.model = Model()
+    for _ in range(3):
+        words.encode("Häuser, 'houses'")
+    assert "häuser," in words  # one look-up, letters and marks together
+    asked.clear()
+    words.encode("Häuser, 'houses'")
+    assert not asked
+    rare = " ".join(f"{a}{b}{c}q" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz")
+    words.encode(rare)
+    assert sum(w in words for w in rare.split()) < 30
+
+
 def test_packing_is_a_round_trip(docs_of, odd_rows, public):
     import zlib
 

@@ -35,11 +35,13 @@ from wardlog.session import stage
 MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of the pretokens whose ids a worker keeps, and the longest pretoken that is kept.
-CACHED_BYTES = 16 << 20
+#: Bytes of the words whose ids a worker keeps, and the longest word that is kept.
+CACHED_BYTES = 24 << 20
 CACHED_CHARS = 48
-#: What an entry takes besides its characters and ids: two objects and a place in the table.
-ENTRY_BYTES = 190
+#: What an entry takes besides its characters and ids: the heads of two objects and a place in the table.
+ENTRY_BYTES = 130
+#: Marks of words seen once, by hash: a word is kept from its second sight on, so that rare ones don't displace others.
+MARKS = 1 << 18
 #: Pieces in a bucket in which ranks are numbered by one sort.
 RANK_ROWS = 16_384
 
@@ -57,7 +59,11 @@ PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0
 
 
 class WordIds(dict):
-    """Ids of lower-cased pretokens as little-endian bytes, filled by the library's model and emptied by halves."""
+    """Ids of lower-cased words as little-endian bytes, filled by the library's model and emptied by halves.
+
+    A word lies between white space, which no pretoken holds. One of several pretokens is joined from theirs, which are
+    words too; so a known word costs one look-up, whatever stands around its letters.
+    """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -67,34 +73,45 @@ class WordIds(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.filled = 0
+        self.seen = bytearray(MARKS)
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: The model's letters for the bytes of each character of PLAIN beyond ASCII.
+        self.letters = {c: as_letters(chr(c))[0][0] for c in range(0xC0, 0x100) if PLAIN.fullmatch(chr(c))}
 
-    def __missing__(self, token: str) -> bytes:
-        ids = self.older.get(token)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
         if ids is None:
-            letters = token if token.isascii() else self.bytes_as_letters(token)[0][0]
-            found = self.model.tokenize(letters)
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        if len(token) <= CACHED_CHARS:
+            tokens = PRETOKENS.findall(word)
+            if len(tokens) == 1:
+                found = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            else:
+                ids = b"".join(map(self.__getitem__, tokens))
+            mark = hash(word) % MARKS
+            if not self.seen[mark]:
+                self.seen[mark] = 1
+                return ids
+        if len(word) <= CACHED_CHARS:
             if self.filled >= CACHED_BYTES // 2:
                 self.older, self.filled = dict(self), 0
                 self.clear()
-            self.filled += ENTRY_BYTES + len(token) + len(ids)
-            self[token] = ids
+                self.seen = bytearray(MARKS)
+            self.filled += ENTRY_BYTES + len(word) + len(ids)
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. Other characters and special tokens go through the whole tokenizer, word by word: no
         token of this vocabulary spans white space."""
         if PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
-            return b"".join(map(self.__getitem__, PRETOKENS.findall(text.lower())))
+            return b"".join(map(self.__getitem__, text.lower().split()))
         parts = []
         for word in words_of(text):
             if PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
-                parts += map(self.__getitem__, PRETOKENS.findall(word.lower()))
+                parts.append(self[word.lower()])
             else:
                 parts.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
         return b"".join(parts)
