@@ -37,3 +37,31 @@ def test_scratch_removes_what_is_not_kept(spark):
         files = kept.inputFiles()
     assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
     assert ss.stage(spark.range(6), "outside").count() == 6
+
+
+def test_memory_goes_back_before_the_next_operators_task(monkeypatch):
+    from functools import lru_cache
+
+    from wardlog.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append(f"back, {held.cache_info().currsize} kept"))
+
+    @lru_cache
+    def held():
+        return object()
+
+    @common.tidy(kept=(held,))
+    def first(rows):
+        held()
+        yield from rows
+
+    @common.tidy()
+    def second(rows):
+        said.append("begins")
+        yield from rows
+
+    list(first([1]))
+    list(first([1]))
+    list(second([1]))
+    assert said == ["back, 1 kept", "back, 1 kept", "back, 0 kept", "begins", "back, 0 kept"]

@@ -66,18 +66,30 @@ Batches = Iterator[pa.RecordBatch]
 _KEPT: set[Callable] = set()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(*stores: Callable, kept: tuple[Callable, ...] = ()) -> Callable:
     """Empties the named stores and gives memory back to the system when a task ends.
 
     A Python worker serves many operators after each other; what one of them keeps would burden the others. Stores in
-    `kept`, which are dear to fill, stay for further tasks of the operator and go when a task of another one begins.
+    `kept`, which are dear to fill, stay for further tasks of the operator and go when a task of another one begins,
+    before that task takes memory of its own.
     """
 
     def around(work: Callable[..., Batches]) -> Callable[..., Batches]:
         @wraps(work)
         def run(*args) -> Batches:
-            for other in _KEPT.difference(kept):
-                other.cache_clear()
+            if left := _KEPT.difference(kept):
+                for other in left:
+                    other.cache_clear()
+                give_back()
             _KEPT.clear()
             _KEPT.update(kept)
             try:
@@ -85,11 +97,7 @@ def tidy(*stores: Callable, kept: tuple[Callable, ...] = ()) -> Callable:
             finally:
                 for store in stores:
                     store.cache_clear()
-                gc.collect()
-                pa.default_memory_pool().release_unused()
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-                if trim:
-                    trim(0)
+                give_back()
 
         return run
 
