@@ -75,6 +75,34 @@ def test_rare_words_do_not_displace_known_ones(public):
     assert sum(w in words for w in rare.split()) < 30
 
 
+def test_blocks_of_texts_equal_the_library(public, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(public(hp.VOCABULARY)), hp.BlockIds(hp.VOCABULARY)
+    texts = odd_texts(3, "aB'sS@#-_~ÀßÐ'tTΣΑς̧́\x00\x1c\x85\xa0\t\n\x0b\x0c İ12.,!क़") + ["a<|endoftext|>b <|startoftext|>", "İstanbul's don't WE'LL", "", " \n"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)] == want
+    monkeypatch.setattr(hp, "BLOCK_BYTES", 40)  # short blocks, long texts cut at white space
+    monkeypatch.setattr(hp, "KEPT_BYTES", 2000)  # kept units make room
+    again = hp.BlockIds(hp.VOCABULARY)
+    longer = [" ".join(texts[at : at + 9]) for at in range(0, 900, 9)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in again.encode(texts + longer)][: len(want)] == want
+    assert list(again.encode(longer)) == list(words.encode(longer))
+    assert again.units.nbytes + again.bounds.nbytes + again.ids.nbytes < 4000
+    assert list(words.encode([])) == []
+
+
+def test_a_block_cuts_each_unit_once(public):
+    words, asked = hp.BlockIds(hp.VOCABULARY), []
+    cut = words.words.cut
+    words.words.cut = lambda token: asked.append(token) or cut(token)
+    list(words.encode(["Häuser, 'houses'", "häuser! houses, HÄUSER", "houses"]))
+    assert sorted(asked) == ["!", "'", ",", "houses", "häuser"]
+    asked.clear()
+    list(words.encode(["(houses), häuser"]))
+    assert asked == ["(", "),"]
+
+
 def test_packing_is_a_round_trip(docs_of, odd_rows, public):
     import zlib
 

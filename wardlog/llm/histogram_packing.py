@@ -1,6 +1,6 @@
 """Best-fit packing planned on the histogram of lengths.
 
-Texts are tokenized once inside their tasks and cut into pieces of at most `MAX_LENGTH` ids; a piece row carries its
+Texts are tokenized once inside their tasks, a block at a time, and cut into pieces of at most `MAX_LENGTH` ids; a piece row carries its
 length and checksum, not its ids, and is written to the shared folder. Only the number of pieces of each length (at
 most `MAX_LENGTH` rows, whatever the corpus) goes to the driver. Best-fit decreasing runs on these counts: sequences
 that look alike form one interval of sequence numbers, and a step gives one length to a whole interval at once, or
@@ -21,10 +21,12 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +37,10 @@ from wardlog.session import stage
 MAX_LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of the words whose ids a worker keeps, and the longest word that is kept.
+#: Bytes of text that are cut at once, and of the units whose ids a worker keeps as arrays.
+BLOCK_BYTES = 2 << 20
+KEPT_BYTES = 12 << 20
+#: Bytes of the words whose ids are kept one by one, and the longest word that is kept.
 CACHED_BYTES = 24 << 20
 CACHED_CHARS = 48
 #: What an entry takes besides its characters and ids: the heads of two objects and a place in the table.
@@ -56,6 +61,10 @@ PLAN_DDL = "length long, rank_from long, rank_to long, sequence_from long, copie
 PLAIN = re.compile("[\\x09-\\x0D\\x20-\\x7EÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary's own rule for cutting lower-cased text, written for the characters of PLAIN: fixed value.
 PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: Stands before words for the whole tokenizer; no pretoken of PLAIN holds it.
+ODD = "\0"
+#: White space of `words_of`.
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 class WordIds(dict):
@@ -81,15 +90,20 @@ class WordIds(dict):
         #: The model's letters for the bytes of each character of PLAIN beyond ASCII.
         self.letters = {c: as_letters(chr(c))[0][0] for c in range(0xC0, 0x100) if PLAIN.fullmatch(chr(c))}
 
+    def cut(self, token: str) -> bytes:
+        """Ids of one pretoken by the library's model."""
+        found = self.model.tokenize(token if token.isascii() else token.translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def whole(self, word: str) -> bytes:
+        """Ids of a word that holds other characters or special tokens, by the whole tokenizer."""
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             tokens = PRETOKENS.findall(word)
-            if len(tokens) == 1:
-                found = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
-                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            else:
-                ids = b"".join(map(self.__getitem__, tokens))
+            ids = self.cut(word) if len(tokens) == 1 else b"".join(map(self.__getitem__, tokens))
             mark = hash(word) % MARKS
             if not self.seen[mark]:
                 self.seen[mark] = 1
@@ -113,23 +127,116 @@ class WordIds(dict):
             if PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
                 parts.append(self[word.lower()])
             else:
-                parts.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+                parts.append(self.whole(word))
         return b"".join(parts)
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of runs laid end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+class BlockIds:
+    """Ids of many texts at once: each distinct word of a block is cut once, each unit new to the worker is looked up once.
+
+    A unit is a pretoken or, behind the mark `ODD`, a word for the whole tokenizer. Units and ids lie in arrays, about 35 bytes
+    each; when `KEPT_BYTES` are full, those of the present block stay.
+    """
+
+    def __init__(self, vocabulary: str):
+        self.words = WordIds(vocabulary)
+        self.plain = f"^{PLAIN.pattern}$"
+        self.tokens = f"({PRETOKENS.pattern})".replace(r"\s", r"\x09-\x0D\x20")
+        self.units, self.bounds, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct units among the kept ones; new ones are looked up and kept."""
+        if self.units.nbytes + self.bounds.nbytes + self.ids.nbytes > KEPT_BYTES:
+            held = pc.is_in(self.units, value_set=units).to_numpy(zero_copy_only=False)
+            sizes = np.diff(self.bounds)[held]
+            self.ids = self.ids[_runs(self.bounds[:-1][held], sizes)]
+            self.units, self.bounds = self.units.filter(pa.array(held)), np.concatenate([[0], np.cumsum(sizes)])
+        places = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = places < 0
+        if new.any():
+            fresh = units.filter(pa.array(new))
+            texts = fresh.to_numpy(zero_copy_only=False).tolist()
+            cut = [self.words.whole(t[1:]) if t[:1] == ODD else self.words.cut(t) for t in texts]
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut)) // 4
+            places[new] = np.arange(len(self.units), len(self.units) + len(texts))
+            self.units = pa.concat_arrays([self.units, fresh])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(cut), "<u4")])
+        return places
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and the number of each."""
+        odd = pc.invert(pc.match_substring_regex(words, self.plain))
+        for special in self.words.specials:
+            odd = pc.or_(odd, pc.match_substring(words, special))
+        apart = pc.replace_substring_regex(pc.utf8_lower(words), self.tokens, r"\1 ")
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.if_else(odd, pc.binary_join_element_wise(ODD, words, ""), apart)))
+        units = split.flatten().dictionary_encode()
+        at = self._places(units.dictionary)[units.indices.to_numpy()]
+        sizes = np.diff(self.bounds)[at]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[_runs(self.bounds[:-1][at], sizes)], np.diff(before[split.offsets.to_numpy()])
+
+    def _of_block(self, texts: list[str]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(texts, pa.string())))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        ids, sizes = self._of_words(words.dictionary)
+        starts, at = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        sizes = sizes[at]
+        before = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()].tolist()
+        found = ids[_runs(starts[at], sizes)]
+        pa.default_memory_pool().release_unused()  # else the pool holds on to what the largest block took
+        return [found[a:b].tobytes() for a, b in zip(before, before[1:])]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in blocks of about `BLOCK_BYTES`; a longer text is cut at white space."""
+        block, filled = [], 0
+        for text in texts:
+            if len(text) > BLOCK_BYTES:
+                yield from self._of_block(block)
+                block, filled = [], 0
+                yield b"".join(self._of_block([part])[0] for part in parts_of(text, BLOCK_BYTES))
+                continue
+            block.append(text)
+            filled += len(text)
+            if filled >= BLOCK_BYTES:
+                yield from self._of_block(block)
+                block, filled = [], 0
+        yield from self._of_block(block)
+
+
+def parts_of(text: str, longest: int) -> Iterator[str]:
+    """Parts of a text, cut at the first white space after so many characters."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + longest)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
-def _word_ids(vocabulary: str) -> WordIds:
-    return WordIds(vocabulary)
+def _block_ids(vocabulary: str) -> BlockIds:
+    return BlockIds(vocabulary)
 
 
-@tidy(kept=(_word_ids,))
+@tidy(kept=(_block_ids,))
 def _cut(batches: Batches, vocabulary: str, longest: int) -> Batches:
     """Pieces of each (doc_id, text) row: length and checksum of the ids."""
-    known, end = _word_ids(vocabulary), np.array([END_ID], "<u4").tobytes()
+    known, end = _block_ids(vocabulary), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = known.encode(text) + end
+        texts = (text.as_py() for text in batch.column("text"))
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), known.encode(texts), strict=True):
+            ids = found + end
             for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                 part = ids[at : at + 4 * longest]
                 out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
