@@ -11,7 +11,7 @@ from wardlog.llm import bit_slices as bs
 from wardlog.llm import queries as corpus
 from wardlog.llm import source_schedule
 from wardlog.llm import url_language as ul
-from wardlog.llm.common import prepare
+from wardlog.llm.common import prepare, table
 
 VECTOR = "vec_id long, embedding array<float>, label string, q string, block int"
 
@@ -228,3 +228,13 @@ def test_pipeline_decides_rows_by_id_and_text(spark, docs_of):
 def test_registered_names():
     numbers = sorted(int(name[2:].split("_")[0]) for name in corpus.QUERIES)
     assert numbers == list(range(1, 14)) and set(corpus.ORACLES) <= set(corpus.QUERIES)
+
+
+def test_texts_are_read_in_small_batches(spark, tmp_path):
+    """A batch of the reader holds its texts as one array; 4,096 rows of it burden the heap."""
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(2000).selectExpr("id AS doc_id", "repeat('long text ', 50) AS text").coalesce(1).write.parquet(path)
+    docs = table(spark, str(tmp_path), "documents")
+    assert len(docs.collect()) == 2000
+    reader = docs._jdf.queryExecution().executedPlan().child()
+    assert reader.metrics().apply("numInputBatches").value() == 4

@@ -22,8 +22,10 @@ TO_BLANK = {c: " " for c in range(9, 14)}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the library, and Arrow batches that stay small when texts are very long."""
+    """Session settings of the library, and batches that stay small when texts are very long: those that Parquet's reader
+    fills lie in the executor's heap as few large arrays, which it grows by doubling."""
     configure(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
