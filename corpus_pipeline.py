@@ -4,6 +4,7 @@ A stage function takes (spark, docs, sf_dir) and returns documents with the colu
 returns packed pieces instead. Decisions are written to the shared folder first, so that their size is known when they
 are joined to the texts. A decision names a row by id and text, so rows that share an id but hold different texts are
 decided one by one, and so are rows without an id. Rows that repeat id and text become one row in exact deduplication.
+Each stage begins with executors' heaps that hold no free memory of the stage before.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.llm import cuckoo_index, histogram_packing, language_fusion, source_schedule, tensored_minhash
-from wardlog.llm.common import SPACE, prepare, table, text_of
+from wardlog.llm.common import SPACE, prepare, shrink_heaps, table, text_of
 from wardlog.session import remove, scratch, scratch_path, stage
 
 #: The stages are iterative and tested against a brute-force run; SQL can't express them.
@@ -54,6 +55,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in none of the languages, or whose language stays open."""
+    shrink_heaps(spark)
     with scratch(spark):
         found = language_fusion.identify(_named(docs)).where("NOT kept")
         gone = stage(found.select(F.col("doc_id").alias(_fresh(docs, "row_key"))).distinct(), "gone", keep=True)
@@ -62,6 +64,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of equal texts, once."""
+    shrink_heaps(spark)
     own = _fresh(docs, "digest")
     with scratch(spark):
         found = stage(cuckoo_index.dedup(docs), "copies")
@@ -76,6 +79,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates (five words, 0.8)."""
+    shrink_heaps(spark)
     with scratch(spark):
         found = tensored_minhash.near_duplicates(_named(docs)).select("doc_id", "component_id")
         ids = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("id"))
@@ -89,6 +93,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents as the mix takes them: a pass counts if it takes at least half of the words."""
+    shrink_heaps(spark)
     own, key = _fresh(docs, "copies"), _fresh(docs, "row_key")
     with scratch(spark):
         mixed = source_schedule.mix(_named(docs))
@@ -102,6 +107,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2048 tokens."""
+    shrink_heaps(spark)
     return histogram_packing.pack(docs)
 
 

@@ -1,17 +1,20 @@
 import math
 import random
+import weakref
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wardlog.llm import bit_slices as bs
+from wardlog.llm import language_fusion as lf
 from wardlog.llm import queries as corpus
 from wardlog.llm import source_schedule
 from wardlog.llm import url_language as ul
-from wardlog.llm.common import prepare, table
+from wardlog.llm.common import ARROW_BYTES, prepare, table
 
 VECTOR = "vec_id long, embedding array<float>, label string, q string, block int"
 
@@ -238,3 +241,45 @@ def test_texts_are_read_in_small_batches(spark, tmp_path):
     assert len(docs.collect()) == 2000
     reader = docs._jdf.queryExecution().executedPlan().child()
     assert reader.metrics().apply("numInputBatches").value() == 4
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    """500 long texts are no single batch."""
+    texts = prepare(spark).range(0, 400, 1, 1).selectExpr("repeat('long text ', 2000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    got = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.size for r in got) < 2 * ARROW_BYTES
+
+
+def test_stages_begin_with_small_heaps(spark, docs_of):
+    """A stage has the heaps collected in full, so that what the stage before left free is no longer taken."""
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    docs = docs_of([(1, "the house of the people was in the town", "en", "a")])
+    for name, work in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in beans)
+        work(spark, docs, "").count()
+        assert sum(b.getCollectionCount() for b in beans) > before, name
+
+
+def test_language_scores_hold_one_text_at_a_time(monkeypatch):
+    """The trigrams of all texts of a batch take eight times its bytes."""
+    made, most, plain = [], [], lf.trigrams
+
+    def counted(text):
+        grams = plain(text)
+        made[:] = [r for r in made if r() is not None] + [weakref.ref(grams)]
+        most.append(len(made))
+        return grams
+
+    monkeypatch.setattr(lf, "trigrams", counted)
+    model = np.random.default_rng(3).random((lf.BUCKETS, len(lf._CLASSES)))
+    texts = ["the house of the people", "", "12", "les gens de la maison"] * 8
+    sizes, means = lf._means(pa.array(texts), model)
+    assert max(most) <= 2
+    want = [plain(t) for t in texts]
+    assert sizes == [len(g) for g in want]
+    assert np.array_equal(means, [model[g].mean(axis=0) if len(g) else np.zeros(len(lf._CLASSES)) for g in want])

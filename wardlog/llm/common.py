@@ -19,17 +19,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The same white space as a table for `bytes.translate` and `str.translate`.
 TO_BLANK = {c: " " for c in range(9, 14)}
+#: Bytes at which a batch of rows for Python ends; one row may be larger.
+ARROW_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and batches that stay small when texts are very long: those that Parquet's reader
-    fills lie in the executor's heap as few large arrays, which it grows by doubling."""
+    fills lie in the executor's heap as few large arrays, which it grows by doubling. Batches for Python end at 500 rows or
+    `ARROW_BYTES`, whichever comes first; else 500 long texts would stand in the executor and its worker at once."""
     configure(spark)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors' heaps return what is free in them to the system, which a JVM does after a full collection at the earliest.
+
+    There is a task per core, so that idle executors get some each; one that gets none keeps its heap as it is.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,16 +96,16 @@ def tidy(*stores: Callable, kept: tuple[Callable, ...] = ()) -> Callable:
 
     A Python worker serves many operators after each other; what one of them keeps would burden the others. Stores in
     `kept`, which are dear to fill, stay for further tasks of the operator and go when a task of another one begins,
-    before that task takes memory of its own.
+    before that task takes memory of its own. Memory is also given back before each task, since functions on groups
+    run in the same workers without this.
     """
 
     def around(work: Callable[..., Batches]) -> Callable[..., Batches]:
         @wraps(work)
         def run(*args) -> Batches:
-            if left := _KEPT.difference(kept):
-                for other in left:
-                    other.cache_clear()
-                give_back()
+            for other in _KEPT.difference(kept):
+                other.cache_clear()
+            give_back()
             _KEPT.clear()
             _KEPT.update(kept)
             try:

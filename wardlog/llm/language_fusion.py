@@ -89,6 +89,17 @@ def text_model(rows: DataFrame) -> np.ndarray | None:
     return logs
 
 
+def _means(texts: pa.Array, model: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Number of trigrams and mean log-likelihood per class of each text; trigrams of one text at a time are held."""
+    sizes, means = [], np.zeros((len(texts), len(_CLASSES)))
+    for at, text in enumerate(texts):
+        grams = trigrams(text.as_py())
+        sizes.append(len(grams))
+        if len(grams):
+            means[at] = model[grams].mean(axis=0)
+    return sizes, means
+
+
 def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """doc_id, declared, host, n_grams and the mean log-likelihood per class."""
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -96,10 +107,9 @@ def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
     @tidy()
     def score(batches: Batches) -> Batches:
         for batch in batches:
-            grams = [trigrams(t) for t in batch.column("text").to_pylist()]
-            means = np.array([held.value[g].mean(axis=0) if len(g) else np.zeros(len(_CLASSES)) for g in grams]).reshape(-1, len(_CLASSES))
+            sizes, means = _means(batch.column("text"), held.value)
             columns = {n: batch.column(n) for n in ("doc_id", "declared", "host")} | {f"t_{c}": means[:, i] for i, c in enumerate(_CLASSES)}
-            yield as_batch(_SCORES, n_grams=[len(g) for g in grams], **columns)
+            yield as_batch(_SCORES, n_grams=sizes, **columns)
 
     return rows.select("doc_id", "declared", "host", "text").mapInArrow(score, _DDL)
 
