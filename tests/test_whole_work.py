@@ -13,3 +13,14 @@ def test_shared_model_is_fitted_on_the_whole_training_part(spark, monkeypatch):
     monkeypatch.setattr(q.ml, "train_attack_model", lambda df: fitted.append((df.count(), df.agg(F.max("event_id")).first()[0])))
     q.shared_model(spark, "anywhere")
     assert fitted == [(25_000, 24_999)]
+
+
+def test_importance_is_that_of_the_whole_training_part(spark, monkeypatch):
+    ranked = []
+    rows = spark.range(26_000).select(F.col("id").alias("event_id"), F.when(F.col("id") < 25_000, "train").otherwise("test").alias("split"))
+    monkeypatch.setattr(q, "_MODELS", {})
+    monkeypatch.setattr(q, "split_rows", lambda *_: rows)
+    monkeypatch.setattr(q.ml, "train_attack_model", lambda df: df.count())
+    monkeypatch.setattr(q.ml, "feature_importance", lambda model, df: ranked.append((model, df.count())) or spark.createDataFrame([("a", 0.6), ("b", 0.4)], "feature string, importance double"))
+    assert q.importance_query(spark, "anywhere").first().asDict() == {"features": 2, "ranked": True}
+    assert ranked == [(25_000, 26_000)]
