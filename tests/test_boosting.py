@@ -93,3 +93,61 @@ def test_penalties_shrink(spark, sample):
 
     assert total(l1=1e9) == 0 and 0 < total(l2=1000.0) < total()
     assert bo.train(sample[3], ["id"], bo.Settings(rounds=1, depth=2, gamma=1e9)).splits(spark).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("at_once", "settings"),
+    [
+        (2_000_000, bo.Settings(rounds=3, depth=4, rate=0.3, rows=1, columns=0.6, bins=8)),
+        (30, bo.Settings(rounds=4, depth=5, rate=0.2, l1=0.5, l2=3.0, gamma=0.2, least_weight=2.0, rows=1, columns=1, bins=16)),
+    ],
+)
+def test_trees_of_one_task_equal_those_of_the_table(spark, sample, settings, at_once, monkeypatch):
+    monkeypatch.setattr(bo, "SUMMED_CELLS", at_once)
+    rows = sample[3].drop("id")
+    rows = rows.union(rows.where("label = 1")).union(rows.where("weight > 1"))  # equal rows count each
+    packed = bo.fit(rows, settings)
+    monkeypatch.setattr(bo, "TASK_CELLS", 0)
+    table = bo.fit(rows, settings)
+    assert isinstance(packed.trees[0], bo.PackedTree) and isinstance(table.trees[0], bo.Tree)
+    assert [e.tolist() for e in packed.edges] == [e.tolist() for e in table.edges]
+    for small, tree in zip(packed.trees, table.trees, strict=True):
+        reached, heap = [0], {0: 0}
+        for node in reached:
+            place = heap[node]
+            assert (small.feature[node], small.cut[node] if small.feature[node] >= 0 else 0) == (tree.feature[place], tree.cut[place])
+            assert small.gain[node] == pytest.approx(tree.gain[place], abs=1e-12) and small.weight[node] == pytest.approx(tree.weight[place], abs=1e-12)
+            if small.feature[node] >= 0:
+                for side in (0, 1):
+                    heap[int(small.left[node]) + side] = 2 * place + 1 + side
+                    reached.append(int(small.left[node]) + side)
+        assert len(reached) == len(small.feature)
+    assert any(len(t.feature) > 3 for t in packed.trees)
+
+
+def test_areas_are_equal_in_a_task_and_over_the_table(spark, sample, monkeypatch):
+    train, held = sample[3].where("id % 4 > 0").drop("id"), sample[3].where("id % 4 = 0").drop("id")
+    settings = [bo.Settings(rounds=2, depth=2, rate=0.3, rows=1, columns=1, bins=16), bo.Settings(rounds=3, depth=3, rate=0.3, rows=1, columns=0.7, bins=16), bo.Settings(rounds=1, depth=2, gamma=1e9, bins=16)]
+    one = bo.areas(train, held, settings)
+    monkeypatch.setattr(bo, "TASK_CELLS", 0)
+    assert bo.areas(train, held, settings) == pytest.approx(one, abs=1e-9)
+    assert one[0] > 0.8 and one[2] == 0.5
+
+
+def test_area_of_counted_rows():
+    margin, label, copies = np.array([0.1, 0.4, 0.4, 0.9, 0.2]), np.array([0, 1, 0, 1, 1]), np.array([3, 1, 2, 2, 5])
+    pairs = [(p, n) for p, y, c in zip(margin, label, copies) if y for _ in range(c) for n, z, d in zip(margin, label, copies) if not z for _ in range(d)]
+    assert bo.area(margin, label, copies) == pytest.approx(sum(1.0 if p > n else 0.5 if p == n else 0.0 for p, n in pairs) / len(pairs))
+    assert bo.area(margin, np.ones(5), copies) == 0.5
+
+
+def test_copies_are_drawn_by_the_share():
+    data = bo.Counted([np.array([1.0])], np.array([[0], [1]], np.uint8), np.array([0.0, 1.0]), np.array([1.0, 1.0]), np.array([1000, 1000]))
+    trees, _ = bo.grow(data, bo.Settings(rounds=40, depth=1, rate=0.0, l2=0.0, rows=0.6, columns=1))
+    gains = np.array([t.gain[0] for t in trees])  # at margin 0 both sides together gain the half of the drawn copies
+    assert len(set(gains)) > 20 and abs(gains.mean() * 2 / 2000 - 0.6) < 0.01
+
+
+def test_sums_beyond_float_range_are_exact():
+    big = np.array([2**55 + 1, -(2**54) - 3, 7], np.int64)
+    assert bo._sums(np.array([0, 0, 1]), big, 2, False).tolist() == [2**55 - 2**54 - 2, 7]
