@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from wardlog.operators import boosting as bo
 
@@ -151,3 +153,72 @@ def test_copies_are_drawn_by_the_share():
 def test_sums_beyond_float_range_are_exact():
     big = np.array([2**55 + 1, -(2**54) - 3, 7], np.int64)
     assert bo._sums(np.array([0, 0, 1]), big, 2, False).tolist() == [2**55 - 2**54 - 2, 7]
+
+
+def plain_gini(bins, edges, label, weight, copies, s):
+    """One tree of (feature, cut, share of class 1) per heap node, all copies and features used."""
+    tree = {}
+
+    def impurity(here):
+        p = (weight * copies * label)[here].sum() / (weight * copies)[here].sum()
+        return 2 * p * (1 - p) * (weight * copies)[here].sum()
+
+    def grow(at, here, depth):
+        best = None
+        for f in range(len(edges)) if depth < s.depth else []:
+            for b in range(1, len(edges[f]) + 1):
+                low, high = here & (bins[:, f] < b), here & (bins[:, f] >= b)
+                if (here & (bins[:, f] == b)).any() and copies[low].sum() >= max(1, s.least_rows) and copies[high].sum() >= s.least_rows:
+                    gain = (impurity(here) - impurity(low) - impurity(high)) / (weight * copies)[here].sum()
+                    if gain > 1e-12 and (best is None or gain > best[2] + 1e-12):
+                        best = (f, b, gain)
+        tree[at] = (*(best[:2] if best else (-1, 0)), (weight * copies * label)[here].sum() / (weight * copies)[here].sum())
+        if best:
+            for side, part in enumerate((bins[:, best[0]] < best[1], bins[:, best[0]] >= best[1])):
+                grow(2 * at + 1 + side, here & part, depth + 1)
+
+    grow(0, np.ones(len(bins), bool), 0)
+    return tree
+
+
+@pytest.mark.parametrize("least", [1, 9])
+def test_a_forest_tree_equals_the_plain_version(sample, least):
+    x, label, weight, _ = sample
+    x = x[:, [0, 1, 2, 4]]
+    edges = [np.quantile(x[~np.isnan(x[:, i]), i], [0.2, 0.4, 0.6, 0.8]) for i in range(4)]
+    edges = [np.unique(e[e > np.nanmin(x[:, i])]) for i, e in enumerate(edges)]
+    bins, copies = bo.binned(x, edges), np.arange(len(x)) % 3 + 1
+    settings = bo.ForestSettings(rounds=1, depth=4, least_rows=least, bootstrap=False, columns=4)
+    (tree,), margin = bo.grow(bo.Counted(edges, bins, label, weight, copies), settings)
+    want, heap = plain_gini(bins, edges, label, weight, copies, settings), {0: 0}
+    for node in range(len(tree.feature)):
+        feature, cut, share = want[heap[node]]
+        assert (tree.feature[node], tree.cut[node] if feature >= 0 else 0) == (feature, cut) and tree.weight[node] == pytest.approx(share)
+        for side in (0, 1) if feature >= 0 else ():
+            heap[int(tree.left[node]) + side] = 2 * heap[node] + 1 + side
+    assert len(tree.feature) == len(want) > 8 and margin == pytest.approx(tree.weight[tree.nodes(bins)])
+
+
+def test_a_forest_judges_like_sparks(spark, sample, monkeypatch):
+    known = sample[3].where(~F.exists(vector_to_array("features"), F.isnan))  # Spark's forest takes no missing values
+    train, held = known.where("id % 4 > 0").drop("id"), known.where("id % 4 = 0").drop("id")
+    settings = [bo.ForestSettings(rounds=60, depth=8, least_rows=3)]
+    model = bo.fit(train, settings[0])
+    scored = model.score(held).select("probability").collect()
+    assert all(0 <= r.probability <= 1 for r in scored) and len({r.probability for r in scored}) > 20
+    (one,) = bo.areas(train, held, settings)
+    monkeypatch.setattr(bo, "TASK_CELLS", 0)
+    (other,) = bo.areas(train, held, settings)
+    assert one > 0.8 and abs(one - other) < 0.04
+
+
+def test_bootstrap_and_drawn_features():
+    copies = np.array([500, 500])
+    data = bo.Counted([np.array([1.0])] * 9, np.array([[0] * 9, [1] * 9], np.uint8), np.array([0.0, 1.0]), np.array([1.0, 1.0]), copies)
+    shares, features = [], set()
+    for number in range(60):
+        tree, _ = bo._forest_tree(data, number, bo.ForestSettings(depth=1))
+        shares.append(tree.weight[0])
+        features.add(int(tree.feature[0]))
+    assert abs(np.mean(shares) - 0.5) < 0.01 and 0.005 < np.std(shares) < 0.03
+    assert len(features) > 4  # the first of three drawn at a node

@@ -67,3 +67,29 @@ def test_the_best_second_order_trees_score_like_a_model(spark, labelled):
     assert all(hits[i] == i % 2 for i in range(60))
     shares = {r.feature: r.importance for r in q.ml.feature_importance(model, labelled).collect()}
     assert abs(sum(shares.values()) - 1) < 1e-9 and all(name.startswith("uri") for name in shares)
+
+
+def test_model_search_fits_the_whole_grid(spark, labelled, monkeypatch):
+    fitted, real = [], q.ml._fold_scores
+
+    def scores(rows, folds, candidates, parallelism, smote):
+        fitted.append((folds, [c[0] for c in candidates]))
+        return real(rows, folds, candidates[:1], parallelism, smote) + [0.25] * (len(candidates) - 1)
+
+    monkeypatch.setattr(q.ml, "_fold_scores", scores)
+    monkeypatch.setattr(q, "split_rows", lambda *_: labelled.withColumnRenamed("id", "event_id").withColumn("split", F.lit("all")))
+    assert q.model_search_query(spark, "anywhere").first().asDict() == {"candidates": 23, "valid": True}
+    ((folds, names),) = fitted
+    assert folds == 5 and len(names) == 23
+    assert "RandomForestClassifier(numTrees=200, maxDepth=30, minInstancesPerNode=3)" in names
+    assert "GBTClassifier(maxIter=200, maxDepth=6, stepSize=0.1)" in names
+
+
+def test_search_over_all_families_gives_a_model(spark, labelled):
+    grid = {"LogisticRegression": {"C": [0.1]}, "RandomForestClassifier": {"numTrees": [9], "maxDepth": [30], "minInstancesPerNode": [1]}, "GBTClassifier": {"maxIter": [6], "maxDepth": [3], "stepSize": [0.3]}}
+    model, ranking = q.ml.model_search(labelled, ["id"], folds=2, grid=grid)
+    assert ranking.count() == 3 and ranking.first()["roc_auc"] == 1.0
+    for family in list(grid)[1:]:
+        model, _ = q.ml.model_search(labelled, ["id"], folds=2, grid={family: grid[family]})
+        assert isinstance(model.stages[-1], q.ml.NewtonTreesModel)
+        assert all(r.prediction == r.id % 2 for r in q.ml.score_batch(model, labelled).collect())
