@@ -93,3 +93,14 @@ def test_search_over_all_families_gives_a_model(spark, labelled):
         model, _ = q.ml.model_search(labelled, ["id"], folds=2, grid={family: grid[family]})
         assert isinstance(model.stages[-1], q.ml.NewtonTreesModel)
         assert all(r.prediction == r.id % 2 for r in q.ml.score_batch(model, labelled).collect())
+
+
+def test_the_model_counts_every_row_in_a_task_and_over_the_table(spark, labelled, monkeypatch):
+    rows = labelled.union(labelled.where("id % 3 = 0")).withColumn("label", F.when(F.col("id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    settings = {"maxIter": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "stepSize": 0.3}
+    one = q.ml.train_attack_model(rows, **settings)
+    monkeypatch.setattr(q.ml.bo, "TASK_CELLS", 0)
+    other = q.ml.train_attack_model(rows, **settings)
+    shown = [{r.id: r.probability for r in q.ml.score_batch(m, labelled).select("id", "probability").collect()} for m in (one, other)]
+    assert len(one.stages[-1].model.trees) == 3 and isinstance(one.stages[-1].model.trees[0], q.ml.bo.PackedTree)
+    assert len(set(shown[0].values())) > 1 and all(abs(shown[0][i] - shown[1][i]) < 1e-9 for i in range(60))
